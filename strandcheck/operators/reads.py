@@ -28,6 +28,7 @@ def integrity(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Malformed records, invalid characters, quality range and read numbers."""
     rows = checked(raw)
     ok = F.col("valid")
+    tail = F.coalesce(F.col("tail"), F.lit(False)) if "tail" in raw.columns else F.lit(False)
     number = F.when(ok, R.read_number(F.col("header")))
     # Quality extremes: the sorted distinct characters of one record are few.
     codes = F.transform(
@@ -35,7 +36,8 @@ def integrity(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     totals = rows.groupBy(*by).agg(
         count_where(ok).alias("reads"),
-        count_where(~ok).alias("malformed"),
+        count_where(~ok & ~tail).alias("malformed"),
+        F.coalesce(F.bool_or(tail), F.lit(False)).alias("incomplete_tail"),
         F.sum(F.when(ok, R.invalid_bases(F.col("seq")))).cast("bigint").alias("invalid_bases"),
         F.sum(F.when(ok, R.invalid_quality(F.col("qual")))).cast("bigint").alias("invalid_quality"),
         F.min(F.when(ok, F.array_min(codes))).cast("bigint").alias("quality_min"),

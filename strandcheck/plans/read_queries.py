@@ -113,11 +113,11 @@ from (select *, upper(trim(seq, {_SPACES})) s, trim(qual, {_SPACES}) q from ({V.
 
 @query(
     "fastq_integrity",
-    f"""with v as {_CHECKED}, g as (select grp, count(*) filter (where ok) reads, count(*) filter (where not ok) malformed,
+    f"""with v as {_CHECKED}, g as (select grp, count(*) filter (where ok) reads, count(*) filter (where not ok) malformed, false incomplete_tail,
  cast(sum(length(translate(seq, 'ACGTNRYKMSWBDHV.-', ''))) filter (where ok) as bigint) invalid_bases, cast(sum(length(regexp_replace(qual, '[!-~]', '', 'g'))) filter (where ok) as bigint) invalid_quality,
  count(*) filter (where ok and regexp_extract(header, '{K.READ_NUMBER_PATTERN}', 1) = '1') read_number_1, count(*) filter (where ok and regexp_extract(header, '{K.READ_NUMBER_PATTERN}', 1) = '2') read_number_2 from v group by grp),
 c as (select grp, cast(min(unicode(ch)) as bigint) quality_min, cast(max(unicode(ch)) as bigint) quality_max from (select grp, unnest(string_split(qual, '')) ch from v where ok) x group by grp)
-select g.grp, reads, malformed, invalid_bases, invalid_quality, quality_min, quality_max, read_number_1, read_number_2, not (read_number_1 > 0 and read_number_2 > 0) read_number_consistent,
+select g.grp, reads, malformed, incomplete_tail, invalid_bases, invalid_quality, quality_min, quality_max, read_number_1, read_number_2, not (read_number_1 > 0 and read_number_2 > 0) read_number_consistent,
  case when invalid_quality > 0 then 'invalid quality bytes' else 'Phred+33 printable range (encoding remains ambiguous for high-quality-only reads)' end quality_encoding from g join c on c.grp = g.grp""",
 )
 def fastq_integrity(spark: SparkSession, folder: str) -> DataFrame:

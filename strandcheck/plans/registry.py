@@ -33,6 +33,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
 
 
 def all_queries() -> dict[str, Query]:
-    from . import alignment_queries, file_queries, index_queries, read_queries  # noqa: F401
+    from . import alignment_queries, byte_queries, file_queries, index_queries, read_queries  # noqa: F401
 
     return dict(_QUERIES)
