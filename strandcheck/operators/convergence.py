@@ -1,71 +1,83 @@
-"""Progress snapshots over seek points and the early-stop rule."""
+"""Progress snapshots over seek points and the early-stop rule.
+
+Records are reduced to counts per seek point first. A sample has a few dozen
+points per file, so every window here runs over a few dozen rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alignment as A
 from ..functions import constants as K
+from .histograms import keyed_join
+
+FIELDS = ("exonic_fraction", "barcode_rate", "mapq_median", "read_length_median")
+TOLERANCES = (K.STABLE_FRACTION, K.STABLE_FRACTION, K.STABLE_MEDIAN, K.STABLE_MEDIAN)
 
 
-def _cumulative_median(records: DataFrame, value: str, alias: str) -> DataFrame:
+def _cumulative_median(records: DataFrame, value: str, alias: str, by: Sequence[str]) -> DataFrame:
     """Lower median of all records up to each point.
 
-    Works on counts per (point, value): points are at most a few dozen and the
-    values MAPQ (256) or read lengths, so nothing here grows with the records.
+    Works on counts per (point, value): the values are MAPQ (256 of them) or
+    read lengths, so nothing after the first step grows with the records.
     """
-    counts = records.groupBy("point_no", value).agg(F.count(F.lit(1)).alias("n"))
-    points = counts.agg(F.sort_array(F.collect_set("point_no"))).scalar()
+    counts = records.groupBy(*by, "point_no", value).agg(F.count(F.lit(1)).alias("n"))
+    points = counts.groupBy(*by).agg(F.collect_set("point_no").alias("points"))
+    started = counts.withColumnRenamed("point_no", "from_point")
+    listed = keyed_join(started, points, by) if by else started.withColumn("points", points.scalar())
     from_point = F.col("from_point")
     merged = (
-        counts.withColumnRenamed("point_no", "from_point")
-        .withColumn("points", points)
-        .select(F.explode(F.filter("points", lambda p: p >= from_point)).alias("point_no"), value, "n")
-        .groupBy("point_no", value)
+        listed.select(*by, F.explode(F.filter("points", lambda p: p >= from_point)).alias("point_no"), value, "n")
+        .groupBy(*by, "point_no", value)
         .agg(F.sum("n").alias("n"))
     )
-    group = Window.partitionBy("point_no")
+    group = Window.partitionBy(*by, "point_no")
     running = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = merged.select(
-        "point_no", value, F.sum("n").over(running).alias("cum"), F.sum("n").over(group).alias("all")
+        *by, "point_no", value, F.sum("n").over(running).alias("cum"), F.sum("n").over(group).alias("all")
     )
     return (
         ranked.filter(F.col("cum") > (F.col("all") - 1) / 2)
-        .groupBy("point_no")
+        .groupBy(*by, "point_no")
         .agg(F.min(value).cast("bigint").alias(alias))
     )
 
 
-def snapshots(records: DataFrame) -> DataFrame:
+def snapshots(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Running totals after each seek point.
 
     ``records`` has ``point_no mapq l_seq re cb``. A barcode counts from the
-    first point it is seen at. One row per seek point is windowed, and the
-    number of seek points is a parameter of the sample.
+    first point it is seen at.
     """
-    per_point = records.groupBy("point_no").agg(
+    keys = [*by, "point_no"]
+    per_point = records.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("re") == "E").alias("exonic")
     )
     new_barcodes = (
         records.filter(A.present(F.col("cb")))
-        .groupBy("cb")
+        .groupBy(*by, "cb")
         .agg(F.min("point_no").alias("point_no"))
-        .groupBy("point_no")
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("new_cb"))
     )
-    upto = Window.orderBy("point_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = per_point.join(new_barcodes, "point_no", "left").select(
-        "point_no",
+    upto = (
+        Window.partitionBy(*by).orderBy("point_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    totals = per_point.join(new_barcodes, keys, "left").select(
+        *keys,
         F.sum("n").over(upto).alias("records"),
         F.sum("exonic").over(upto).alias("exonic"),
         F.sum(F.coalesce("new_cb", F.lit(0))).over(upto).alias("barcodes"),
     )
     return (
-        totals.join(_cumulative_median(records, "mapq", "mapq_median"), "point_no")
-        .join(_cumulative_median(records, "l_seq", "read_length_median"), "point_no")
+        totals.join(_cumulative_median(records, "mapq", "mapq_median", by), keys)
+        .join(_cumulative_median(records, "l_seq", "read_length_median", by), keys)
         .select(
-            "point_no",
+            *keys,
             "records",
             "mapq_median",
             "read_length_median",
@@ -79,39 +91,36 @@ def _within(a: Column, b: Column, tolerance: float) -> Column:
     return F.coalesce(F.abs(a - b) <= tolerance, F.lit(True))
 
 
-def convergence(points: DataFrame, batch: int = K.CHECKPOINT_RECORDS) -> DataFrame:
+def convergence(points: DataFrame, batch: int = K.CHECKPOINT_RECORDS, by: Sequence[str] = ()) -> DataFrame:
     """Marks checkpoints and the first point at which sampling may stop.
 
     A point that passes several multiples of ``batch`` counts as that many
     equal checkpoints (``crossed``). Sampling may stop once four checkpoints
     exist and the last two agree within the tolerances.
     """
-    order = Window.orderBy("point_no")  # one row per seek point
+    order = Window.partitionBy(*by).orderBy("point_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = F.floor(F.col("records") / batch)
     marked = points.withColumn("checkpoints", reached).withColumn(
         "crossed", reached - F.coalesce(F.lag(reached).over(order), F.lit(0))
     )
-    fields = ("exonic_fraction", "barcode_rate", "mapq_median", "read_length_median")
-    snapshot = F.when(F.col("crossed") > 0, F.struct(*fields))
+    snapshot = F.when(F.col("crossed") > 0, F.struct(*FIELDS))
     compared = marked.withColumn("prev", F.last(snapshot, ignorenulls=True).over(before))
     near = F.lit(True)
-    for name, tolerance in zip(
-        fields, (K.STABLE_FRACTION, K.STABLE_FRACTION, K.STABLE_MEDIAN, K.STABLE_MEDIAN), strict=True
-    ):
+    for name, tolerance in zip(FIELDS, TOLERANCES, strict=True):
         near = near & _within(F.col(name), F.col(f"prev.{name}"), tolerance)
     last_two = F.when(F.col("crossed") > 1, F.lit(True)).otherwise(near & F.col("prev").isNotNull())
     agree = F.when(F.col("crossed") > 0, last_two)
-    held = F.last(agree, ignorenulls=True).over(
-        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    held = F.last(agree, ignorenulls=True).over(upto)
     stable = (F.col("checkpoints") >= K.CHECKPOINTS_NEEDED) & F.coalesce(held, F.lit(False))
     flagged = compared.withColumn("stable", stable)
     earlier = F.coalesce(F.max(F.col("stable").cast("int")).over(before), F.lit(0))
     return flagged.select(
+        *by,
         "point_no",
         "records",
-        *fields,
+        *FIELDS,
         "checkpoints",
         "crossed",
         "stable",

@@ -79,25 +79,58 @@ def assay(profile: DataFrame, program_text: Column) -> DataFrame:
 
 
 def qc_flags(row: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Six QC checks as rows ``(check, level, label, value)``.
+    """Six QC checks as rows ``(check, level, label, value, note)``.
 
     ``row`` has per group: records, mapped, duplicate, gx_share, gn_share,
-    mito_median, knee_confidence, special_contigs.
+    mito_median, knee_confidence, special_contigs, and
+    ``estimated_cells`` for the note on the knee.
     """
     mapped = F.try_divide(F.col("mapped").cast("double"), F.col("records").cast("double"))
     duplicate = F.try_divide(F.col("duplicate").cast("double"), F.col("records").cast("double"))
     gene = F.greatest("gx_share", "gn_share")
     mito = F.col("mito_median")
     special = F.coalesce(F.col("special_contigs"), F.lit(0))
+    cells = F.col("estimated_cells") if "estimated_cells" in row.columns else F.lit(None).cast("bigint")
     level = lambda good: F.when(F.coalesce(good, F.lit(False)), "good").otherwise("warn")
-    checks = (
-        ("alignment", level(mapped >= K.MAPPED_GOOD), "Alignment fraction", mapped),
-        ("duplication", level(duplicate <= K.DUPLICATE_GOOD), "Duplicate reads", duplicate),
-        ("gene-assignment", level(gene >= K.GENE_GOOD), "Gene assignment tags", gene),
-        ("mitochondrial", level(mito.isNull() | (mito <= K.MITO_GOOD)), "Mitochondrial signal", mito),
-        ("barcode-knee", level(F.col("knee_confidence") == "medium"), "Barcode knee", F.lit(None)),
-        ("reference-contigs", level(special == 0), "Reference contigs", special),
+    percent = lambda value, text, missing: F.coalesce(
+        F.concat(F.format_string("%.1f", value * 100), F.lit(text)), F.lit(missing)
     )
+    checks = (
+        (
+            "alignment", level(mapped >= K.MAPPED_GOOD), "Alignment fraction", mapped,
+            percent(mapped, "% of sampled records are mapped.", "No sampled records."),
+        ),
+        (
+            "duplication", level(duplicate <= K.DUPLICATE_GOOD), "Duplicate reads", duplicate,
+            percent(duplicate, "% of sampled records carry the duplicate flag.", "No sampled records."),
+        ),
+        (
+            "gene-assignment", level(gene >= K.GENE_GOOD), "Gene assignment tags", gene,
+            F.when(gene >= K.GENE_GOOD, "GX/GN is present on most sampled records.").otherwise(
+                "GX/GN is sparse; gene-level interpretation is limited."
+            ),
+        ),
+        (
+            "mitochondrial", level(mito.isNull() | (mito <= K.MITO_GOOD)), "Mitochondrial signal", mito,
+            percent(
+                mito, "% median mitochondrial fraction among retained barcodes.",
+                "Per-barcode mitochondrial signal unavailable.",
+            ),
+        ),
+        (
+            "barcode-knee", level(F.col("knee_confidence") == "medium"), "Barcode knee", F.lit(None),
+            F.coalesce(
+                F.concat(F.lit("Preliminary knee near "), F.format_number(cells, 0), F.lit(" barcodes.")),
+                F.lit("No reliable barcode knee was detected."),
+            ),
+        ),
+        (
+            "reference-contigs", level(special == 0), "Reference contigs", special,
+            F.when(special == 0, "No ALT/decoy or unusual small contigs detected.").otherwise(
+                F.concat(special.cast("string"), F.lit(" ALT/decoy or other small contigs detected."))
+            ),
+        ),
+    )
     flags = F.array(
         *[
             F.struct(
@@ -106,8 +139,9 @@ def qc_flags(row: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                 lvl.alias("level"),
                 F.lit(label).alias("label"),
                 value.cast("double").alias("value"),
+                note.alias("note"),
             )
-            for i, (name, lvl, label, value) in enumerate(checks, start=1)
+            for i, (name, lvl, label, value, note) in enumerate(checks, start=1)
         ]
     )
     return row.select(*by, F.inline(flags))

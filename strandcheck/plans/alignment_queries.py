@@ -471,7 +471,7 @@ def qc_flags(spark: SparkSession, folder: str) -> DataFrame:
         .join(mito, "file", "left")
         .withColumn("special_contigs", special.scalar())
     )
-    return _round(inference.qc_flags(row, ["file"]), "value")
+    return _round(inference.qc_flags(row, ["file"]).drop("note"), "value")
 
 
 _POINTS = f"(select ref_id point_no, mapq, l_seq, re, cb from ({ALN}) a)"

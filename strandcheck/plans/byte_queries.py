@@ -12,7 +12,9 @@ from ..operators import index as index_ops
 from ..operators import reads as read_ops
 from ..session import materialize
 from ..sources import bai, bam, fai, fastq
+from ..streaming import progressive
 from . import derived_files as D
+from . import preflight, report
 from . import views as V
 from .registry import query
 
@@ -270,3 +272,54 @@ def barcodes_from_bam(spark: SparkSession, folder: str) -> DataFrame:
     return _round(barcodes.barcode_metrics(barcodes.molecules(records)), "mito_fraction")
 
 
+
+
+@query("bam_preflight")
+def bam_preflight(spark: SparkSession, folder: str) -> DataFrame:
+    """Every metric of the complete BAM analysis, summed over its files."""
+    result = preflight.analyze_bams(bam_files(spark, folder))
+    metrics = preflight.bam_metrics(result)
+    return metrics.groupBy("section", "metric", "provenance").agg(
+        F.count_distinct("file").alias("files"),
+        F.round(F.sum("value"), 6).alias("value"),
+        F.min("text").alias("text"),
+    )
+
+
+@query("fastq_preflight")
+def fastq_preflight(spark: SparkSession, folder: str) -> DataFrame:
+    """Every metric of the complete FASTQ analysis, summed over its files."""
+    files = D.write_fastq(V.raw_reads(spark, folder))
+    metrics = preflight.fastq_metrics(preflight.analyze_fastqs(files))
+    return metrics.groupBy("section", "metric", "provenance").agg(
+        F.count_distinct("file").alias("files"), F.round(F.sum("value"), 6).alias("value")
+    )
+
+
+@query("receipt_lines")
+def receipt_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The receipt of a run over BAM and FASTQ files, lines per part."""
+    files = bam_files(spark, folder)
+    reads = D.write_fastq(V.reads(spark, folder).withColumn("plus", F.lit("+")))
+    rows = report.receipt(
+        files.unionByName(reads.select(*files.columns)),
+        "quick",
+        preflight.analyze_bams(files),
+        preflight.analyze_fastqs(reads),
+    )
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("file").alias("files"))
+
+
+@query("progressive_sample")
+def progressive_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Waves of references as a stream, stopped per sample once stable."""
+    records = materialize(
+        V.alignments(spark, folder).select("file", F.col("ref_id").alias("point_no"), "mapq", "l_seq", "re", "cb"),
+        "records",
+    )
+    points = records.select("file", "point_no").distinct()
+    running, out = progressive.start(
+        points, lambda wave: wave.join(records, ["file", "point_no"]), wave_size=5, batch=500, target=1 << 62
+    )
+    running.awaitTermination()
+    return _round(progressive.result(spark, out, batch=500), "exonic_fraction", "barcode_rate")
