@@ -44,16 +44,16 @@ def fastq_role(stem: Column) -> Column:
     return F.when(letter == "", "unknown").otherwise(F.lower(F.concat(letter, digit)))
 
 
-def fastq_lane(stem: Column) -> Column:
+def fastq_lane(stem: Column, role: Column) -> Column:
     lane = F.nullif(F.regexp_extract(stem, K.LANE_PATTERN, 1), F.lit(""))
-    return F.when(fastq_role(stem) != "unknown", lane)
+    return F.when(role != "unknown", lane)
 
 
-def fastq_key(stem: Column) -> Column:
+def fastq_key(stem: Column, role: Column) -> Column:
     prefix = F.regexp_replace(
         F.regexp_replace(stem, K.FASTQ_ROLE_PATTERN, ""), r"(?i)[_-]L\d{3}$", ""
     )
-    return F.when(fastq_role(stem) == "unknown", clean_key(stem)).otherwise(clean_key(prefix))
+    return clean_key(F.when(role == "unknown", stem).otherwise(prefix))
 
 
 def bam_key(name: Column) -> Column:

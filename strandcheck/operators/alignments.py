@@ -47,9 +47,8 @@ def count_where(predicate: Column) -> Column:
     return F.count_if(predicate).cast("bigint")
 
 
-def record_totals(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Record, FLAG, class, splice and multi-mapping counts in one pass."""
-    columns = set(records.columns)
+def total_columns(columns: Sequence[str]) -> list[Column]:
+    """Record, FLAG, class, splice and multi-mapping counts as aggregates."""
     flags = [count_where(p).alias(n) for n, p in A.flag_predicates(F.col("flag")).items()]
     label = A.alignment_class(F.col("flag"))
     classes = [count_where(label == c).alias(f"class_{c}") for c in A.ALIGNMENT_CLASSES]
@@ -57,12 +56,15 @@ def record_totals(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     if "spliced" in columns:
         extra.append(count_where(F.col("spliced")).alias("spliced"))
     if "nh" in columns:
-        upper = F.col("mm_upper") if "mm_upper" in columns else F.lit(None).cast("bigint")
-        lower = F.col("mm_lower") if "mm_lower" in columns else F.lit(None).cast("bigint")
-        extra.append(count_where(A.is_multimapped(upper, lower, F.col("nh"))).alias("multimapped"))
-    return records.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("records"), *flags, *classes, *extra
-    )
+        tag = lambda c: F.col(c) if c in columns else F.lit(None).cast("bigint")
+        many = A.is_multimapped(tag("mm_upper"), tag("mm_lower"), F.col("nh"))
+        extra.append(count_where(many).alias("multimapped"))
+    return [F.count(F.lit(1)).alias("records"), *flags, *classes, *extra]
+
+
+def record_totals(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All counts of :func:`total_columns` in one pass."""
+    return records.groupBy(*by).agg(*total_columns(records.columns))
 
 
 def with_margins(totals: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -127,20 +129,19 @@ def medians(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def tag_presence(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of records carrying each tag, from ``tags_present`` arrays.
 
-    A tag no record carries has no row. Rows are counted per task first, so
-    the shuffle carries at most twelve rows per task and group.
+    One pass with a counter per wanted tag, so no record is unfolded. A tag
+    that no record carries has no row.
     """
-    total = records.groupBy(*by).agg(F.count(F.lit(1)).alias("records"))
-    tags = (
-        records.select(*by, F.explode("tags_present").alias("tag"))
-        .groupBy(*by, "tag")
-        .agg(F.count(F.lit(1)).alias("n"))
+    counts = records.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("records"),
+        *[
+            count_where(F.coalesce(F.array_contains("tags_present", t), F.lit(False))).alias(f"tag_{i}")
+            for i, t in enumerate(K.WANTED_TAGS)
+        ],
     )
-    if by:
-        joined = tags.join(total, list(by))
-    else:
-        joined = tags.withColumn("records", total.scalar())
-    return joined.select(*by, "tag", "n", A.share(F.col("n"), F.col("records")).alias("fraction"))
+    pairs = [F.struct(F.lit(t).alias("tag"), F.col(f"tag_{i}").alias("n")) for i, t in enumerate(K.WANTED_TAGS)]
+    rows = counts.select(*by, "records", F.inline(F.array(*pairs))).filter(F.col("n") > 0)
+    return rows.select(*by, "tag", "n", A.share(F.col("n"), F.col("records")).alias("fraction"))
 
 
 def read_groups(records: DataFrame, k: int = K.TOP_READ_GROUPS, by: Sequence[str] = ()) -> DataFrame:

@@ -30,17 +30,18 @@ def selected_files(files: DataFrame) -> DataFrame:
 
 def labelled_files(files: DataFrame) -> DataFrame:
     """File type, and for FASTQ names role, lane, stem and sample key."""
-    stem = N.fastq_stem(F.col("name"))
-    kind = N.file_type(F.col("name"))
-    return files.select(
-        "*",
-        kind.alias("type"),
-        F.when(kind == "FASTQ", N.fastq_role(stem)).alias("role"),
-        F.when(kind == "FASTQ", N.fastq_lane(stem)).alias("lane"),
-        F.when(kind == "FASTQ", N.fastq_key(stem))
+    kind, stem, role = F.col("type"), F.col("stem"), F.col("role")
+    typed = files.withColumn("type", N.file_type(F.col("name")))
+    stemmed = typed.withColumn("stem", F.when(kind == "FASTQ", N.fastq_stem(F.col("name"))))
+    return stemmed.withColumn("role", F.when(kind == "FASTQ", N.fastq_role(stem))).select(
+        *files.columns,
+        "type",
+        "role",
+        F.when(kind == "FASTQ", N.fastq_lane(stem, role)).alias("lane"),
+        F.when(kind == "FASTQ", N.fastq_key(stem, role))
         .when(kind == "BAM", N.bam_key(F.col("name")))
         .alias("dataset_key"),
-        F.when(kind == "FASTQ", stem).alias("stem"),
+        "stem",
     )
 
 

@@ -68,8 +68,26 @@ def top_references(named: DataFrame, k: int = K.TOP_REFERENCES) -> DataFrame:
     return top_k_by(counted, ["file"], "__m", k, "ref_id").drop("__m")
 
 
-def _error(rule: int, label: Column, index: Column) -> list[Column]:
-    return [F.lit(rule).alias("rule"), index.cast("bigint").alias("item"), label.alias("message")]
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def _violations(rows: DataFrame, bin_no: Column, item: Column, rules: dict[int, tuple[Column, Column]]) -> DataFrame:
+    """Unfolds the rules each row breaks, all of them checked in one pass."""
+    broken = [
+        F.when(
+            condition,
+            F.struct(F.lit(rule).alias("rule"), item.cast("bigint").alias("item"), message.alias("message")),
+        )
+        for rule, (condition, message) in rules.items()
+    ]
+    return rows.select("file", "ref_id", bin_no.alias("bin"), F.inline(F.array_compact(F.array(*broken))))
+
+
+def _beyond(offset: str, label: Column) -> tuple[Column, Column]:
+    block = A.offset_block(F.col(offset))
+    message = _text(label, " points beyond the BAM (", block, " >= ", F.col("bam_size"), ")")
+    return block >= F.col("bam_size"), message
 
 
 def validation_errors(chunks: DataFrame, linear: DataFrame, meta: DataFrame, files: DataFrame) -> DataFrame:
@@ -77,91 +95,69 @@ def validation_errors(chunks: DataFrame, linear: DataFrame, meta: DataFrame, fil
 
     Windows run inside one reference of one file for the linear index (an
     index has at most 32,768 intervals there) and inside one bin for chunks;
-    no window spans a whole file.
+    no window spans a whole file. Each table is read once for all its rules.
     """
     size = files.select("file", "bam_size")
-    text = lambda *parts: F.concat(
-        *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]
+    ref = _text("BAI reference ", F.col("ref_id"))
+    none = F.lit(-1)
+
+    counts = _violations(
+        files.withColumn("ref_id", none),
+        none,
+        F.lit(0),
+        {
+            1: (
+                F.col("n_ref") != F.col("bam_n_ref"),
+                _text("reference count mismatch (BAM has ", F.col("bam_n_ref"), ", BAI has ", F.col("n_ref"), ")"),
+            )
+        },
     )
-    compared = F.col("n_ref") != F.col("bam_n_ref")
-    counts = files.filter(compared).select(
-        "file",
-        F.lit(-1).alias("ref_id"),
-        F.lit(-1).alias("bin"),
-        *_error(
-            1,
-            text(
-                "reference count mismatch (BAM has ", F.col("bam_n_ref"), ", BAI has ", F.col("n_ref"), ")"
-            ),
-            F.lit(0),
-        ),
-    )
-
-    def beyond(rows: DataFrame, rule: int, offset: str, label: Column, item: Column) -> DataFrame:
-        block = A.offset_block(F.col(offset))
-        return rows.filter(block >= F.col("bam_size")).select(
-            "file",
-            "ref_id",
-            "bin",
-            *_error(
-                rule, text(label, " points beyond the BAM (", block, " >= ", F.col("bam_size"), ")"), item
-            ),
-        )
 
-    ref = text("BAI reference ", F.col("ref_id"))
-    lin = linear.withColumn("bin", F.lit(-1)).join(size, "file")
-    lin_beyond = beyond(lin, 2, "voffset", text(ref, " linear interval ", F.col("interval")), F.col("interval"))
     earlier = (
-        Window.partitionBy("file", "ref_id")
-        .orderBy("interval")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("file", "ref_id").orderBy("interval").rowsBetween(Window.unboundedPreceding, -1)
     )
     used = F.when(F.col("voffset") != 0, F.col("voffset"))
-    monotonic = (
-        linear.withColumn("previous", F.last(used, ignorenulls=True).over(earlier))
-        .filter((F.col("voffset") != 0) & (F.col("voffset") < F.col("previous")))
-        .select(
-            "file",
-            "ref_id",
-            F.lit(-1).alias("bin"),
-            *_error(3, text(ref, " linear index is not monotonic"), F.col("interval")),
-        )
+    followed = linear.withColumn("previous", F.last(used, ignorenulls=True).over(earlier)).join(size, "file")
+    of_linear = _violations(
+        followed,
+        none,
+        F.col("interval"),
+        {
+            2: _beyond("voffset", _text(ref, " linear interval ", F.col("interval"))),
+            3: (
+                (F.col("voffset") != 0) & (F.col("voffset") < F.col("previous")),
+                _text(ref, " linear index is not monotonic"),
+            ),
+        },
     )
 
-    bin_text = text(ref, " bin ", F.col("bin"))
-    sized = chunks.join(size, "file")
-    item = F.col("chunk_index")
-    beg_beyond = beyond(sized, 4, "beg", text(bin_text, " chunk start"), item)
-    end_beyond = beyond(sized, 5, "end", text(bin_text, " chunk end"), item)
+    label = _text(ref, " bin ", F.col("bin"))
+    beg, end = A.offset_block(F.col("beg")), A.offset_block(F.col("end"))
     in_bin = Window.partitionBy("file", "ref_id", "bin").orderBy("chunk_index")
-    previous = F.lag(A.offset_block(F.col("beg"))).over(in_bin)
-    beg_block, end_block = A.offset_block(F.col("beg")), A.offset_block(F.col("end"))
-    followed = chunks.withColumn("previous", previous)
-
-    def chunk_rule(rule: int, condition: Column, what: str) -> DataFrame:
-        return followed.filter(condition).select(
-            "file", "ref_id", "bin", *_error(rule, text(bin_text, what), item)
-        )
-
-    empty = chunk_rule(6, F.col("end") <= F.col("beg"), " contains an empty or reversed chunk")
-    unordered = chunk_rule(
-        7, (F.col("previous") > 0) & (beg_block < F.col("previous")), " chunks are not ordered"
+    ordered = chunks.withColumn("previous", F.lag(beg).over(in_bin)).join(size, "file")
+    of_chunks = _violations(
+        ordered,
+        F.col("bin"),
+        F.col("chunk_index"),
+        {
+            4: _beyond("beg", _text(label, " chunk start")),
+            5: _beyond("end", _text(label, " chunk end")),
+            6: (F.col("end") <= F.col("beg"), _text(label, " contains an empty or reversed chunk")),
+            7: ((F.col("previous") > 0) & (beg < F.col("previous")), _text(label, " chunks are not ordered")),
+            8: (end < beg, _text(label, " chunk crosses backwards in the BAM")),
+        },
     )
-    backwards = chunk_rule(8, end_block < beg_block, " chunk crosses backwards in the BAM")
-
-    ranges = meta.withColumn("bin", F.lit(K.META_BIN)).join(size, "file")
-    meta_beg = beyond(ranges, 9, "ref_beg", text(ref, " metadata start"), F.lit(0))
-    meta_end = beyond(ranges, 10, "ref_end", text(ref, " metadata end"), F.lit(0))
-    reversed_meta = ranges.filter(F.col("ref_end") < F.col("ref_beg")).select(
-        "file", "ref_id", "bin", *_error(11, text(ref, " metadata range is reversed"), F.lit(0))
+    of_meta = _violations(
+        meta.join(size, "file"),
+        F.lit(K.META_BIN),
+        F.lit(0),
+        {
+            9: _beyond("ref_beg", _text(ref, " metadata start")),
+            10: _beyond("ref_end", _text(ref, " metadata end")),
+            11: (F.col("ref_end") < F.col("ref_beg"), _text(ref, " metadata range is reversed")),
+        },
     )
-    out = counts
-    for part in (
-        lin_beyond, monotonic, beg_beyond, end_beyond, empty, unordered, backwards,
-        meta_beg, meta_end, reversed_meta,
-    ):
-        out = out.unionByName(part)
-    return out
+    return counts.unionByName(of_linear).unionByName(of_chunks).unionByName(of_meta)
 
 
 def first_errors(errors: DataFrame, k: int = K.ERRORS_SHOWN) -> DataFrame:

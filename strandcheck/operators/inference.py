@@ -21,11 +21,11 @@ def first_seen_length(order: Column, length: Column) -> Column:
     return F.min(F.when(length > 0, packed)).bitwiseAND(F.lit(2047).cast("bigint"))
 
 
-def tag_profile(records: DataFrame, by: Sequence[str] = (), order: str = "record_no") -> DataFrame:
-    """Tag shares and first-seen barcode and UMI lengths, one row per group."""
+def profile_columns(order: str = "record_no") -> list[Column]:
+    """Tag shares and first-seen barcode and UMI lengths as aggregates."""
     cb, ub = F.col("cb"), F.col("ub")
     share = lambda c: F.count(c) / F.greatest(F.lit(1), F.count(F.lit(1)))
-    return records.groupBy(*by).agg(
+    return [
         share(cb).alias("cb_share"),
         share(ub).alias("ub_share"),
         share(F.col("gx")).alias("gx_share"),
@@ -35,7 +35,12 @@ def tag_profile(records: DataFrame, by: Sequence[str] = (), order: str = "record
         first_seen_length(
             F.col(order), F.when(F.coalesce(cb, F.lit("")) != "", F.length(ub))
         ).alias("umi_length"),
-    )
+    ]
+
+
+def tag_profile(records: DataFrame, by: Sequence[str] = (), order: str = "record_no") -> DataFrame:
+    """Tag shares and first-seen lengths, one row per group."""
+    return records.groupBy(*by).agg(*profile_columns(order))
 
 
 def assay(profile: DataFrame, program_text: Column) -> DataFrame:

@@ -465,8 +465,8 @@ def qc_flags(spark: SparkSession, folder: str) -> DataFrame:
     )
     special = contigs.fingerprint(refs).select(F.col("small_shown") + F.col("alt_decoy_count"))
     row = (
-        inference.tag_profile(aln, ["file"])
-        .join(ops.record_totals(aln.select("file", "flag"), ["file"]), "file")
+        aln.groupBy("file")
+        .agg(*ops.total_columns(("file", "flag")), *inference.profile_columns())
         .join(knees.select("file", F.col("confidence").alias("knee_confidence")), "file", "left")
         .join(mito, "file", "left")
         .withColumn("special_contigs", special.scalar())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import names as N
 from ..operators import datasets, headers
+from ..session import materialize
 from . import views as V
 from .registry import query
 
@@ -33,12 +34,14 @@ _LABELLED = f"""(select name, size, position, type, case when type = 'FASTQ' the
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return datasets.selected_files(V.run_files(spark, folder))
+    """The selected files, written once because most queries use them in several joins."""
+    return materialize(datasets.selected_files(V.run_files(spark, folder)), "selected")
 
 
 @query("selected_files", f"select name, size, position from {_SELECTED} s")
 def selected_files(spark: SparkSession, folder: str) -> DataFrame:
-    return _files(spark, folder).select("name", "size", "position")
+    chosen = datasets.selected_files(V.run_files(spark, folder))
+    return chosen.select("name", "size", "position")
 
 
 @query(
@@ -46,12 +49,12 @@ def selected_files(spark: SparkSession, folder: str) -> DataFrame:
     f"select type, count(*) files, cast(sum(size) as bigint) bytes from {_TYPED} t group by type",
 )
 def selection_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return datasets.selection_totals(_files(spark, folder))
+    return datasets.selection_totals(datasets.selected_files(V.run_files(spark, folder)))
 
 
 @query("classify_files", f'select name, position, type, "role", lane, stem, dataset_key from {_LABELLED} l')
 def classify_files(spark: SparkSession, folder: str) -> DataFrame:
-    out = datasets.labelled_files(_files(spark, folder))
+    out = datasets.labelled_files(datasets.selected_files(V.run_files(spark, folder)))
     return out.select("name", "position", "type", "role", "lane", "stem", "dataset_key")
 
 

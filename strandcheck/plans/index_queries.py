@@ -9,6 +9,7 @@ from ..functions import alignment as A
 from ..functions import constants as K
 from ..operators import contigs
 from ..operators import index as ops
+from ..session import materialize
 from . import views as V
 from .registry import query
 
@@ -32,7 +33,7 @@ def _named(spark: SparkSession, folder: str) -> DataFrame:
     refs = V.table(spark, folder, "nation").select(
         key.alias("ref_id"), name.alias("name"), F.lit(None).cast("bigint").alias("length")
     )
-    return contigs.reference_dictionary(refs, V.index_meta(spark, folder), ["file"])
+    return contigs.reference_dictionary(refs, V.index_meta(V.index_base(spark, folder)), ["file"])
 
 
 @query("idxstats", f"select file, ref_id, name, mapped, placed_unmapped from {_NAMED_SQL} n")
@@ -46,7 +47,8 @@ def idxstats(spark: SparkSession, folder: str) -> DataFrame:
 select f.file, mapped, placed_unmapped, no_coordinate unplaced_unmapped, placed_unmapped + no_coordinate total_unmapped, round(mapped / (mapped + placed_unmapped + no_coordinate), 8) mapped_fraction from ({V.INDEX_FILES_SQL}) f left join m on m.file = f.file""",
 )
 def index_totals(spark: SparkSession, folder: str) -> DataFrame:
-    totals = ops.index_totals(V.index_meta(spark, folder), V.index_files(spark, folder))
+    base = materialize(V.index_base(spark, folder), "index-base")
+    totals = ops.index_totals(V.index_meta(base), V.index_files(base))
     return _round(totals, "mapped_fraction")
 
 
@@ -72,7 +74,7 @@ def top_references(spark: SparkSession, folder: str) -> DataFrame:
     f"""select file, ref_id, bin, chunk_index, beg >> 16 beg_block, beg & 65535 beg_within, "end" >> 16 end_block, concat_ws(':', cast(ref_id as varchar), cast(bin as varchar), cast(chunk_index as varchar)) region from ({V.CHUNKS_SQL}) c where beg <> 0""",
 )
 def virtual_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = V.index_chunks(spark, folder).filter("beg <> 0")
+    chunks = V.index_chunks(V.index_base(spark, folder)).filter("beg <> 0")
     return chunks.select(
         "file", "ref_id", "bin", "chunk_index",
         A.offset_block(F.col("beg")).alias("beg_block"),
@@ -109,11 +111,13 @@ union all select file, ref_id, 37450, 11, 0, concat('BAI reference ', cast(ref_i
 
 
 def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The index tables. What they come from is written once and read many times."""
+    base = materialize(V.index_base(spark, folder), "index-base")
     return (
-        V.index_chunks(spark, folder),
-        V.index_linear(spark, folder),
-        V.index_meta(spark, folder),
-        V.index_files(spark, folder),
+        V.index_chunks(base),
+        materialize(V.index_linear(base), "linear"),
+        V.index_meta(base),
+        materialize(V.index_files(base), "index-files"),
     )
 
 

@@ -8,10 +8,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+# Columns by which a large table is dealt out when it comes in too few pieces.
+_SPREAD = {
+    "lineitem": "l_orderkey",
+    "orders": "o_orderkey",
+    "customer": "c_custkey",
+    "documents": "doc_id",
+    "events": "event_id",
+}
+
+
+# Schema of each table file read so far and whether it comes in few pieces.
+_KNOWN: dict[str, tuple[T.StructType, bool]] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the folder.
+
+    A file with one row group is read by one task. If a large table has fewer
+    scan partitions than there are task slots its rows are hash-dealt by key,
+    adaptive execution choosing how many partitions that is worth. With enough
+    files or row groups, as in any large table, no shuffle is added.
+    """
+    path = f"{folder}/{name}.parquet"
+    key = _SPREAD.get(name)
+    if path not in _KNOWN:
+        found = spark.read.parquet(path)
+        few = bool(key) and found.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+        _KNOWN[path] = (found.schema, few)
+    schema, few = _KNOWN[path]
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.repartition(key) if few else rows
 
 
 def _text(col: str | Column) -> Column:
@@ -112,9 +142,8 @@ def alignments(spark: SparkSession, folder: str, genes: bool = False) -> DataFra
     lines = table(spark, folder, "lineitem")
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     nations = table(spark, folder, "nation").select("n_nationkey")
-    rows = lines.join(
-        suppliers.join(nations, F.col("n_nationkey") == F.col("s_nationkey")),
-        F.col("s_suppkey") == F.col("l_suppkey"),
+    rows = lines.join(suppliers, F.col("s_suppkey") == F.col("l_suppkey")).join(
+        nations, F.col("n_nationkey") == F.col("s_nationkey")
     )
     if genes:
         parts = table(spark, folder, "part").select("p_partkey", "p_name")
@@ -302,20 +331,31 @@ from ({ALIGNMENTS_SQL}) a group by file
 """
 
 
-def _indexed(spark: SparkSession, folder: str) -> DataFrame:
+def index_base(spark: SparkSession, folder: str) -> DataFrame:
+    """Offsets and counts per chunk: all index tables follow from this one.
+
+    At most seven chunks per bin and 32,768 bins per reference and file, so
+    the table stops growing once the index is full.
+    """
     rows = alignments(spark, folder).select("file", "ref_id", "pos", "nh", "flag")
     wrapped = (F.col("pos") * 8191) % 536870912
     interval = F.shiftright(wrapped, 14)
     block = F.col("ref_id").cast("bigint") * 40000000 + F.floor(wrapped / 16) + F.col("nh") * 8
     within = (F.col("pos") * 37 + F.col("nh") * 13) % 65536
-    return rows.select(
+    mapped = F.col("flag").bitwiseAND(4) == 0
+    placed = rows.select(
         "file",
         "ref_id",
-        (interval + 4681).cast("int").alias("bin"),
         interval.cast("int").alias("interval"),
         (F.col("nh") - 1).alias("chunk_index"),
         F.shiftleft(block, 16).bitwiseOR(within).alias("voffset"),
-        "flag",
+        mapped.alias("mapped"),
+    )
+    return placed.groupBy("file", "ref_id", "interval", "chunk_index").agg(
+        F.min("voffset").alias("b"),
+        (F.max("voffset") + 64).alias("e"),
+        F.count_if("mapped").alias("mapped"),
+        F.count_if(~F.col("mapped")).alias("unmapped"),
     )
 
 
@@ -323,18 +363,11 @@ def _blocks(n: int) -> Column:
     return F.lit(n << 16).cast("bigint")
 
 
-def index_chunks(spark: SparkSession, folder: str, defects: bool = True) -> DataFrame:
-    """At most seven chunks per bin and 32,768 bins per reference and file."""
-    grouped = (
-        _indexed(spark, folder)
-        .groupBy("file", "ref_id", "bin", "chunk_index")
-        .agg(F.min("voffset").alias("b"), (F.max("voffset") + 64).alias("e"))
-    )
-    b, e, bin_no = F.col("b"), F.col("e"), F.col("bin")
-    if not defects:
-        return grouped.select("file", "ref_id", "bin", "chunk_index", b.alias("beg"), e.alias("end"))
-    return grouped.select(
-        "file", "ref_id", "bin", "chunk_index",
+def index_chunks(base: DataFrame) -> DataFrame:
+    bin_no = (F.col("interval") + 4681).cast("int")
+    b, e = F.col("b"), F.col("e")
+    return base.select(
+        "file", "ref_id", bin_no.alias("bin"), "chunk_index",
         F.when(bin_no % 17 == 3, e + 5)
         .when((bin_no % 19 == 4) & (F.col("chunk_index") == 2), b + _blocks(1000000))
         .otherwise(b)
@@ -343,26 +376,19 @@ def index_chunks(spark: SparkSession, folder: str, defects: bool = True) -> Data
     )
 
 
-def index_linear(spark: SparkSession, folder: str) -> DataFrame:
-    grouped = (
-        _indexed(spark, folder).groupBy("file", "ref_id", "interval").agg(F.min("voffset").alias("voffset"))
-    )
-    i, v = F.col("interval"), F.col("voffset")
+def index_linear(base: DataFrame) -> DataFrame:
+    grouped = base.groupBy("file", "ref_id", "interval").agg(F.min("b").alias("v"))
+    i, v = F.col("interval"), F.col("v")
     changed = F.when(i % 31 == 5, 0).when(i % 13 == 9, v - _blocks(30000)).otherwise(v)
     return grouped.select("file", "ref_id", "interval", changed.cast("bigint").alias("voffset"))
 
 
-def index_meta(spark: SparkSession, folder: str) -> DataFrame:
-    mapped = F.col("flag").bitwiseAND(4) == 0
-    grouped = (
-        _indexed(spark, folder)
-        .groupBy("file", "ref_id")
-        .agg(
-            F.min("voffset").alias("b"),
-            (F.max("voffset") + 64).alias("e"),
-            F.count_if(mapped).alias("mapped"),
-            F.count_if(~mapped).alias("placed_unmapped"),
-        )
+def index_meta(base: DataFrame) -> DataFrame:
+    grouped = base.groupBy("file", "ref_id").agg(
+        F.min("b").alias("b"),
+        F.max("e").alias("e"),
+        F.sum("mapped").alias("mapped"),
+        F.sum("unmapped").alias("placed_unmapped"),
     )
     ref = F.col("ref_id")
     return grouped.select(
@@ -375,8 +401,8 @@ def index_meta(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def index_files(spark: SparkSession, folder: str) -> DataFrame:
-    counted = alignments(spark, folder).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+def index_files(base: DataFrame) -> DataFrame:
+    counted = base.groupBy("file").agg(F.sum(F.col("mapped") + F.col("unmapped")).alias("n"))
     return counted.select(
         "file",
         F.lit(25).alias("n_ref"),
