@@ -89,7 +89,7 @@ def format_count(value: Column) -> Column:
     """Grouped digits, compact from a million on; a dash for NULL."""
     v = value.cast("double")
     one = lambda div, unit: F.concat(
-        F.regexp_replace(F.format_number(F.round(v / div, 1), "#,##0.#"), r"\.$", ""), F.lit(unit)
+        F.regexp_replace(F.format_string("%,.1f", v / div), r"\.0$", ""), F.lit(unit)
     )
     return (
         F.when(value.isNull(), "—")
