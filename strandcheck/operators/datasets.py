@@ -6,10 +6,11 @@ of selection. Every step is keyed on a file name or on a sample key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .histograms import numbered
 
 ROLES = ("r1", "r2", "i1", "i2")
 UNMATCHED_REASON = "No uniquely matching BAM"
@@ -108,10 +109,9 @@ def resolve_datasets(files: DataFrame) -> DataFrame:
     """
     marked = labelled_files(files)
     bams = marked.filter(F.col("type") == "BAM").select("dataset_key", "name", "position")
-    order = Window.partitionBy("dataset_key").orderBy("position", "name")
-    numbered = bams.withColumn("nth", F.row_number().over(order))
-    shared = F.col("nth") > 1
-    bam_rows = numbered.join(
+    firsts = bams.groupBy("dataset_key").agg(F.min(F.struct("position", "name")).alias("first"))
+    shared = F.col("first") != F.struct("position", "name")
+    bam_rows = bams.join(firsts, "dataset_key").join(
         matched_bai(files).select(F.col("bam").alias("name"), F.col("bam_position").alias("position"), "bai", "candidates"),
         ["name", "position"],
         "left",
@@ -189,12 +189,11 @@ def dataset_files(files: DataFrame) -> DataFrame:
         F.col("dataset_key").alias("dataset_id"), "role", "name", "position"
     )
     by_name = F.when(F.col("role").isin("r1", "r2"), F.col("name"))
-    order = Window.partitionBy("dataset_id", "role").orderBy(by_name, "position", "name")
-    reads = fastq.withColumn("nth", F.row_number().over(order)).drop("position")
+    reads = numbered(fastq, ["dataset_id", "role"], [by_name, "position", "name"]).drop("position")
     pairs = resolve_datasets(files).select(
         "dataset_id", F.expr("stack(2, 'bam', bam, 'bai', bai) as (role, name)")
     ).filter(F.col("name").isNotNull())
-    return reads.unionByName(pairs.withColumn("nth", F.lit(1)))
+    return reads.unionByName(pairs.withColumn("nth", F.lit(1).cast("bigint")))
 
 
 def selection_totals(files: DataFrame) -> DataFrame:

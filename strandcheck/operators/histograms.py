@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def keyed_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join on ``by``."""
@@ -123,6 +125,32 @@ def bucketed_prefix(
     )
 
 
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], alias: str = "nth") -> DataFrame:
+    """Position of every row in its group, from 1, in ``order``.
+
+    Unlike a window per group this also holds when one group has most rows:
+    rows are range-partitioned on group and order, so a large group spans many
+    tasks. Rows are counted inside each range and shifted by the counts of
+    the group's earlier ranges. The ranged rows are written once, because the
+    ranges must be the same for both steps.
+    """
+    keys = [F.col(c) for c in by] + [F.col(o) if isinstance(o, str) else o for o in order]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = materialize(ranged.withColumn("__id", F.monotonically_increasing_id()), "ranged")
+    piece = F.shiftright("__id", 33).alias("__piece")
+    pieces = placed.groupBy(*by, piece).agg(
+        F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n")
+    )
+    # One row per group and range that holds some of it.
+    earlier = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    shifted = pieces.select(
+        *by, "__piece", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
+    )
+    joined = keyed_join(placed.withColumn("__piece", piece), shifted, [*by, "__piece"])
+    position = F.col("__before") + F.col("__id") - F.col("__first") + 1
+    return joined.select(*df.columns, position.alias(alias))
+
+
 def unit_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), buckets: int = 4096
 ) -> DataFrame:

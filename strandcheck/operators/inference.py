@@ -168,30 +168,31 @@ def pair_layout(results: DataFrame, by: Sequence[str] = ("dataset_id",)) -> Data
     read = F.col("illumina_read") if "illumina_read" in results.columns else F.lit(None).cast("int")
     rows = usable.select(
         *by,
-        "file_name",
-        "position",
-        "median_length",
+        F.struct("file_name", "median_length", "position").alias("f"),
         N.fastq_role(stem).alias("role"),
         F.coalesce(read.cast("int"), looks_first).alias("guess"),
     )
-    fallback = Window.partitionBy(*by).orderBy(
-        F.when(F.col("role").isin("i1", "i2"), 1).otherwise(0), "guess", "position", "file_name"
-    )
-    # Two fallback files are enough: the second serves when the first is R1.
-    ranked = rows.withColumn(
-        "nth", F.when(~F.col("role").isin("i1", "i2"), F.row_number().over(fallback))
-    )
-    pick = lambda cond: F.min_by(
-        F.struct("file_name", "median_length", "position"),
-        F.when(cond, F.struct("position", "file_name")),
-    )
-    chosen = ranked.groupBy(*by).agg(
+    order = F.struct("f.position", "f.file_name")
+    pick = lambda cond: F.min_by("f", F.when(cond, order))
+    named = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("files"),
         pick(F.col("role") == "r1").alias("named1"),
         pick(F.col("role") == "r2").alias("named2"),
-        pick(F.col("nth") == 1).alias("guess1"),
-        pick(F.col("nth") == 2).alias("guess2"),
     )
+    # Two fallback files are enough: the second serves when the first is R1.
+    # The rank filter keeps two rows per group and task before the shuffle.
+    likely = Window.partitionBy(*by).orderBy("guess", "f.position", "f.file_name")
+    guesses = (
+        rows.filter(~F.col("role").isin("i1", "i2"))
+        .withColumn("nth", F.row_number().over(likely))
+        .filter(F.col("nth") <= 2)
+        .groupBy(*by)
+        .agg(
+            F.max(F.when(F.col("nth") == 1, F.col("f"))).alias("guess1"),
+            F.max(F.when(F.col("nth") == 2, F.col("f"))).alias("guess2"),
+        )
+    )
+    chosen = named.join(guesses, list(by), "left")
     first = F.coalesce("named1", "guess1")
     second = F.coalesce(
         F.col("named2"),

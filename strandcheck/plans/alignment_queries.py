@@ -317,7 +317,7 @@ def histogram_percentile_lower(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "price_quartiles",
-    """select l_returnflag, round(quantile_cont(d, 0.25), 8) p25, round(quantile_cont(d, 0.5), 8) p50, round(quantile_cont(d, 0.75), 8) p75
+    """select l_returnflag, round(quantile_cont(d, 0.25), 10) p25, round(quantile_cont(d, 0.5), 10) p50, round(quantile_cont(d, 0.75), 10) p75
 from (select l_returnflag, l_extendedprice/200000 d from lineitem) t where d <= 1 group by l_returnflag""",
 )
 def price_quartiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -326,7 +326,7 @@ def price_quartiles(spark: SparkSession, folder: str) -> DataFrame:
         "l_returnflag", (F.col("l_extendedprice") / 200000).alias("d")
     ).filter("d <= 1")
     probs = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    return _round(histograms.unit_quantiles(rows, "d", probs, ["l_returnflag"]), *probs)
+    return _round(histograms.unit_quantiles(rows, "d", probs, ["l_returnflag"]), *probs, digits=10)
 
 
 @query(

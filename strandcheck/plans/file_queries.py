@@ -105,7 +105,7 @@ def dataset_resolution(spark: SparkSession, folder: str) -> DataFrame:
     "dataset_members",
     f"""with l as {_LABELLED}, bm as (select *, row_number() over (partition by dataset_key order by position, name) k from l where type = 'BAM'),
 b as (select case when k > 1 then concat(dataset_key, '#', name) else dataset_key end dataset_id, name bam, bai from bm left join {_MATCHED} m on m.bam = bm.name and m.bam_position = bm.position)
-select dataset_key dataset_id, "role", name, cast(row_number() over (partition by dataset_key, "role" order by case when "role" in ('r1', 'r2') then name end nulls first, position, name) as int) nth from l where type = 'FASTQ'
+select dataset_key dataset_id, "role", name, row_number() over (partition by dataset_key, "role" order by case when "role" in ('r1', 'r2') then name end nulls first, position, name) nth from l where type = 'FASTQ'
 union all select dataset_id, 'bam', bam, 1 from b union all select dataset_id, 'bai', bai, 1 from b where bai is not null""",
 )
 def dataset_members(spark: SparkSession, folder: str) -> DataFrame:

@@ -311,3 +311,30 @@ def test_bad_fai_lines(spark, tmp_path, line, text):
     assert text in bad.error and "line 2" in bad.error
     with pytest.raises(Exception, match=text):
         fai_source.read_fai(spark, str(path)).select("name").collect()
+
+
+def test_sinks(spark, tmp_path):
+    import json
+
+    (tmp_path / "in").mkdir()
+    write_bam(str(tmp_path / "in" / "one.bam"), [record(), record(pos=300, read_name="s")])
+    got = preflight.analyze_bams(list_files(spark, str(tmp_path / "in")))
+    metrics = preflight.bam_metrics(got)
+    report.write_json(metrics, str(tmp_path / "json"))
+    text = "".join(p.read_text() for p in (tmp_path / "json").glob("part-*"))
+    document = json.loads(text)
+    mapped = [m for m in document["metrics"] if (m["section"], m["metric"]) == ("index", "mapped")]
+    assert document["file"] == "one.bam" and mapped[0]["text"] == "2" and mapped[0]["provenance"] == "EXACT"
+    report.write_metrics(metrics, str(tmp_path / "metrics"))
+    assert spark.read.parquet(str(tmp_path / "metrics")).count() == metrics.count()
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    from types import SimpleNamespace
+
+    from strandcheck import session
+
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": "s3://x/y"}.get(key, default)))
+    assert session.shared_dir(named) == "s3://x/y"
+    assert session.fresh_dir(named, "a").startswith("s3://x/y/a-")
+    assert session.shared_dir(spark) == session.shared_dir(spark)

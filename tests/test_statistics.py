@@ -166,3 +166,15 @@ def test_bare_and_unknown_names(spark):
     got, _ = fingerprint(spark, [("contig_a", 10), ("contig_b", 20)])
     assert (got.build, got.confidence, got.build_naming) == ("Unknown reference", "low", "custom")
     assert got.expected_primary is None and not got.primary_complete
+
+
+def test_numbering_of_a_hot_group(spark):
+    rng = random.Random(9)
+    rows = [("hot" if rng.random() < 0.7 else f"g{i % 5}", rng.randrange(10**6), i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(6)
+    got = {(r.g, r.v, r.i): r.nth for r in histograms.numbered(df, ["g"], ["v", "i"]).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        for n, r in enumerate(sorted(r for r in rows if r[0] == g), start=1):
+            want[r] = n
+    assert got == want
