@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..session import fresh_dir, materialize
+from ..session import fresh_dir, materialize, ship_package
 from ..sources.bgzf import EOF_BLOCK
 from ..sources.storage import filesystem, list_files
 
@@ -180,6 +180,7 @@ def write_bams(records: DataFrame, header_text: str, refs: list[tuple[str, int]]
             ),
         )
 
+    ship_package(spark)
     return materialize(placed.mapInArrow(run, FILE_SCHEMA), "files")
 
 

@@ -66,21 +66,22 @@ class FastqResult:
 
 def index_tables(files: DataFrame, bam_headers: DataFrame) -> tuple[DataFrame, ...]:
     """Index rows under the name of the BAM they belong to, and load errors."""
-    pairs = datasets.matched_bai(files).select(F.col("bam"), F.col("bai"))
+    pairs = materialize(datasets.matched_bai(files).select("bam", "bai"), "pairs")
     used = files.join(pairs.select(F.col("bai").alias("name")).distinct(), "name", "left_semi")
     rows = materialize(bai.read_indexes(used), "index")
     named = lambda df: (
         df.withColumnRenamed("file", "bai").join(pairs, "bai").withColumnRenamed("bam", "file").drop("bai")
     )
-    good = named(bai.usable(rows))
+    good = materialize(named(bai.usable(rows)), "index-of-bam")
     sizes = bam_headers.filter(F.col("error").isNull()).select(
         "file", F.col("size").alias("bam_size"), F.size("refs").alias("bam_n_ref")
     )
+    index_files = materialize(bai.index_files(good).join(sizes, "file"), "index-files")
     return (
         bai.chunks(good),
         bai.linear(good),
         bai.meta(good),
-        bai.index_files(good).join(sizes, "file"),
+        index_files,
         named(bai.errors(rows)),
         pairs,
     )
@@ -96,12 +97,12 @@ def analyze_bams(files: DataFrame, mode: str = "quick") -> BamResult:
     bam_headers = materialize(bam.read_headers(files), "headers")
     refs = bam.references(bam_headers)
     lines = headers.header_lines(bam_headers.filter(F.col("error").isNull()))
-    header_facts = headers.header_summary(lines)
-    fingerprint = contigs.fingerprint(refs)
+    header_facts = materialize(headers.header_summary(lines), "header-facts")
+    fingerprint = materialize(contigs.fingerprint(refs), "fingerprint")
     chunks, linear, meta, index_files, load_errors, pairs = index_tables(files, bam_headers)
 
     broken = index_ops.validation_errors(chunks, linear, meta, index_files)
-    ruled = index_ops.index_status(index_files, broken)
+    ruled = materialize(index_ops.index_status(index_files, broken), "rules")
     sound = index_files.join(ruled.filter("status = 'pass'").select("file"), "file", "left_semi")
     paths = files.select(F.col("name").alias("file"), "path")
     probes = bam.probe_points(
@@ -139,10 +140,10 @@ def analyze_bams(files: DataFrame, mode: str = "quick") -> BamResult:
     order = (F.col("point_no").cast("bigint") * (1 << 32) + F.col("seq_in_point")).alias("record_no")
     records = materialize(named.select("*", order), "records")
 
-    record_totals = aln.record_totals(records, FILE)
+    record_totals = materialize(aln.record_totals(records, FILE), "record-totals")
     metrics = materialize(barcodes.barcode_metrics(barcodes.molecules(records, by=FILE), FILE), "barcodes")
-    knees = knee.barcode_knee(knee.count_of_counts(metrics, by=FILE), FILE)
-    shape = barcodes.barcode_shape(metrics, FILE)
+    knees = materialize(knee.barcode_knee(knee.count_of_counts(metrics, by=FILE), FILE), "knees")
+    shape = materialize(barcodes.barcode_shape(metrics, FILE), "shape")
     profile = inference.tag_profile(records, FILE).join(header_facts.select("file", "program_text"), "file", "left")
     assay = inference.assay(profile, F.col("program_text"))
     special = fingerprint.select("file", (F.col("small_shown") + F.col("alt_decoy_count")).alias("special_contigs"))

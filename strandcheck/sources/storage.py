@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import ship_package
+
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and inner path of a URI or local path."""
@@ -76,4 +78,5 @@ def per_row(df: DataFrame, work: Callable[[dict[str, Any]], Iterator[Rows]], sch
                     elif rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
