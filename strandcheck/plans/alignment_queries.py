@@ -474,22 +474,26 @@ def qc_flags(spark: SparkSession, folder: str) -> DataFrame:
     return _round(inference.qc_flags(row, ["file"]).drop("note"), "value")
 
 
-_POINTS = f"(select ref_id point_no, mapq, l_seq, re, cb from ({ALN}) a)"
+def convergence_sql(source: str, batch: int, by: str = "one") -> str:
+    """Snapshots per point with the stop rule; ``source`` has point_no mapq l_seq re cb and ``by``."""
+    return f"""with p as {source}, c as (select {by}, point_no, count(*) n, count(*) filter (where re = 'E') e from p group by all),
+f as (select {by}, cb, min(point_no) point_no from p where cb is not null group by all), nb as (select {by}, point_no, count(*) b from f group by all),
+s as (select c.{by}, c.point_no, cast(sum(n) over w as bigint) records, sum(e) over w e, sum(coalesce(b,0)) over w b from c left join nb on nb.point_no = c.point_no and nb.{by} = c.{by} window w as (partition by c.{by} order by c.point_no)),
+q as (select s.*, (select quantile_disc(mapq, 0.5) from p where p.point_no <= s.point_no and p.{by} = s.{by}) mapq_median, (select quantile_disc(l_seq, 0.5) from p where p.point_no <= s.point_no and p.{by} = s.{by}) read_length_median from s),
+k as (select {by}, point_no, records, e/records ef, b/records br, mapq_median mm, read_length_median lm, records // {batch} cp, records // {batch} - coalesce(lag(records) over (partition by {by} order by point_no) // {batch}, 0) cr from q),
+l as (select *, lag(case when cr > 0 then ef end ignore nulls) over w pe, lag(case when cr > 0 then br end ignore nulls) over w pb, lag(case when cr > 0 then mm end ignore nulls) over w pm, lag(case when cr > 0 then lm end ignore nulls) over w pl from k window w as (partition by {by} order by point_no)),
+g as (select *, case when cr > 1 then true when cr = 1 then pe is not null and abs(ef-pe) <= 0.01 and abs(br-pb) <= 0.01 and abs(mm-pm) <= 2 and abs(lm-pl) <= 2 end agree from l),
+t as (select *, cp >= 4 and coalesce(last_value(agree ignore nulls) over (partition by {by} order by point_no), false) stable from g)
+select {by}, point_no, records, round(ef, 8) exonic_fraction, round(br, 8) barcode_rate, cast(mm as bigint) mapq_median, cast(lm as bigint) read_length_median, cp checkpoints, cr crossed, stable,
+ stable and coalesce(max(cast(stable as int)) over b4, 0) = 0 stop_here, coalesce(max(cast(stable as int)) over b4, 0) = 1 past_stop
+from t window b4 as (partition by {by} order by point_no rows between unbounded preceding and 1 preceding)"""
 
 
 @query(
     "convergence_checkpoints",
-    f"""with p as {_POINTS}, c as (select point_no, count(*) n, count(*) filter (where re = 'E') e from p group by point_no),
-f as (select cb, min(point_no) point_no from p where cb is not null group by cb), nb as (select point_no, count(*) b from f group by point_no),
-s as (select c.point_no, cast(sum(n) over w as bigint) records, sum(e) over w e, sum(coalesce(b,0)) over w b from c left join nb on nb.point_no = c.point_no window w as (order by c.point_no)),
-q as (select s.*, (select quantile_disc(mapq, 0.5) from p where p.point_no <= s.point_no) mapq_median, (select quantile_disc(l_seq, 0.5) from p where p.point_no <= s.point_no) read_length_median from s),
-k as (select point_no, records, e/records ef, b/records br, mapq_median mm, read_length_median lm, records // 2500 cp, records // 2500 - coalesce(lag(records) over (order by point_no) // 2500, 0) cr from q),
-l as (select *, lag(case when cr > 0 then ef end ignore nulls) over (order by point_no) pe, lag(case when cr > 0 then br end ignore nulls) over (order by point_no) pb, lag(case when cr > 0 then mm end ignore nulls) over (order by point_no) pm, lag(case when cr > 0 then lm end ignore nulls) over (order by point_no) pl from k),
-g as (select *, case when cr > 1 then true when cr = 1 then pe is not null and abs(ef-pe) <= 0.01 and abs(br-pb) <= 0.01 and abs(mm-pm) <= 2 and abs(lm-pl) <= 2 end agree from l),
-t as (select *, cp >= 4 and coalesce(last_value(agree ignore nulls) over (order by point_no), false) stable from g)
-select point_no, records, round(ef, 8) exonic_fraction, round(br, 8) barcode_rate, cast(mm as bigint) mapq_median, cast(lm as bigint) read_length_median, cp checkpoints, cr crossed, stable,
- stable and coalesce(max(cast(stable as int)) over b4, 0) = 0 stop_here, coalesce(max(cast(stable as int)) over b4, 0) = 1 past_stop
-from t window b4 as (order by point_no rows between unbounded preceding and 1 preceding)""",
+    "select * exclude (one) from ("
+    + convergence_sql(f"(select 1 one, ref_id point_no, mapq, l_seq, re, cb from ({ALN}) a)", 2500)
+    + ") x",
 )
 def convergence_checkpoints(spark: SparkSession, folder: str) -> DataFrame:
     """One seek point per reference, a checkpoint every 2,500 records."""

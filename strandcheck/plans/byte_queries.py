@@ -16,6 +16,7 @@ from ..streaming import progressive
 from . import derived_files as D
 from . import preflight, report
 from . import views as V
+from .alignment_queries import convergence_sql
 from .registry import query
 
 HEADER_TEXT = "@HD\tVN:1.6\tSO:coordinate\n@RG\tID:rg1\tSM:lines\tLB:lib1\n@PG\tID:cellranger\tPN:cellranger\n"
@@ -310,7 +311,14 @@ def receipt_lines(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("file").alias("files"))
 
 
-@query("progressive_sample")
+_WAVES_SQL = convergence_sql(f"(select file, ref_id point_no, mapq, l_seq, re, cb from ({V.ALIGNMENTS_SQL}) a)", 500, "file")
+
+
+@query(
+    "progressive_sample",
+    f"""with v as ({_WAVES_SQL}), e as (select file, min(point_no) filter (where stable) // 5 last_wave from v group by file)
+select v.* from v join e on e.file = v.file where last_wave is null or point_no // 5 <= last_wave""",
+)
 def progressive_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Waves of references as a stream, stopped per sample once stable."""
     records = materialize(

@@ -139,6 +139,11 @@ def analyze_bams(files: DataFrame, mode: str = "quick") -> BamResult:
     named = once.join(refs.select("file", "ref_id", F.col("name").alias("ref_name")), ["file", "ref_id"], "left")
     order = (F.col("point_no").cast("bigint") * (1 << 32) + F.col("seq_in_point")).alias("record_no")
     records = materialize(named.select("*", order), "records")
+    snapshots = materialize(convergence.convergence(convergence.snapshots(records, FILE), by=FILE), "snapshots")
+    if mode == "deep":
+        # All points are read at once; what lies after the stop is left out again.
+        within = snapshots.filter(~F.col("past_stop")).select("file", "point_no")
+        records = records.join(within, ["file", "point_no"], "left_semi")
 
     record_totals = materialize(aln.record_totals(records, FILE), "record-totals")
     metrics = materialize(barcodes.barcode_metrics(barcodes.molecules(records, by=FILE), FILE), "barcodes")
@@ -154,8 +159,6 @@ def analyze_bams(files: DataFrame, mode: str = "quick") -> BamResult:
         .join(special, "file", "left")
     )
     qc = inference.qc_flags(qc_row, FILE)
-    snapshots = convergence.convergence(convergence.snapshots(records, FILE), by=FILE)
-
     status = bam_status(bam_headers, index_status, index_files, record_totals)
     return BamResult(
         bam_headers, header_facts, fingerprint, index_status, totals, per_reference, records, record_totals,

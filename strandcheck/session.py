@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -56,17 +57,24 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application.
 
-    Tasks that decode bytes import it, wherever the driver was started from.
+    It goes through the shared folder. Tasks that decode bytes import it, wherever the driver was started from.
     """
     context = spark.sparkContext
     if getattr(context, "_strandcheck_shipped", False):
         return
+    from .sources.storage import filesystem
+
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="strandcheck-")) / "strandcheck_package.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as packed:
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as packed:
         for source in sorted(package.rglob("*.py")):
             packed.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(archive))
+    folder = fresh_dir(spark, "package")
+    store, inner = filesystem(folder)
+    store.create_dir(inner, recursive=True)
+    with store.open_output_stream(f"{inner}/strandcheck_package.zip") as sink:
+        sink.write(content.getvalue())
+    context.addPyFile(f"{folder}/strandcheck_package.zip")
     context._strandcheck_shipped = True
 
 

@@ -338,3 +338,18 @@ def test_shared_folder_comes_from_the_session(spark):
     assert session.shared_dir(named) == "s3://x/y"
     assert session.fresh_dir(named, "a").startswith("s3://x/y/a-")
     assert session.shared_dir(spark) == session.shared_dir(spark)
+
+
+def test_deep_mode_ends_at_the_stop(spark, tmp_path, monkeypatch):
+    from strandcheck.functions import constants as K
+
+    records = [record(pos=i * 20_000, read_name=f"r{i}", cb=f"C{i % 3}-1") for i in range(6000)]
+    write_bam(str(tmp_path / "deep.bam"), records)
+    files = list_files(spark, str(tmp_path))
+    monkeypatch.setattr(preflight.convergence.convergence, "__defaults__", (200, ()))
+    monkeypatch.setitem(K.RECORD_TARGET, "deep", 4000)
+    deep = preflight.analyze_bams(files, "deep")
+    kept = {r.point_no for r in deep.records.select("point_no").distinct().collect()}
+    marks = deep.convergence.orderBy("point_no").collect()
+    assert kept == {r.point_no for r in marks if not r.past_stop}
+    assert any(r.past_stop for r in marks)
