@@ -129,10 +129,10 @@ def fastq_integrity(spark: SparkSession, folder: str) -> DataFrame:
     "illumina_headers",
     """with h as (select event_id, case event_id % 4 when 0 then concat('@', event_type, ':', cast(user_id as varchar), ':FC', cast(event_id % 7 as varchar), ':', cast(event_id % 8 + 1 as varchar), ':', cast(1100 + event_id % 9 as varchar), ':', cast(event_id as varchar), ':5 ', cast(event_id % 2 + 1 as varchar), ':', case when value > 10 then 'Y' else 'N' end, ':0:ACGT+TT')
   when 1 then concat('@read', cast(event_id as varchar), '/', cast(event_id % 3 as varchar)) when 2 then concat(event_type, ':1:A:2:3:4:5 2:N:18:', cast(user_id as varchar)) else concat('@', props, ' 1') end header from events)
-select event_id, nullif(regexp_extract(header, '(?:\\s|/)([12])(?:[:\\s]|$)', 1), '') read_number, nullif(regexp_extract(header, p, 1), '') instrument, nullif(regexp_extract(header, p, 2), '') run, nullif(regexp_extract(header, p, 3), '') flowcell,
- try_cast(regexp_extract(header, p, 4) as bigint) lane, try_cast(regexp_extract(header, p, 5) as bigint) tile, try_cast(regexp_extract(header, p, 8) as bigint) "read", case when regexp_matches(header, p) then regexp_extract(header, p, 9) = 'Y' end filtered,
- try_cast(regexp_extract(header, p2, 1) as bigint) control, nullif(regexp_extract(header, p2, 2), '') "index"
-from (select *, '^@?([^: ]+):(\\d+):([^: ]+):(\\d+):(\\d+):(\\d+):(\\d+)\\s+([12]):([YN]):\\d+:[^\\s]+' p, '^@?[^: ]+:\\d+:[^: ]+:\\d+:\\d+:\\d+:\\d+\\s+[12]:[YN]:(\\d+):([^\\s]+)' p2 from h) x""",
+select event_id, nullif(regexp_extract(header, '(?:\\s|/)([12])(?:[:\\s]|$)', 1), '') read_number, nullif(regexp_extract(header, '^@?([^: ]+):(\\d+):([^: ]+):(\\d+):(\\d+):(\\d+):(\\d+)\\s+([12]):([YN]):\\d+:[^\\s]+', 1), '') instrument, nullif(regexp_extract(header, '^@?([^: ]+):(\\d+):([^: ]+):(\\d+):(\\d+):(\\d+):(\\d+)\\s+([12]):([YN]):\\d+:[^\\s]+', 2), '') run, nullif(regexp_extract(header, '^@?([^: ]+):(\\d+):([^: ]+):(\\d+):(\\d+):(\\d+):(\\d+)\\s+([12]):([YN]):\\d+:[^\\s]+', 3), '') flowcell,
+ try_cast(regexp_extract(header, '^@?([^: ]+):(\\d+):([^: ]+):(\\d+):(\\d+):(\\d+):(\\d+)\\s+([12]):([YN]):\\d+:[^\\s]+', 4) as bigint) lane, try_cast(regexp_extract(header, '^@?([^: ]+):(\\d+):([^: ]+):(\\d+):(\\d+):(\\d+):(\\d+)\\s+([12]):([YN]):\\d+:[^\\s]+', 5) as bigint) tile, try_cast(regexp_extract(header, '^@?([^: ]+):(\\d+):([^: ]+):(\\d+):(\\d+):(\\d+):(\\d+)\\s+([12]):([YN]):\\d+:[^\\s]+', 8) as bigint) "read", case when regexp_matches(header, '^@?([^: ]+):(\\d+):([^: ]+):(\\d+):(\\d+):(\\d+):(\\d+)\\s+([12]):([YN]):\\d+:[^\\s]+') then regexp_extract(header, '^@?([^: ]+):(\\d+):([^: ]+):(\\d+):(\\d+):(\\d+):(\\d+)\\s+([12]):([YN]):\\d+:[^\\s]+', 9) = 'Y' end filtered,
+ try_cast(regexp_extract(header, '^@?[^: ]+:\\d+:[^: ]+:\\d+:\\d+:\\d+:\\d+\\s+[12]:[YN]:(\\d+):([^\\s]+)', 1) as bigint) control, nullif(regexp_extract(header, '^@?[^: ]+:\\d+:[^: ]+:\\d+:\\d+:\\d+:\\d+\\s+[12]:[YN]:(\\d+):([^\\s]+)', 2), '') "index"
+from h""",
 )
 def illumina_headers(spark: SparkSession, folder: str) -> DataFrame:
     """Headers of four styles made from events, parsed."""

@@ -317,7 +317,7 @@ select file, ref_id, bin, chunk_index, case when bin % 17 = 3 then e + 5 when bi
 from (select file, ref_id, bin, chunk_index, min(voffset) b, max(voffset) + 64 e from ({_INDEXED_SQL}) i group by all)
 """
 LINEAR_SQL = f"""
-select file, ref_id, "interval", case when "interval" % 31 = 5 then 0 when "interval" % 13 = 9 then voffset - (cast(30000 as bigint) << 16) else voffset end voffset
+select file, ref_id, "interval", case when "interval" % 31 = 5 then 0 when "interval" % 13 = 9 then greatest(65536, voffset - (cast(30000 as bigint) << 16)) else voffset end voffset
 from (select file, ref_id, "interval", min(voffset) voffset from ({_INDEXED_SQL}) i group by all)
 """
 META_SQL = f"""
@@ -379,7 +379,7 @@ def index_chunks(base: DataFrame) -> DataFrame:
 def index_linear(base: DataFrame) -> DataFrame:
     grouped = base.groupBy("file", "ref_id", "interval").agg(F.min("b").alias("v"))
     i, v = F.col("interval"), F.col("v")
-    changed = F.when(i % 31 == 5, 0).when(i % 13 == 9, v - _blocks(30000)).otherwise(v)
+    changed = F.when(i % 31 == 5, 0).when(i % 13 == 9, F.greatest(_blocks(1), v - _blocks(30000))).otherwise(v)
     return grouped.select("file", "ref_id", "interval", changed.cast("bigint").alias("voffset"))
 
 
