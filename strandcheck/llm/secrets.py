@@ -44,9 +44,9 @@ def _found(text: Column, pattern: str) -> Column:
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,found:string>>").alias("done"))
     walked = F.aggregate(
         F.arrays_zip(between.alias("gap"), matches.alias("found")), state,
-        lambda s, x: F.when(x["1"].isNull(), s).otherwise(F.struct(
-            (s["at"] + F.length(x["0"]) + F.length(x["1"])).alias("at"),
-            F.concat(s["done"], F.array(F.struct((s["at"] + F.length(x["0"])).alias("start"), x["1"].alias("found")))).alias("done"),
+        lambda s, x: F.when(x["found"].isNull(), s).otherwise(F.struct(
+            (s["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("at"),
+            F.concat(s["done"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("start"), x["found"].alias("found")))).alias("done"),
         )),
         lambda s: s["done"],
     )
@@ -65,17 +65,16 @@ def entropy_range(text: str, alphabet: str, bits: float, window: int = ENTROPY_W
     the entropy sum are adjusted, nothing is counted anew.
     """
     parts = "array(" + ",".join(str(scaled(n)) for n in range(window + 1)) + ")"
-    code = "element_at(c, {})"
-    come, go = code.format("i"), code.format(f"greatest(i - {window}, 1)")
+    come, go = "element_at(c, least(i, size(c)))", f"element_at(c, greatest(i - {window}, 1))"
     more = f"element_at({parts}, element_at(s.n, {come}) + 2) - element_at({parts}, element_at(s.n, {come}) + 1)"
     less = f"if(i > {window}, element_at({parts}, element_at(s.n, {go})) - element_at({parts}, element_at(s.n, {go}) + 1), 0)"
-    same = f"i > {window} and {come} = {go}"
-    hit = f"i > {window} and s.sum <= {sum_limit(bits, window)}"
+    keep = f"i > size(c) or (i > {window} and {come} = {go})"
+    hit = f"i > {window} and s.sum <= {sum_limit(bits, window)}"  # of the window that ends before character i
     step = f"""named_struct(
-        'n', if(i > size(c) or {same}, s.n, transform(s.n, (v, j) -> v + if(j + 1 = {come.replace('element_at(c, i)', 'element_at(c, least(i, size(c)))')}, 1, 0) - if(i > {window} and j + 1 = {go}, 1, 0))),
-        'sum', if(i > size(c) or {same}, s.sum, s.sum + {more.replace('element_at(c, i)', 'element_at(c, least(i, size(c)))')} + {less}),
+        'n', if({keep}, s.n, transform(s.n, (v, j) -> v + if(j + 1 = {come}, 1, 0) - if(i > {window} and j + 1 = {go}, 1, 0))),
+        'sum', if({keep}, s.sum, s.sum + {more} + {less}),
         'first', if({hit}, coalesce(s.first, i - 1 - {window}), s.first),
-        'last', if({hit}, i - 1, s.last))""".replace(come + " =", "element_at(c, least(i, size(c))) =")
+        'last', if({hit}, i - 1, s.last))"""
     start = f"named_struct('n', array_repeat(0, {len(alphabet)}), 'sum', 0, 'first', cast(null as int), 'last', cast(null as int))"
     codes = f"transform(slice(split({text}, '', -1), 1, length({text})), x -> instr('{alphabet}', x))"
     return f"element_at(transform(array({codes}), c -> aggregate(sequence(1, size(c) + 1), {start}, (s, i) -> {step}, s -> struct(s.first, s.last))), 1)"
@@ -93,10 +92,9 @@ def found_secrets(docs: DataFrame) -> DataFrame:
     candidates = F.filter(_found(text, CANDIDATE), lambda x: x.found.rlike("[0-9]") & ~x.found.rlike(ALLOWED))
     found = docs.withColumn("__base", F.concat(_as_spans(assign, "assign"), _as_spans(_found(text, ACCESS), "access"), _as_spans(_found(text, HEX), "hex")))
     found = found.withColumn("__candidates", candidates)
-    case = "case " + " ".join(f"when x.found rlike '{p}' then named_struct('kind', {KINDS.index(k)}, 'range', {entropy_range('x.found', a, b)})" for k, p, a, b in CLASSES) + " end"
-    ranges = F.expr(f"transform(__candidates, x -> named_struct('start', x.start, 'hit', {case}))")
-    found = found.withColumn("__ranges", F.when(F.size("__candidates") > 0, F.expr("filter(transform(__candidates, x -> named_struct('start', x.start, 'hit', " + case + ")), x -> x.hit.range.first is not null)")).otherwise(F.lit(None)))
-    del ranges
+    case = " ".join(f"when x.found rlike '{p}' then named_struct('kind', {KINDS.index(k)}, 'range', {entropy_range('x.found', a, b)})" for k, p, a, b in CLASSES)
+    ranges = F.expr(f"filter(transform(__candidates, x -> named_struct('start', x.start, 'hit', case {case} end)), x -> x.hit.range.first is not null)")
+    found = found.withColumn("__ranges", F.when(F.size("__candidates") > 0, ranges))
     added = F.transform(F.col("__ranges"), lambda x: F.struct((x.start + x.hit.range.first).alias("start"), x.hit.kind.alias("kind"), (x.start + x.hit.range.last).alias("end")))
     spans = F.array_sort(F.concat("__base", F.coalesce(added, F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return found.withColumn("spans", spans).drop("__base", "__candidates", "__ranges")
@@ -105,7 +103,7 @@ def found_secrets(docs: DataFrame) -> DataFrame:
 def span_text(spans: Column) -> Column:
     """Spans as ``kind:start:end``, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start, s.end)), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
 def base_spans(spans: Column) -> Column:
