@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, licences, packing, records, secrets
-from .common import table
+from . import chat, decontaminate, jaccard, language, licences, packing, quality, records, secrets
+from .common import held_out, table
 
 
 def _tokenizer(name: str) -> str:
@@ -46,6 +46,15 @@ def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identified(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scores = quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scores.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.decontaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -165,6 +174,8 @@ QUERIES: dict[str, Builder] = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_language_id": op4_language_id,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_token_records": op7_token_records,
     "op8_jaccard_join": op8_jaccard_join,
