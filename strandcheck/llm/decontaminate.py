@@ -239,3 +239,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, prox
     """
     found = search_index(materialize(build_index(docs), "positions"), items, window, proximity)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are not contaminated, with all their columns. Rows with the same id go together; rows without an id stay."""
+    bad = decontaminated(docs, items, proximity=0).filter("contaminated and doc_id is not null").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language, licences, packing, quality, records, secrets
+from . import chat, curves, decontaminate, jaccard, language, licences, packing, quality, records, secrets
 from .common import held_out, table
 
 
@@ -84,6 +84,10 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_curve_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return curves.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS_6 = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -180,6 +184,7 @@ QUERIES: dict[str, Builder] = {
     "op7_token_records": op7_token_records,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scan": op9_secret_scan,
+    "op10_curve_neighbours": op10_curve_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
