@@ -18,7 +18,7 @@ import numpy as np
 #: Set after each piece when many are encoded in one text; a piece that holds it is encoded alone.
 _MARK = " ~"
 #: Pieces that a worker remembers; more are encoded each time they come up.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 class Encoder:
@@ -82,9 +82,12 @@ class Encoder:
         lost = np.flatnonzero(at < 0).tolist()
         n, end = self._n, self._end
         if lost:
-            fresh = dict.fromkeys(pieces[k] for k in lost)
-            plain = [p for p in fresh if p[0] == " " and len(p) <= 64 and _MARK[1] not in p and not p[1:2].isspace()]
-            others = [p for p in fresh if not (p[0] == " " and len(p) <= 64 and _MARK[1] not in p and not p[1:2].isspace())]
+            names = [pieces[k] for k in lost]
+            fresh = dict.fromkeys(names)
+            others = [p for p in fresh if p[0] != " " or _MARK[1] in p or len(p) > 64]
+            for p in others:
+                del fresh[p]
+            plain = list(fresh)
             kept = max(0, min(len(plain), self._remembered - len(self._place)))
             self._encode(plain[:kept])
             place = dict(zip(plain[:kept], range(n, n + kept), strict=True))
@@ -93,7 +96,7 @@ class Encoder:
             self._encode(plain[kept:])
             self._encode_each(others)
             place.update(zip(plain[kept:] + others, range(n, self._n), strict=True))
-            at[lost] = [place[pieces[k]] for k in lost]
+            at[lost] = list(map(place.__getitem__, names))
         lengths = self._lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
