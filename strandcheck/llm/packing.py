@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .common import text_chunks
+from .common import text_bytes, text_chunks
 from .tokens import encoder
 
 WINDOW = 2048
@@ -115,7 +115,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDO
         def windows() -> Iterator[tuple[list[Piece], bool]]:
             for batch in batches:
                 for part in text_chunks(batch):
-                    ids, counts = encode([t or "" for t in part.column("text").to_pylist()])
+                    ids, counts = encode(text_bytes(part.column("text")))
                     at = 0
                     for doc_id, n in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
                         piece = np.append(ids[at : at + n], np.uint32(end_id))

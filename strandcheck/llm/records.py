@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_dir, materialize, ship_package
 from ..sources.storage import filesystem, spread
-from .common import text_chunks
+from .common import text_bytes, text_chunks
 from .tokens import encoder
 
 # Fixed value: what is added to a turned checksum.
@@ -132,7 +132,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
         with fs.open_output_stream(inner) as out:
             for batch in _chain(first, batches):
                 for some in text_chunks(batch):
-                    ids, counts = encode([t or "" for t in some.column("text").to_pylist()])
+                    ids, counts = encode(text_bytes(some.column("text")))
                     begin, lot = 0, []
                     for doc_id, n in zip(some.column("doc_id").to_pylist(), counts.tolist(), strict=True):
                         lot.append(framed(packed_ids(doc_id, np.append(ids[begin : begin + n], np.uint32(end_id)))))
