@@ -146,7 +146,7 @@ def _lookup(windows: _Windows, terms: np.ndarray, list_ends: np.ndarray, posting
 
 
 def search_index(index: DataFrame, items: DataFrame, window: int = WINDOW, proximity: int = PROXIMITY, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Finds the windows of ``items`` (``item_id, text``) in an index of :func:`build_index`.
+    """Finds the windows of ``items`` (``item_id, text``) in a stored index of :func:`build_index`.
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window. Returns one row
     per indexed row: ``doc_id, n_words, hits`` (disjoint ``[start, end)`` ranges of words inside exact
