@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .common import letter_digit_words, text_bytes, text_chunks
+from .common import by_ids, letter_digit_words, text_bytes, text_chunks
 
 WINDOW = 13
 #: Words of test items that are sent to the tasks at once.
@@ -244,4 +244,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, prox
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, with all their columns. Rows with the same id go together; rows without an id stay."""
     bad = decontaminated(docs, items, proximity=0).filter("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return by_ids(docs, materialize(bad, "contaminated"), "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .common import combined, held_out, text_bytes, text_chunks, white_space_words
+from .common import by_ids, combined, held_out, text_bytes, text_chunks, white_space_words
 
 FEATURES = 128
 #: Width of the Gaussian kernel on standardised statistics.
@@ -203,5 +203,6 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that are not rejected, with all their columns. Rows with the same id are kept if one of them is; rows without an id too."""
-    rejected = scored(docs, labels, threshold=threshold).groupBy("doc_id").agg(F.max("predicted").alias("p")).filter("p = 0")
-    return docs.join(rejected.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    scores = materialize(scored(docs, labels, threshold=threshold), "scores")
+    rejected = scores.filter("doc_id is not null").groupBy("doc_id").agg(F.max("predicted").alias("p")).filter("p = 0")
+    return by_ids(docs, rejected.select("doc_id"), "left_anti")
