@@ -18,7 +18,7 @@ import numpy as np
 _MARK = " ~"
 _BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 #: Pieces that a worker remembers; more are encoded each time they come up.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 
 
 def _odd_space(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
