@@ -61,8 +61,7 @@ def counted_gene(gx: Column, gn: Column) -> Column:
 
 
 def gene_tokens(gx: Column, gn: Column) -> Column:
-    tokens = F.filter(F.split(counted_gene(gx, gn), ";"), lambda t: t != "")
-    return F.slice(tokens, 1, K.GENE_TOKENS)
+    return F.filter(F.split(counted_gene(gx, gn), ";"), lambda t: t != "")
 
 
 def first_token(text: Column) -> Column:

@@ -62,8 +62,6 @@ TOP_GENES = 15
 TOP_READ_GROUPS = 20
 TOP_SEQUENCES = 8
 TOP_REFERENCES = 40
-TOP_BARCODES = 5000
-GENE_TOKENS = 8
 FAI_ROWS_SHOWN = 100
 ERRORS_SHOWN = 5
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment as A
 from ..functions import constants as K
-from .histograms import keyed_join, top_k, top_k_by, unit_quantiles
+from .histograms import keyed_join, numbered, top_k, top_k_by, unit_quantiles
 from .knee import barcode_knee, count_of_counts
 
 
@@ -64,9 +64,11 @@ def barcode_metrics(mols: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def ranked_barcodes(
-    counts: DataFrame, k: int = K.TOP_BARCODES, by: Sequence[str] = (), count: str = "reads"
+    counts: DataFrame, k: int | None = None, by: Sequence[str] = (), count: str = "reads"
 ) -> DataFrame:
-    """The ``k`` barcodes with most reads, numbered from 1."""
+    """All barcodes numbered from 1 by their reads, or the ``k`` with most."""
+    if k is None:
+        return numbered(counts, by, [F.desc(count), F.col("cb")], "rank").withColumn("rank", F.col("rank").cast("int"))
     if by:
         return top_k_by(counts, by, count, k, "cb")
     best = top_k(counts, count, k, "cb")

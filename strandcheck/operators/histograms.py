@@ -154,7 +154,7 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], al
 def unit_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), buckets: int = 4096
 ) -> DataFrame:
-    """Exact interpolated quantiles of values in [0, 1] of any cardinality.
+    """Exact interpolated quantiles of values of any cardinality, in buckets of ``1 / buckets``.
 
     Equal values are collapsed first, so a value shared by most rows is one
     row; running counts then come from :func:`bucketed_prefix`.

@@ -12,13 +12,8 @@ from ..functions import names as N
 
 
 def first_seen_length(order: Column, length: Column) -> Column:
-    """Length of the value with the smallest ``order``.
-
-    Order and length are packed into one integer, so the aggregate keeps a
-    number instead of a string or struct and stays a hash aggregation.
-    """
-    packed = order * 2048 + F.least(length, F.lit(2047)).cast("bigint")
-    return F.min(F.when(length > 0, packed)).bitwiseAND(F.lit(2047).cast("bigint"))
+    """Length of the value with the smallest ``order``, however long it is."""
+    return F.min_by(length.cast("bigint"), F.when(length > 0, order))
 
 
 def profile_columns(order: str = "record_no") -> list[Column]:

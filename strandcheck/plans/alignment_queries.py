@@ -193,7 +193,7 @@ _BARCODES = f"(select cb, count(*) reads from ({ALN}) a where cb is not null and
 
 @query(
     "barcode_rank",
-    f"select cb, reads, row_number() over (order by reads desc, cb) as rank from (select * from {_BARCODES} order by reads desc, cb limit 5000) t",
+    f"select cb, reads, row_number() over (order by reads desc, cb) as rank from {_BARCODES} t",
 )
 def barcode_rank(spark: SparkSession, folder: str) -> DataFrame:
     ranked = barcodes.ranked_barcodes(barcodes.barcode_counts(V.alignments(spark, folder)))
@@ -213,7 +213,7 @@ def _metrics(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "barcode_metrics",
     f"""select row_number() over (order by reads desc, cb) as rank, cb, reads, umis, genes, round(mito_fraction, 8) mito_fraction
-from (select * from {_METRICS} order by reads desc, cb limit 5000) t""",
+from {_METRICS} t""",
 )
 def barcode_metrics(spark: SparkSession, folder: str) -> DataFrame:
     ranked = barcodes.ranked_barcodes(_metrics(spark, folder))
@@ -276,7 +276,7 @@ def unique_molecules(spark: SparkSession, folder: str) -> DataFrame:
     return barcodes.unique_molecules(barcodes.molecules(aln, by=["file"]), ["file"])
 
 
-_TOKENS = f"""(select file, unnest(list_slice(list_filter(string_split(coalesce(nullif(gn, ''), nullif(gx, '')),';'), lambda x: x<>''),1,8)) gene
+_TOKENS = f"""(select file, unnest(list_filter(string_split(coalesce(nullif(gn, ''), nullif(gx, '')),';'), lambda x: x<>'')) gene
   from ({GENES}) a where coalesce(nullif(gn, ''), nullif(gx, '')) is not null)"""
 
 
@@ -318,13 +318,13 @@ def histogram_percentile_lower(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "price_quartiles",
     """select l_returnflag, round(quantile_cont(d, 0.25), 10) p25, round(quantile_cont(d, 0.5), 10) p50, round(quantile_cont(d, 0.75), 10) p75
-from (select l_returnflag, l_extendedprice/200000 d from lineitem) t where d <= 1 group by l_returnflag""",
+from (select l_returnflag, l_extendedprice/200000 d from lineitem) t group by l_returnflag""",
 )
 def price_quartiles(spark: SparkSession, folder: str) -> DataFrame:
     """Exact interpolated quartiles of a column with unbounded cardinality."""
     rows = V.table(spark, folder, "lineitem").select(
         "l_returnflag", (F.col("l_extendedprice") / 200000).alias("d")
-    ).filter("d <= 1")
+    )
     probs = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     return _round(histograms.unit_quantiles(rows, "d", probs, ["l_returnflag"]), *probs, digits=10)
 
@@ -412,7 +412,7 @@ def _program(spark: SparkSession) -> F.Column:
 
 
 _PROFILE_SQL = f"""(select file, count(*) records, count(cb)/count(*) cb_share, count(ub)/count(*) ub_share, count(gx)/count(*) gx_share, count(gn)/count(*) gn_share, count(re)/count(*) re_share,
-  min(record_no * 2048 + length(split_part(cb, '-', 1))) filter (where cb <> '') % 2048 barcode_length, min(record_no * 2048 + length(ub)) filter (where cb <> '' and ub <> '') % 2048 umi_length,
+  arg_min(length(split_part(cb, '-', 1)), record_no) filter (where length(split_part(cb, '-', 1)) > 0) barcode_length, arg_min(length(ub), record_no) filter (where cb <> '' and ub <> '') umi_length,
   count(*) filter (where (flag & 4) = 0) mapped, count(*) filter (where (flag & 1024) <> 0) duplicate from ({GENES}) a group by file)"""
 
 
@@ -463,7 +463,7 @@ def qc_flags(spark: SparkSession, folder: str) -> DataFrame:
             F.lit(50_000_000).cast("bigint").alias("length"),
         )
     )
-    special = contigs.fingerprint(refs).select(F.col("small_shown") + F.col("alt_decoy_count"))
+    special = contigs.fingerprint(refs).select(F.col("small_count") + F.col("alt_decoy_count"))
     row = (
         aln.groupBy("file")
         .agg(*ops.total_columns(("file", "flag")), *inference.profile_columns())

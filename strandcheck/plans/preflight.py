@@ -151,7 +151,7 @@ def analyze_bams(files: DataFrame, mode: str = "quick") -> BamResult:
     shape = materialize(barcodes.barcode_shape(metrics, FILE), "shape")
     profile = inference.tag_profile(records, FILE).join(header_facts.select("file", "program_text"), "file", "left")
     assay = inference.assay(profile, F.col("program_text"))
-    special = fingerprint.select("file", (F.col("small_shown") + F.col("alt_decoy_count")).alias("special_contigs"))
+    special = fingerprint.select("file", (F.col("small_count") + F.col("alt_decoy_count")).alias("special_contigs"))
     qc_row = (
         record_totals.join(profile.select("file", "gx_share", "gn_share"), "file")
         .join(knees.select("file", "estimated_cells", F.col("confidence").alias("knee_confidence")), "file", "left")

@@ -37,13 +37,15 @@ def build_session(app: str = "strandcheck", master: str | None = None, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Without that setting (tests, a laptop) a fresh local folder is made and
-    remembered on the session, so that it is the same for the whole run.
+    Without that setting a fresh local folder is made and remembered on the
+    session, but only in local mode, where all tasks see the same disk.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
         folder = spark.conf.get("strandcheck.scratch", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="strandcheck-")
         spark.conf.set("strandcheck.scratch", folder)
     return folder
