@@ -42,12 +42,13 @@ def _index(files: DataFrame) -> DataFrame:
 
 
 def _with_path(rows: DataFrame, files: DataFrame) -> DataFrame:
-    return rows.join(files.select(F.col("name").alias("file"), "path"), "file")
+    return rows.join(files.select(F.col("path").alias("file"), "path"), "file")
 
 
-def scanned_records(files: DataFrame) -> DataFrame:
-    ranges = bam.scan_ranges(bai.chunks(_index(files)), span=1 << 20)
-    return bam.decoded(bam.read_ranges(_with_path(ranges, files)))
+def scanned_records(files: DataFrame, headers: DataFrame, tags: tuple[str, ...] = K.WANTED_TAGS) -> DataFrame:
+    """Every record of the files; ranges that end early keep a row with their error."""
+    ranges = bam.scan_ranges(bai.chunks(_index(files)), headers, span=1 << 20)
+    return bam.read_ranges(_with_path(ranges, files), tags=tags)
 
 
 _BAM_SQL = f"(select *, pos % 536870000 p from ({V.GENE_ALIGNMENTS_SQL}) a)"
@@ -61,8 +62,10 @@ _BAM_SQL = f"(select *, pos % 536870000 p from ({V.GENE_ALIGNMENTS_SQL}) a)"
 def bam_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Every record, written to BAM and decoded again, per reference."""
     files = bam_files(spark, folder)
-    refs = bam.references(bam.read_headers(files)).select("file", "ref_id", F.col("name").alias("ref_name"))
-    records = scanned_records(files).join(refs, ["file", "ref_id"])
+    headers = materialize(bam.read_headers(files), "headers")
+    refs = bam.references(headers).select("file", "ref_id", F.col("name").alias("ref_name"))
+    found = bam.decoded(scanned_records(files, headers, ("CB", "UB", "GX", "GN", "RE", "NH")))
+    records = found.join(refs, ["file", "ref_id"], "left")
     total = lambda c, name: F.sum(c).cast("bigint").alias(name)
     return records.groupBy("ref_id", "ref_name").agg(
         F.count(F.lit(1)).alias("records"),
@@ -190,7 +193,9 @@ def bam_sample(spark: SparkSession, folder: str) -> DataFrame:
 )
 def bam_tag_presence(spark: SparkSession, folder: str) -> DataFrame:
     """Tag shares from decoded aux fields."""
-    return _round(aln_ops.tag_presence(scanned_records(bam_files(spark, folder))), "fraction")
+    files = bam_files(spark, folder)
+    found = scanned_records(files, materialize(bam.read_headers(files), "headers"))
+    return _round(aln_ops.tag_presence(bam.decoded(found)), "fraction")
 
 
 _FASTQ_RAW = f"""(select header, upper(trim(seq)) seq, trim(qual) qual, header like '@%' and plus like '+%' and length(trim(seq)) = length(trim(qual)) and length(trim(seq)) > 0 ok from ({V.RAW_READS_SQL}) r)"""
@@ -204,7 +209,7 @@ _FASTQ_RAW = f"""(select header, upper(trim(seq)) seq, trim(qual) qual, header l
 def fastq_gzip_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Records with defects through gzip FASTQ files, one stream per file."""
     files = D.write_fastq(V.raw_reads(spark, folder), gzip=True)
-    raw = materialize(fastq.read_records(fastq.splits(fastq.detect_gzip(files))), "reads")
+    raw = materialize(fastq.decoded(fastq.read_records(fastq.splits(fastq.detect_gzip(files)))), "reads")
     valid = read_ops.checked(raw).filter("valid")
     unique = read_ops.read_totals(valid).select("unique_sequences").scalar()
     return (
@@ -222,7 +227,7 @@ def fastq_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Reads through plain FASTQ files cut into byte ranges of 8 KiB."""
     rows = V.reads(spark, folder).withColumn("plus", F.lit("+"))
     files = fastq.detect_gzip(D.write_fastq(rows))
-    raw = fastq.read_records(fastq.splits(files, span=8 << 10))
+    raw = fastq.decoded(fastq.read_records(fastq.splits(files, span=8 << 10)))
     return raw.groupBy(F.element_at(F.split("header", ":"), 3).alias("lang")).agg(
         F.count(F.lit(1)).alias("reads"),
         F.sum(F.length("seq")).cast("bigint").alias("bases"),
@@ -239,7 +244,7 @@ def fastq_sample(spark: SparkSession, folder: str) -> DataFrame:
     """The bounded window sample, with a target above the size of each file."""
     rows = V.reads(spark, folder).withColumn("plus", F.lit("+"))
     target = int(rows.count()) * fastq.MAX_WINDOWS
-    sample = fastq.sample_records(fastq.detect_gzip(D.write_fastq(rows)), target)
+    sample = fastq.decoded(fastq.sample_records(fastq.detect_gzip(D.write_fastq(rows)), target))
     return read_ops.read_totals(read_ops.checked(sample).filter("valid")).select("reads", "unique_sequences")
 
 
@@ -268,8 +273,10 @@ def fai_scan(spark: SparkSession, folder: str) -> DataFrame:
 def barcodes_from_bam(spark: SparkSession, folder: str) -> DataFrame:
     """Per-barcode metrics from decoded records, named by the BAM header."""
     files = bam_files(spark, folder)
-    refs = bam.references(bam.read_headers(files)).select("file", "ref_id", F.col("name").alias("ref_name"))
-    records = scanned_records(files).join(refs, ["file", "ref_id"], "left")
+    headers = materialize(bam.read_headers(files), "headers")
+    refs = bam.references(headers).select("file", "ref_id", F.col("name").alias("ref_name"))
+    found = bam.decoded(scanned_records(files, headers, ("CB", "UB", "GX", "GN")))
+    records = found.join(refs, ["file", "ref_id"], "left")
     return _round(barcodes.barcode_metrics(barcodes.molecules(records)), "mito_fraction")
 
 

@@ -20,18 +20,15 @@ from ..operators import reads as read_ops
 from ..session import materialize
 from ..sources import bai, bam, fastq
 
-NO_INDEX = (
-    "No matching BAI index was supplied; exact count metrics and distributed sampling are unavailable."
-)
-NO_COUNTS = (
-    "This BAI does not contain optional metadata pseudo-bins, so exact idxstats-style mapped counts are unavailable."
-)
+NO_INDEX = "No index goes with this BAM, so it was neither counted exactly nor sampled across its references."
+NO_COUNTS = "The index has no count bins; mapped and unmapped records per reference are unknown."
+NO_READS = "Not one of the records looked at is a valid FASTQ record"
 FILE = ["file"]
 
 
 @dataclass
 class BamResult:
-    """Tables of all BAM files, each with a ``file`` column."""
+    """Tables of all BAM files, each with a ``file`` column: the path."""
 
     headers: DataFrame
     header_facts: DataFrame
@@ -52,7 +49,7 @@ class BamResult:
 
 @dataclass
 class FastqResult:
-    """Tables of all FASTQ files, each with a ``file`` column."""
+    """Tables of all FASTQ files, each with a ``file`` column: the path."""
 
     files: DataFrame
     records: DataFrame
@@ -65,9 +62,9 @@ class FastqResult:
 
 
 def index_tables(files: DataFrame, bam_headers: DataFrame) -> tuple[DataFrame, ...]:
-    """Index rows under the name of the BAM they belong to, and load errors."""
+    """Index rows under the path of the BAM they belong to, and load errors."""
     pairs = materialize(datasets.matched_bai(files).select("bam", "bai"), "pairs")
-    used = files.join(pairs.select(F.col("bai").alias("name")).distinct(), "name", "left_semi")
+    used = files.join(pairs.select(F.col("bai").alias("path")), "path", "left_semi")
     rows = materialize(bai.read_indexes(used), "index")
     named = lambda df: (
         df.withColumnRenamed("file", "bai").join(pairs, "bai").withColumnRenamed("bam", "file").drop("bai")
@@ -104,7 +101,7 @@ def analyze_bams(files: DataFrame, mode: str = "quick") -> BamResult:
     broken = index_ops.validation_errors(chunks, linear, meta, index_files)
     ruled = materialize(index_ops.index_status(index_files, broken), "rules")
     sound = index_files.join(ruled.filter("status = 'pass'").select("file"), "file", "left_semi")
-    paths = files.select(F.col("name").alias("file"), "path")
+    paths = files.select(F.col("path").alias("file"), "path")
     probes = bam.probe_points(
         index_ops.global_seek_points(chunks, linear, sound, K.PROBE_POINTS)
         .join(sound.select("file", F.col("bam_n_ref").alias("n_ref")), "file")
@@ -190,13 +187,13 @@ def bam_status(bam_headers: DataFrame, index: DataFrame, index_files: DataFrame,
     error = F.coalesce(
         "header_error",
         "index_error",
-        F.when(F.col("bai").isNotNull() & F.col("sampled").isNull(), "Could not decode BAM records from BAI seek points"),
+        F.when(F.col("bai").isNotNull() & F.col("sampled").isNull(), "No record could be decoded at the places the index names"),
     )
     warnings = F.array_compact(
         F.array(
             F.when(F.col("bai").isNull() & F.col("header_error").isNull(), NO_INDEX),
             F.when(F.col("index_error").isNotNull(), F.concat(
-                F.lit("BAI rejected during compatibility/integrity validation: "), "index_error")),
+                F.lit("The index was not used: "), "index_error")),
             F.when((F.col("index") == "pass") & ~F.col("has_metadata"), NO_COUNTS),
         )
     )
@@ -213,32 +210,34 @@ def analyze_fastqs(files: DataFrame, mode: str = "quick") -> FastqResult:
     record keeps a row in ``summary`` with an ``error``.
     """
     marked = materialize(fastq.detect_gzip(files), "fastq-files")
-    raw = materialize(fastq.sample_records(marked, K.READ_TARGET[mode]), "reads")
+    sampled = materialize(fastq.sample_records(marked, K.READ_TARGET[mode]), "reads")
+    raw = fastq.decoded(sampled)
     valid = read_ops.checked(raw).filter("valid")
     cells = materialize(read_ops.base_histogram(valid.select("file", "seq", "qual"), FILE), "bases")
     cycles = read_ops.per_cycle(cells, FILE)
     order = F.col("window").cast("bigint") * (1 << 40) + F.col("rec_no")
-    listed = files.select(F.col("name").alias("file"), "size", "position")
+    listed = files.select(F.col("path").alias("file"), "name", "size", "position")
     strategy = (
         F.when(F.col("gzip"), "gzip prefix stream")
         .when(F.col("size") > fastq.WINDOW_BYTES, "distributed uncompressed byte ranges")
         .otherwise("uncompressed full file")
     )
     summary = (
-        listed.join(marked.select(F.col("name").alias("file"), "gzip"), "file")
+        listed.join(marked.select(F.col("path").alias("file"), "gzip"), "file")
         .withColumn("strategy", strategy)
         .join(read_ops.read_totals(valid, FILE), "file", "left")
         .join(read_ops.base_totals(cells, FILE), "file", "left")
         .join(read_ops.cycle_entropy(cycles, FILE), "file", "left")
         .join(read_ops.integrity(raw, FILE).drop("reads"), "file", "left")
         .join(read_ops.first_header(raw, order, FILE), "file", "left")
-        .withColumn("error", F.when(F.col("reads").isNull(), "No valid four-line FASTQ records were found"))
+        .join(fastq.failures(sampled), "file", "left")
+        .withColumn("error", F.coalesce("error", F.when(F.col("reads").isNull(), NO_READS)))
     )
     summary = materialize(summary, "fastq-summary")
-    keyed = datasets.labelled_files(files).select(F.col("name").alias("file"), F.col("dataset_key").alias("dataset_id"))
+    keyed = datasets.labelled_files(files).select(F.col("path").alias("file"), F.col("dataset_key").alias("dataset_id"))
     pairs = inference.pair_layout(
         summary.join(keyed, "file").select(
-            "dataset_id", F.col("file").alias("file_name"), "position", "median_length",
+            "dataset_id", F.col("name").alias("file_name"), "position", "median_length",
             F.col("illumina.read").alias("illumina_read"), "error",
         )
     )
@@ -260,10 +259,10 @@ def consistency(files: DataFrame, bams: BamResult, fastqs: FastqResult) -> DataF
         .join(keys, "file")
     )
     fastq_keys = datasets.labelled_files(files).select(
-        F.col("name").alias("file"), F.col("dataset_key").alias("dataset_id")
+        F.col("path").alias("file"), F.col("dataset_key").alias("dataset_id")
     )
     fastq_side = fastqs.summary.join(fastq_keys, "file").select(
-        "dataset_id", F.col("file").alias("file_name"), "position", "median_length",
+        "dataset_id", F.col("name").alias("file_name"), "position", "median_length",
         F.col("illumina.read").alias("illumina_read"), F.col("illumina.lane").alias("lane"), "error",
     )
     return inference.consistency(bam_side, fastq_side)

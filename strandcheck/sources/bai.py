@@ -98,24 +98,24 @@ def parse(data: bytes) -> Iterator[dict]:
 
 
 def read_indexes(files: DataFrame) -> DataFrame:
-    """Rows of all indexes in ``files`` (path, name); one task per index.
+    """Rows of all indexes in ``files`` (path, name), known by their path; one task per index.
 
     An index that breaks a rule gives one row of kind ``error`` and its other
     rows are to be ignored, see :func:`usable`.
     """
 
     def work(row: dict) -> Iterator[list[dict]]:
-        with open_range(row["path"]) as source:
-            data = source.read()
         held: list[dict] = []
         try:
+            with open_range(row["path"]) as source:
+                data = source.read()
             for item in parse(data):
-                held.append(item | {"file": row["name"]})
+                held.append(item | {"file": row["path"]})
                 if len(held) >= _ROWS_PER_BATCH:
                     yield held
                     held = []
-        except BaiError as problem:
-            held = [{"file": row["name"], "kind": "error", "error": str(problem)}]
+        except (BaiError, OSError) as problem:
+            held = [{"file": row["path"], "kind": "error", "error": str(problem)}]
         yield held
 
     bais = files.filter(F.col("name").rlike(r"(?i)\.bai$")).select("path", "name")

@@ -17,9 +17,9 @@ from ..functions import alignment as A
 from ..functions import constants as K
 from . import bgzf
 from .storage import open_range, per_row, spread
+from .tags import slices, walk
 
 # Limits of headers and records.
-HEADER_BLOCKS = 256
 HEADER_BYTES = 64 << 20
 MAX_REFERENCES = 1_000_000
 MAX_NAME = 1_000_000
@@ -28,14 +28,14 @@ MAX_SEQUENCE = 1_000_000
 # Window limits (compressed bytes, blocks, inflated bytes).
 SAMPLE_WINDOW = (1536 << 10, 48, 3 << 20)
 PROBE_WINDOW = (512 << 10, 16, 1 << 20)
-# Aux value sizes.
-AUX_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4, "d": 8}
-AUX_CODES = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f", "d": "<d"}
+# Most bytes of a record in a whole-file scan; a longer one is reported as an error.
+LARGEST_RECORD = 256 << 20
+RANGES_PER_TASK = 4
 
 HEADER_SCHEMA = (
     "file string, path string, size bigint, eof boolean, header_text string, "
     "refs array<struct<name:string,length:bigint>>, header_bytes bigint, compressed_bytes bigint, "
-    "blocks int, error string"
+    "blocks int, first_record bigint, error string"
 )
 RECORD_SCHEMA = (
     "file string, point_no int, region string, seq_in_point int, ref_id int, pos int, read_name string, "
@@ -102,33 +102,37 @@ def _read_header(row: dict) -> dict:
     with open_range(row["path"]) as source:
         size = source.size()
         out = {"eof": bgzf.ends_with_eof_block(source, size), "size": size}
-        data, need = bytearray(), 0
-        for count, block in enumerate(bgzf.blocks(source, 0, size), start=1):
+        data, need, parsed = bytearray(), 0, None
+        # Where each block lies in the file, by its place in the inflated bytes.
+        places: list[tuple[int, int]] = []
+        for block in bgzf.blocks(source, 0, size):
+            places.append((len(data), block.offset))
             data += block.data
+            if len(data) > HEADER_BYTES + (MAX_REFERENCES << 6):
+                raise BamError("BAM header exceeds safety limit")
             # Parsing again after every block would be quadratic in the header.
             if len(data) >= need or not block.data:
-                parsed = parse_header(bytes(data))
-                if parsed:
-                    return out | parsed | {"compressed_bytes": block.offset + block.size, "blocks": count}
+                if parsed := parse_header(bytes(data)):
+                    break
                 need = len(data) + len(data) // 4
-            if len(data) > HEADER_BYTES:
-                raise BamError("BAM header exceeds safety limit")
-            if count >= HEADER_BLOCKS:
-                break
-        parsed = parse_header(bytes(data))
-        if parsed:
-            return out | parsed | {"compressed_bytes": block.offset + block.size, "blocks": count}
-        raise BamError("Could not read a complete BAM header")
+        parsed = parsed or parse_header(bytes(data))
+        if not parsed:
+            raise BamError("Could not read a complete BAM header")
+        after = block.offset + block.size
+        places.append((len(data), after))
+        inflated, offset = max(p for p in places if p[0] <= parsed["header_bytes"])
+        first = offset << 16 | parsed["header_bytes"] - inflated
+        return out | parsed | {"compressed_bytes": after, "blocks": len(places) - 1, "first_record": first}
 
 
 def read_headers(files: DataFrame, fail_fast: bool = False) -> DataFrame:
-    """One row per BAM of ``files``; a problem is its ``error``, or raised."""
+    """One row per BAM of ``files``, known by its path; a problem is its ``error``, or raised."""
 
     def work(row: dict) -> Iterator[list[dict]]:
-        base = {"file": row["name"], "path": row["path"], "size": row["size"]}
+        base = {"file": row["path"], "path": row["path"], "size": row["size"]}
         try:
             yield [base | _read_header(row)]
-        except (BamError, bgzf.BgzfError) as problem:
+        except (BamError, bgzf.BgzfError, OSError) as problem:
             if fail_fast:
                 raise
             yield [base | {"error": str(problem)}]
@@ -146,67 +150,20 @@ def references(headers: DataFrame) -> DataFrame:
 # Records
 
 
-def _skip_aux(data: bytes, at: int, end: int, kind: str) -> int:
-    size = AUX_SIZES.get(kind)
-    if size:
-        return at + size
-    if kind in "ZH":
-        stop = data.find(b"\x00", at, end)
-        return (end if stop < 0 else stop) + 1
-    if kind == "B" and at + 5 <= end:
-        item = {"c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}.get(chr(data[at]))
-        (count,) = struct.unpack_from("<i", data, at + 1)
-        if item and count >= 0:
-            return at + 5 + count * item
-    return end + 1
-
-
-def _aux(data: bytes, at: int, end: int) -> dict:
-    """Wanted tags of one record; a later copy of a tag replaces the earlier."""
-    tags: dict = {}
-    while at + 3 <= end:
-        tag, kind = data[at : at + 2].decode("latin-1"), chr(data[at + 2])
-        at += 3
-        after = _skip_aux(data, at, end, kind)
-        if after > end:
-            break
-        if tag in K.WANTED_TAGS:
-            if kind == "A":
-                tags[tag] = chr(data[at])
-            elif kind in AUX_CODES:
-                (tags[tag],) = struct.unpack_from(AUX_CODES[kind], data, at)
-            elif kind in "ZH":
-                tags[tag] = data[at : after - 1].decode("utf-8", "replace")
-            else:
-                tags[tag] = None
-        at = after
-    return tags
-
-
-def _check_aux(data: bytes, at: int, end: int) -> None:
-    while at < end:
-        if at + 3 > end:
-            raise BamError("truncated auxiliary tag header")
-        kind = chr(data[at + 2])
-        if data[at] < 33 or data[at + 1] < 33 or (kind not in AUX_SIZES and kind not in "ZHB"):
-            raise BamError("invalid auxiliary tag")
-        after = _skip_aux(data, at + 3, end, kind)
-        if after > end:
-            raise BamError(f"truncated auxiliary value for {data[at : at + 2].decode('latin-1')}")
-        at = after
-
-
-def record_table(data: bytes, start: int, stop: int, limit: int) -> tuple[dict[str, np.ndarray], int]:
+def record_table(
+    data: bytes, start: int, stop: int, limit: int, largest: int = RECORD_BYTES[1], longest: int = MAX_SEQUENCE
+) -> tuple[dict[str, np.ndarray], int]:
     """Fixed fields of the records starting in ``[start, stop)`` as columns.
 
     Also gives the position after the last of them. Ends early at a record
-    that is cut off or has impossible lengths.
+    that is cut off, has impossible lengths, more than ``largest`` bytes or
+    more than ``longest`` bases.
     """
     at, starts, size = start, [], len(data)
     unpack = struct.Struct("<i").unpack_from
     while at + 4 <= size and at < stop and len(starts) < limit:
         (length,) = unpack(data, at)
-        if not RECORD_BYTES[0] <= length <= RECORD_BYTES[1] or at + 4 + length > size:
+        if not RECORD_BYTES[0] <= length <= largest or at + 4 + length > size:
             break
         starts.append(at)
         at += 4 + length
@@ -232,7 +189,7 @@ def record_table(data: bytes, start: int, stop: int, limit: int) -> tuple[dict[s
         (t["name_bytes"] >= 1)
         & (t["name_bytes"] <= t["bytes"])
         & (t["l_seq"] >= 0)
-        & (t["l_seq"] <= MAX_SEQUENCE)
+        & (t["l_seq"] <= longest)
         & (t["aux_at"] <= t["end"])
     )
     if not sane.all():
@@ -247,41 +204,31 @@ def record_table(data: bytes, start: int, stop: int, limit: int) -> tuple[dict[s
     return t, at
 
 
-def _text(value) -> str | None:
-    return None if value is None else str(value)
-
-
-def _number(value) -> int | None:
-    try:
-        return None if value is None else int(float(value))
-    except (TypeError, ValueError, OverflowError):
-        return None
-
-
-def _columns(data: bytes, t: dict[str, np.ndarray], base: dict, first: int) -> dict[str, list]:
-    """Records of a table as output columns, with names and tags decoded."""
+def _columns(data: bytes, t: dict[str, np.ndarray], base: dict, first: int, tags: tuple[str, ...]) -> dict:
+    """Records of a table as output columns, with names and the wanted tags decoded."""
     n = len(t["begin"])
+    raw = np.frombuffer(data, dtype=np.uint8)
     names = t["begin"] + 36
-    spans = zip(names.tolist(), (names + t["name_bytes"] - 1).tolist(), strict=True)
-    aux = [_aux(data, i, j) for i, j in zip(t["aux_at"].tolist(), t["end"].tolist(), strict=True)]
-    whole = lambda tag: [v if isinstance(v := x.get(tag), int) else None for x in aux]
-    return {
-        **{k: [v] * n for k, v in base.items()},
-        "seq_in_point": list(range(first, first + n)),
-        **{k: t[k].tolist() for k in ("ref_id", "pos", "mapq", "flag", "l_seq", "spliced")},
-        "read_name": [data[i:j].decode("utf-8", "replace") for i, j in spans],
-        **{
-            tag.lower(): [_text(x.get(tag)) for x in aux]
-            for tag in ("CB", "CR", "UB", "UR", "GX", "GN", "RE", "RG", "xf")
-        },
-        "mm_upper": whole("MM"),
-        "mm_lower": whole("mm"),
-        "nh": [_number(x.get("NH")) for x in aux],
-        "tags_present": [list(x) for x in aux],
+    out = base | {
+        "seq_in_point": np.arange(first, first + n, dtype=np.int32),
+        **{k: t[k].astype(np.int32) for k in ("ref_id", "pos", "mapq", "flag", "l_seq")},
+        "spliced": t["spliced"],
+        "read_name": slices(raw, names, names + t["name_bytes"] - 1),
     }
-
-
-def read_points(points: DataFrame, per_point: int | Column) -> DataFrame:
+    if not tags:
+        return out
+    fields = walk(raw, t["aux_at"], t["end"])
+    for tag in tags:
+        if tag in ("MM", "mm"):
+            out["mm_upper" if tag == "MM" else "mm_lower"] = fields.integers(tag)
+        elif tag == "NH":
+            out["nh"] = fields.integers(tag, convert=True)
+        else:
+            out[tag.lower()] = fields.texts(tag)
+    return out | {"tags_present": fields.present(tags)}
+
+
+def read_points(points: DataFrame, per_point: int | Column, tags: tuple[str, ...] = K.WANTED_TAGS) -> DataFrame:
     """Records of bounded windows at seek points.
 
     ``points``: path, file, point_no, voffset, region. A point whose bytes
@@ -295,8 +242,8 @@ def read_points(points: DataFrame, per_point: int | Column) -> DataFrame:
                 found = bgzf.window(source, row["voffset"] >> 16, source.size(), *SAMPLE_WINDOW)
             data = b"".join(b.data for b in found)
             table, _ = record_table(data, row["voffset"] & 0xFFFF, len(data), row["limit"])
-            yield _columns(data, table, base, 0)
-        except bgzf.BgzfError as problem:
+            yield _columns(data, table, base, 0, tags)
+        except (bgzf.BgzfError, OSError) as problem:
             yield [base | {"error": str(problem)}]
 
     limit = per_point if isinstance(per_point, Column) else F.lit(per_point)
@@ -307,14 +254,20 @@ def read_points(points: DataFrame, per_point: int | Column) -> DataFrame:
     return per_row(spread(work_rows), work, RECORD_SCHEMA)
 
 
-def scan_ranges(chunks: DataFrame, span: int = 32 << 20) -> DataFrame:
+def scan_ranges(chunks: DataFrame, headers: DataFrame | None = None, span: int = 32 << 20) -> DataFrame:
     """Record-aligned ranges that cover every file once.
 
     A range starts at the lowest chunk offset in each ``span`` of compressed
     bytes; it ends where the next one starts, the last at the end of the file.
+    With ``headers`` the first range starts right after the header, so a file
+    without index, or without any placed record, is covered as well.
     """
+    starts = chunks.filter("beg <> 0").select("file", "beg")
+    if headers is not None:
+        after = headers.filter(F.col("first_record").isNotNull())
+        starts = starts.unionByName(after.select("file", F.col("first_record").alias("beg")))
     piece = F.floor(A.offset_block(F.col("beg")) / span)
-    starts = chunks.filter("beg <> 0").groupBy("file", piece.alias("piece")).agg(F.min("beg").alias("voffset"))
+    starts = starts.groupBy("file", piece.alias("piece")).agg(F.min("beg").alias("voffset"))
     order = Window.partitionBy("file").orderBy("voffset")
     return starts.select(
         "file",
@@ -324,43 +277,83 @@ def scan_ranges(chunks: DataFrame, span: int = 32 << 20) -> DataFrame:
     )
 
 
-def read_ranges(ranges: DataFrame, batch: int = 4 << 20) -> DataFrame:
-    """All records of ranges (path, file, point_no, voffset, end)."""
+def _missing(data: bytes, at: int, largest: int) -> int:
+    """Bytes still needed for the record at ``at``; 0 if it can never be read."""
+    have = len(data) - at
+    if have < 4:
+        return 4 - have
+    (length,) = struct.unpack_from("<i", data, at)
+    if not RECORD_BYTES[0] <= length <= largest:
+        return 0
+    return max(0, 4 + length - have)
 
-    def work(row: dict) -> Iterator[list[dict]]:
+
+def read_ranges(
+    ranges: DataFrame, batch: int = 4 << 20, tags: tuple[str, ...] = K.WANTED_TAGS, largest: int = LARGEST_RECORD
+) -> DataFrame:
+    """All records of ranges (path, file, point_no, voffset, end).
+
+    Only ``tags`` are decoded; without any, auxiliary fields are not looked
+    at. A range ends at the first record that breaks the layout, with a row
+    that carries the ``error``, see :func:`scan_status`. A task holds
+    ``batch`` inflated bytes and one record.
+    """
+
+    def work(row: dict) -> Iterator[list[dict] | dict]:
         base = {"file": row["file"], "point_no": row["point_no"], "region": None}
-        stop_block = None if row["end"] is None else row["end"] >> 16
-        done = 0
+        data, at, stop, done, wanted = b"", row["voffset"] & 0xFFFF, None, 0, batch
+        parts: list[bytes] = []
+        held = 0
+
+        def parse() -> dict:
+            """Records of the joined bytes; keeps what lies after them."""
+            nonlocal data, at, stop, done, parts, held
+            data, parts, held = data + b"".join(parts), [], 0
+            table, after = record_table(data, at, len(data) if stop is None else stop, 1 << 62, largest, 1 << 31)
+            found = _columns(data, table, base, done, tags)
+            done += len(table["begin"])
+            stop = None if stop is None else stop - after
+            data, at = data[after:], max(0, at - len(data)) if after > len(data) else 0
+            return found
+
         try:
             with open_range(row["path"]) as source:
-                data, at, stop = b"", row["voffset"] & 0xFFFF, None
-                parts: list[bytes] = []
-                held = 0
                 for block in bgzf.blocks(source, row["voffset"] >> 16, source.size()):
-                    if stop_block is not None and stop is None and block.offset >= stop_block:
-                        stop = len(data) + held + (row["end"] & 0xFFFF if block.offset == stop_block else 0)
+                    if row["end"] is not None and stop is None and block.offset >= row["end"] >> 16:
+                        inside = row["end"] & 0xFFFF if block.offset == row["end"] >> 16 else 0
+                        stop, wanted = len(data) + held + inside, 1
                     parts.append(block.data)
                     held += len(block.data)
-                    if held < batch and stop is None:
+                    if held < wanted:
                         continue
-                    data, parts, held = data + b"".join(parts), [], 0
-                    table, after = record_table(data, at, len(data) if stop is None else stop, 1 << 62)
-                    yield _columns(data, table, base, done)
-                    done += len(table["begin"])
-                    if stop is not None:
-                        if after >= stop:
-                            return
-                        stop -= after
-                    data, at = data[after:], 0
-                data += b"".join(parts)
-                table, after = record_table(data, at, len(data) if stop is None else stop, 1 << 62)
-                yield _columns(data, table, base, done)
-                if after < (len(data) if stop is None else stop):
-                    yield [base | {"error": f"invalid or truncated BAM record after {done + len(table['begin'])} records"}]
-        except bgzf.BgzfError as problem:
+                    yield parse()
+                    if stop is not None and stop <= 0:
+                        return
+                    missing = _missing(data, 0, largest)
+                    if not missing:
+                        break
+                    wanted = max(missing, batch if stop is None else 1)
+                else:
+                    yield parse()
+            if data and (stop is None or stop > 0):
+                yield [base | {"error": f"range ends at a damaged or cut record, after {done} whole ones"}]
+        except (bgzf.BgzfError, OSError) as problem:
+            if parts:
+                yield parse()
             yield [base | {"error": str(problem)}]
 
-    return per_row(spread(ranges.select("path", "file", "point_no", "voffset", "end")), work, RECORD_SCHEMA)
+    pieces = ranges.select("path", "file", "point_no", "voffset", "end")
+    return per_row(spread(pieces, RANGES_PER_TASK), work, RECORD_SCHEMA)
+
+
+def scan_status(records: DataFrame) -> DataFrame:
+    """Per file: records read, ranges that ended early and the first problem."""
+    failed = F.col("error").isNotNull()
+    return records.groupBy("file").agg(
+        F.count_if(~failed).alias("records"),
+        F.count_if(failed).alias("failed_ranges"),
+        F.min_by("error", F.when(failed, F.col("point_no"))).alias("error"),
+    )
 
 
 def probe_record(data: bytes, at: int, reference_count: int) -> None:
@@ -383,7 +376,11 @@ def probe_record(data: bytes, at: int, reference_count: int) -> None:
     ref = int(table["ref_id"][0])
     if not -1 <= ref < min(reference_count, MAX_REFERENCES) or int(table["pos"][0]) < -1:
         raise BamError(f"invalid BAM reference/position at byte {at}")
-    _check_aux(data, int(table["aux_at"][0]), int(table["end"][0]))
+    fields = walk(np.frombuffer(data, np.uint8), table["aux_at"], table["end"])
+    if fields.reached[0] != table["end"][0]:
+        raise BamError(f"auxiliary field at byte {int(fields.reached[0])} is cut off or of no known type")
+    if len(fields.tag) and ((fields.tag >> 8 < 33) | (fields.tag & 0xFF < 33)).any():
+        raise BamError(f"auxiliary field without a printable tag in the record at byte {at}")
 
 
 def probe_points(points: DataFrame) -> DataFrame:
@@ -402,7 +399,7 @@ def probe_points(points: DataFrame) -> DataFrame:
                 raise BamError(f"BAI seek offset {place} is outside its BGZF block")
             probe_record(b"".join(b.data for b in found), row["voffset"] & 0xFFFF, row["n_ref"])
             yield [base | {"ok": True}]
-        except (BamError, bgzf.BgzfError) as problem:
+        except (BamError, bgzf.BgzfError, OSError) as problem:
             yield [base | {"ok": False, "error": str(problem)}]
 
     return per_row(spread(points.select("path", "file", "voffset", "n_ref")), work, PROBE_SCHEMA)

@@ -54,7 +54,7 @@ def blocks(source, start: int, file_size: int, read_ahead: int = READ_AHEAD) ->
             source.seek(held_at + len(held))
             held = held[inside:] + source.read(min(step, file_size - held_at - len(held)))
             held_at, inside = at, 0
-        size = block_size(held[inside : inside + 12 + 65535][:4096])
+        size = block_size(held[inside : inside + 12 + 65535])
         if at + size > file_size:
             raise BgzfError("Truncated BGZF block at end of file")
         inflater = zlib.decompressobj(31)
@@ -62,6 +62,8 @@ def blocks(source, start: int, file_size: int, read_ahead: int = READ_AHEAD) ->
             data = inflater.decompress(held[inside : inside + size])
         except zlib.error as problem:
             raise BgzfError(f"Corrupt BGZF block at {at}: {problem}") from problem
+        if not inflater.eof or inflater.unused_data:
+            raise BgzfError(f"BGZF block at {at} does not end where its header says")
         yield Block(at, size, data)
         at += size
 

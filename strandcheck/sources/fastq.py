@@ -19,8 +19,10 @@ MAX_WINDOWS = 16
 READ_BYTES = 4 << 20
 
 RECORD_SCHEMA = (
-    "file string, window int, rec_no bigint, header string, seq string, plus string, qual string, tail boolean"
+    "file string, window int, rec_no bigint, header string, seq string, plus string, qual string, tail boolean, "
+    "error string"
 )
+SPLITS_PER_TASK = 4
 GZIP_SCHEMA = "path string, name string, size bigint, gzip boolean"
 
 
@@ -44,7 +46,7 @@ def splits(files: DataFrame, span: int = 64 << 20) -> DataFrame:
     rows = files.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)).alias("w"))
     return rows.select(
         "path",
-        F.col("name").alias("file"),
+        F.col("path").alias("file"),
         "gzip",
         F.col("w").cast("int").alias("window"),
         (F.col("w") * span).alias("start"),
@@ -74,7 +76,7 @@ def sample_windows(files: DataFrame, overlap: bool = False) -> DataFrame:
         end = F.least(end, following)
     return rows.select(
         "path",
-        F.col("name").alias("file"),
+        F.col("path").alias("file"),
         "gzip",
         "windows",
         F.col("w").cast("int").alias("window"),
@@ -83,23 +85,35 @@ def sample_windows(files: DataFrame, overlap: bool = False) -> DataFrame:
     )
 
 
+class FastqError(ValueError):
+    """A compressed stream that is damaged or cut off."""
+
+
 def _lines_of_gzip(source) -> Iterator[list[str]]:
-    """Lines of all gzip members, a batch per piece read."""
+    """Lines of all gzip members, a batch per piece read; they must end whole."""
     inflater, decode, rest = zlib.decompressobj(31), codecs.getincrementaldecoder("utf-8")("replace"), ""
+    begun = False
     while piece := source.read(READ_BYTES):
         while piece:
-            text = decode.decode(inflater.decompress(piece, READ_BYTES))
+            if not begun and not piece.strip(b"\x00"):
+                # Padding after the last member.
+                break
+            begun = True
+            try:
+                text = decode.decode(inflater.decompress(piece, READ_BYTES))
+            except zlib.error as problem:
+                raise FastqError(f"damaged gzip stream: {problem}") from problem
             lines = (rest + text).split("\n")
             rest = lines.pop()
             yield lines
             piece = inflater.unconsumed_tail
             if inflater.eof:
-                piece = inflater.unused_data
+                piece, begun = inflater.unused_data, False
                 inflater = zlib.decompressobj(31)
-                if piece and not piece.strip(b"\x00"):
-                    break
     if rest:
         yield [rest]
+    if begun:
+        raise FastqError("gzip stream ends before its last block")
 
 
 def _lines_of_range(source, start: int, size: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -127,55 +141,89 @@ def _lines_of_range(source, start: int, size: int) -> Iterator[tuple[int, list[b
         yield at, [rest]
 
 
-def _records_of_range(source, start: int, end: int, size: int) -> Iterator[list[list[str]]]:
-    """Groups of four lines whose first line starts in ``[start, end)``.
+def _is_start(lines: list, i: int) -> bool:
+    """A line with ``@`` and one with ``+`` two lines on: in whole records only headers are such lines."""
+    return lines[i].startswith("@") and lines[i + 2].startswith("+")
+
 
-    A range inside a file begins with the first line that starts with ``@``
-    and has a ``+`` two lines on: of all lines, only headers do.
+def _groups(batches: Iterator[tuple[int, list[str], list[int]]], start: int, end: int | None) -> Iterator[list[list[str]]]:
+    """Records whose first line starts in ``[start, end)``, as lists of lines.
+
+    A valid record is followed by the next line. A damaged one is followed by
+    the next line that starts a record, so that one stray or missing line costs
+    one record, wherever a file is cut: a range begins at its first such line
+    (the start of the file counts as one) and ends at the first of the next.
+    A damaged record keeps at most four lines; what is cut off by the end of
+    the file has fewer than four, one damaged within it is filled with empty ones.
     """
-    lines: list[bytes] = []
-    at, aligned = None, start == 0
-    for first, more in _lines_of_range(source, start, size):
-        if at is None:
-            at = first
+    lines: list[str] = []
+    sizes: list[int] = []
+    at = None
+    # Lines of a damaged record, while the start of the next is looked for.
+    damaged: list[str] | None = None if start == 0 else []
+    owned = start == 0
+    for first, more, lengths in batches:
+        at = first if at is None else at
         lines += more
-        if not aligned:
-            for i in range(len(lines) - 2):
-                if lines[i].startswith(b"@") and lines[i + 2].startswith(b"+"):
-                    at += sum(len(x) + 1 for x in lines[:i])
-                    lines, aligned = lines[i:], True
+        sizes += lengths
+        found, i = [], 0
+        while True:
+            if damaged is not None:
+                while i + 2 < len(lines) and not _is_start(lines, i):
+                    if owned and len(damaged) < 4:
+                        damaged.append(lines[i])
+                    at += sizes[i]
+                    i += 1
+                if i + 2 >= len(lines):
                     break
+                if owned:
+                    found.append(damaged + [""] * (4 - len(damaged)))
+                damaged, owned = None, True
+            if i + 4 > len(lines):
+                break
+            if end is not None and at >= end and _is_start(lines, i):
+                if found:
+                    yield found
+                return
+            if _is_valid(lines[i : i + 4]):
+                found.append(lines[i : i + 4])
+                at += sum(sizes[i : i + 4])
+                i += 4
             else:
-                keep = lines[-2:]
-                at += sum(len(x) + 1 for x in lines[:-2])
-                lines = keep
-                if at >= end:
-                    return
-                continue
-        groups, used = [], 0
-        while used + 4 <= len(lines) and at < end:
-            four = lines[used : used + 4]
-            groups.append([x.replace(b"\r", b"").decode("utf-8", "replace") for x in four])
-            at += sum(len(x) + 1 for x in four)
-            used += 4
-        yield groups
-        lines = lines[used:]
-        if at >= end:
-            return
-    left = [x.replace(b"\r", b"").decode("utf-8", "replace") for x in lines]
-    if aligned and at is not None and at < end and any(left):
-        yield [left]
+                damaged = [lines[i]]
+                at += sizes[i]
+                i += 1
+        if found:
+            yield found
+        lines, sizes = lines[i:], sizes[i:]
+    if not owned:
+        return
+    if damaged is None:
+        # A cut record after the range is its own if no later range can start there.
+        beyond = end is not None and at is not None and at >= end
+        if any(lines) and not (beyond and len(lines) > 2 and _is_start(lines, 0)):
+            yield [lines]
+        return
+    room = 4 - len(damaged)
+    cut = next((k for k in range(room, len(lines)) if lines[k].startswith("@")), len(lines))
+    body = (damaged + lines[:cut])[:4]
+    if cut == len(lines):
+        yield [body]
+    else:
+        yield [body, lines[cut:]]
+
+
+def _records_of_range(source, start: int, end: int, size: int) -> Iterator[list[list[str]]]:
+    def batches() -> Iterator[tuple[int, list[str], list[int]]]:
+        for at, raw in _lines_of_range(source, start, size):
+            yield at, [x.replace(b"\r", b"").decode("utf-8", "replace") for x in raw], [len(x) + 1 for x in raw]
+
+    return _groups(batches(), start, end)
 
 
 def _records_of_gzip(source) -> Iterator[list[list[str]]]:
-    lines: list[str] = []
-    for more in _lines_of_gzip(source):
-        lines += [x.replace("\r", "") for x in more]
-        whole = len(lines) // 4 * 4
-        yield [lines[i : i + 4] for i in range(0, whole, 4)]
-        lines = lines[whole:]
-    if any(lines):
-        yield [lines]
+    batches = ((0, [x.replace("\r", "") for x in more], [0] * len(more)) for more in _lines_of_gzip(source))
+    return _groups(batches, 0, None)
 
 
 def _is_valid(four: list[str]) -> bool:
@@ -188,41 +236,56 @@ def read_records(ranges: DataFrame, target: int | None = None) -> DataFrame:
     """Raw records of ranges, numbered per range.
 
     With a ``target``, a range stops after that many valid records. A file
-    that ends inside a record gives a row with ``tail`` set.
+    that ends inside a record gives a row with ``tail`` set, one that cannot be
+    read on a row with ``error`` and no record, see :func:`decoded`, :func:`failures`.
     """
 
-    def work(row: dict) -> Iterator[list[dict]]:
+    def records(row: dict, source) -> Iterator[list[list[str]]]:
+        if row["gzip"]:
+            return _records_of_gzip(source)
+        return _records_of_range(source, row["start"], row["end"], source.size())
+
+    def work(row: dict) -> Iterator[list[dict] | dict]:
         number = valid = 0
-        with open_range(row["path"]) as source:
-            groups = (
-                _records_of_gzip(source)
-                if row["gzip"]
-                else _records_of_range(source, row["start"], row["end"], source.size())
-            )
-            for group in groups:
-                if row["limit"] is not None:
-                    taken = 0
-                    for lines in group:
-                        if valid >= row["limit"]:
-                            break
-                        valid += len(lines) == 4 and _is_valid(lines)
-                        taken += 1
-                    group = group[:taken]
-                if group:
-                    full = [lines + [None] * (4 - len(lines)) for lines in group]
-                    header, seq, plus, qual = (list(column) for column in zip(*full, strict=True))
-                    yield {
-                        "file": [row["file"]] * len(group), "window": [row["window"]] * len(group),
-                        "rec_no": list(range(number, number + len(group))), "header": header, "seq": seq,
-                        "plus": plus, "qual": qual, "tail": [len(lines) < 4 for lines in group],
-                    }
-                    number += len(group)
-                if row["limit"] is not None and valid >= row["limit"]:
-                    return
+        base = {"file": row["file"], "window": row["window"]}
+        try:
+            with open_range(row["path"]) as source:
+                for group in records(row, source):
+                    if row["limit"] is not None:
+                        taken = 0
+                        for lines in group:
+                            if valid >= row["limit"]:
+                                break
+                            valid += len(lines) == 4 and _is_valid(lines)
+                            taken += 1
+                        group = group[:taken]
+                    if group:
+                        full = [lines + [None] * (4 - len(lines)) for lines in group]
+                        header, seq, plus, qual = (list(column) for column in zip(*full, strict=True))
+                        yield base | {
+                            "rec_no": list(range(number, number + len(group))), "header": header, "seq": seq,
+                            "plus": plus, "qual": qual, "tail": [len(lines) < 4 for lines in group],
+                        }
+                        number += len(group)
+                    if row["limit"] is not None and valid >= row["limit"]:
+                        return
+        except (FastqError, OSError) as problem:
+            yield [base | {"rec_no": number, "error": str(problem)}]
 
     limit = F.lit(None).cast("bigint") if target is None else F.ceil(F.lit(target) / F.coalesce("windows", F.lit(1)))
     rows = ranges.select("path", "file", "gzip", "window", "start", "end", limit.cast("bigint").alias("limit"))
-    return per_row(spread(rows), work, RECORD_SCHEMA)
+    return per_row(spread(rows, SPLITS_PER_TASK if target is None else None), work, RECORD_SCHEMA)
+
+
+def decoded(raw: DataFrame) -> DataFrame:
+    """The records without the rows that tell of files that could not be read on."""
+    return raw.filter(F.col("error").isNull()).drop("error")
+
+
+def failures(raw: DataFrame) -> DataFrame:
+    """The first problem of each file that could not be read to its end."""
+    failed = raw.filter(F.col("error").isNotNull())
+    return failed.groupBy("file").agg(F.min_by("error", F.struct("window", "rec_no")).alias("error"))
 
 
 def sample_records(files: DataFrame, target: int, overlap: bool = False) -> DataFrame:
@@ -230,7 +293,7 @@ def sample_records(files: DataFrame, target: int, overlap: bool = False) -> Data
 
     Every window gives its share at most, so only a few windows of a file can
     pass the target; records after it are left out by a running count per
-    window.
+    window. Rows with an ``error`` are kept.
     """
     raw = read_records(sample_windows(files, overlap), target)
     marked = raw.withColumn(
@@ -247,6 +310,6 @@ def sample_records(files: DataFrame, target: int, overlap: bool = False) -> Data
     counted = marked.withColumn("seen", F.coalesce(F.sum("ok").over(inside), F.lit(0)))
     return (
         counted.join(offsets, ["file", "window"])
-        .filter(F.col("before") + F.col("seen") < target)
+        .filter(F.col("error").isNotNull() | (F.col("before") + F.col("seen") < target))
         .drop("ok", "seen", "before")
     )

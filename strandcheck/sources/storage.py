@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import ship_package
+from ..session import materialize, ship_package
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -42,26 +43,39 @@ def list_files(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, per_task: int | None = None) -> DataFrame:
     """Deals small rows, each a piece of reading work, out to all task slots.
 
     The number is given, so that adaptive execution does not fold the rows,
-    tiny as they are, into one task.
+    tiny as they are, into one task. With ``per_task`` there are as many tasks
+    as the rows need; they are written once so that counting them is cheap.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    if per_task:
+        df = materialize(df, "work")
+        wanted = max(wanted, -(-df.count() // per_task))
     return df.repartition(max(slots, wanted))
 
 
-Rows = list[dict[str, Any]] | dict[str, list]
+Rows = list[dict[str, Any]] | dict[str, Any]
+
+
+def _column(value: Any, kind: pa.DataType, n: int) -> pa.Array:
+    if isinstance(value, pa.Array):
+        return value
+    if isinstance(value, list | np.ndarray):
+        return pa.array(value, kind)
+    return pa.nulls(n, kind) if value is None else pa.repeat(pa.scalar(value, kind), n)
 
 
 def per_row(df: DataFrame, work: Callable[[dict[str, Any]], Iterator[Rows]], schema: str) -> DataFrame:
     """Runs ``work`` for each input row inside the tasks.
 
-    ``work`` yields lists of output rows or columns of equal length; each
-    becomes one Arrow batch, so a task holds one at a time however many rows
-    it produces. Columns that are not given are NULL.
+    ``work`` yields lists of output rows or columns of equal length, a single
+    value standing for all rows; each becomes one Arrow batch, so a task holds
+    one at a time however many rows it produces. Columns that are not given
+    are NULL.
     """
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
@@ -70,11 +84,10 @@ def per_row(df: DataFrame, work: Callable[[dict[str, Any]], Iterator[Rows]], sch
             for row in batch.to_pylist():
                 for rows in work(row):
                     if isinstance(rows, dict):
-                        n = len(next(iter(rows.values())))
+                        n = max(len(v) for v in rows.values() if isinstance(v, list | np.ndarray | pa.Array))
                         if n:
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(rows.get(f.name) or [None] * n, f.type) for f in arrow], schema=arrow
-                            )
+                            columns = [_column(rows.get(f.name), f.type, n) for f in arrow]
+                            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
                     elif rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 

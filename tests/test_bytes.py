@@ -74,8 +74,9 @@ def test_one_record_bam(spark, tmp_path, rows):
     assert metrics["index", "mapped"].provenance == "EXACT"
     assert metrics["knee", "estimated_cells"].provenance == "INFERRED" if ("knee", "estimated_cells") in metrics else True
     lines = [r.value for r in report.receipt_text(report.receipt(files, "quick", got)).collect()]
-    assert "BAM: one.bam" in lines and "- structural: pass; sampling: pass" in lines
-    assert lines.index("Files:") < lines.index("BAM: one.bam") < len(lines) - 1
+    bam_line = next(x for x in lines if x.startswith("BAM: ") and x.endswith("/one.bam"))
+    assert "- structural: pass; sampling: pass" in lines
+    assert lines.index("Files:") < lines.index(bam_line) < len(lines) - 1
 
 
 def test_bams_with_problems_keep_a_status(spark, tmp_path, rows):
@@ -86,7 +87,7 @@ def test_bams_with_problems_keep_a_status(spark, tmp_path, rows):
     write_bam(str(tmp_path / "junk.bam"), [record()])
     (tmp_path / "junk.bam.bai").write_bytes(b"nonsense")
     (tmp_path / "broken.bam").write_bytes(b"not a bam at all, but long enough")
-    got = {r["file"]: r for r in rows(preflight.analyze_bams(list_files(spark, str(tmp_path))).status)}
+    got = {r["file"].split("/")[-1]: r for r in rows(preflight.analyze_bams(list_files(spark, str(tmp_path))).status)}
     assert got["noindex.bam"]["sampling"] == "unavailable" and got["noindex.bam"]["structural"] == "pass"
     assert got["noeof.bam"]["structural"] == "review" and got["noeof.bam"]["sampling"] == "pass"
     assert "beyond the BAM" in got["beyond.bam"]["error"] and got["beyond.bam"]["sampling"] == "failed"
@@ -139,7 +140,7 @@ def test_scan_reads_every_record_once(spark, tmp_path):
     rows = bai_source.usable(bai_source.read_indexes(files)).withColumn("file", F.lit("many.bam"))
     path = F.lit(str(tmp_path / "many.bam"))
     for span in (1 << 14, 1 << 30):
-        ranges = bam.scan_ranges(bai_source.chunks(rows), span).withColumn("path", path)
+        ranges = bam.scan_ranges(bai_source.chunks(rows), span=span).withColumn("path", path)
         found = bam.decoded(bam.read_ranges(ranges, batch=1 << 17)).collect()
         assert len(found) == len(records)
         assert {(r.pos, r.read_name, r.l_seq, r.spliced, r.gn, r.flag) for r in found} == {
@@ -150,12 +151,99 @@ def test_scan_reads_every_record_once(spark, tmp_path):
 def test_aux_types_and_repeats():
     import struct
 
-    data = (
+    import numpy as np
+
+    from strandcheck.sources.tags import walk
+
+    one = (
         b"CBZone\x00" + b"NHC\x02" + b"mmc\x01" + b"XXBs" + struct.pack("<i", 2) + b"\x01\x00\x02\x00"
         + b"CBZtwo\x00" + b"xfi" + struct.pack("<i", 25) + b"REAE" + b"GXB?\x00\x00\x00\x00"
     )
-    got = bam._aux(data, 0, len(data))
-    assert got == {"CB": "two", "NH": 2, "mm": 1, "xf": 25, "RE": "E"}
+    two = b"NHZ7\x00" + b"GNZ\xc3\xa9\x00" + b"RGHAB\x00" + b"MMs\xff\xff" + b"CBf" + struct.pack("<f", 1.5)
+    data = one + two + b"UBZcut"
+    begin, end = np.array([0, len(one), len(one) + len(two)]), np.array([len(one), len(one) + len(two), len(data)])
+    got = walk(np.frombuffer(data, np.uint8), begin, end)
+    text = lambda tag: got.texts(tag).to_pylist()
+    assert text("CB") == ["two", "1.5", None] and text("xf") == ["25", None, None] and text("RE") == ["E", None, None]
+    assert text("GN") == [None, "é", None] and text("RG") == [None, "AB", None] and text("GX") == text("UB") == [None] * 3
+    assert got.integers("mm").to_pylist() == [1, None, None] and got.integers("MM").to_pylist() == [None, -1, None]
+    assert got.integers("NH").to_pylist() == [2, None, None]
+    assert got.integers("NH", convert=True).to_pylist() == [2, 7, None]
+    assert got.present(("CB", "NH", "mm", "RE", "xf", "RG", "GX")).to_pylist() == [
+        ["CB", "NH", "mm", "xf", "RE"], ["NH", "RG", "CB"], []
+    ]
+    assert got.reached.tolist() == [len(one) - 8, int(end[1]), int(begin[2])]
+    empty = walk(np.frombuffer(b"", np.uint8), begin[:0], end[:0])
+    assert empty.texts("CB").to_pylist() == [] and empty.present(("CB",)).to_pylist() == []
+
+
+def scan(spark, folder, **options):
+    files = list_files(spark, str(folder))
+    headers = bam.read_headers(files)
+    index = bai_source.chunks(bai_source.usable(bai_source.read_indexes(files)))
+    index = index.withColumn("file", F.regexp_replace("file", r"\.bai$", ""))
+    return bam.read_ranges(bam.scan_ranges(index, headers, 1 << 14).withColumn("path", F.col("file")), **options)
+
+
+def by_name(df):
+    return {"/".join(r.file.split("/")[-2:]): r for r in df.collect()}
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for run, n in (("runA", 100), ("runB", 200)):
+        (tmp_path / run).mkdir()
+        write_bam(str(tmp_path / run / "same.bam"), [record(pos=i, read_name=f"{run}{i}") for i in range(n)])
+        (tmp_path / run / "same_R1.fastq").write_text(GOOD * (n // 100))
+    files = list_files(spark, str(tmp_path))
+    got = preflight.analyze_bams(files)
+    assert {k: r.records for k, r in by_name(got.record_totals).items()} == {"runA/same.bam": 100, "runB/same.bam": 200}
+    assert {k: r.mapped for k, r in by_name(got.totals).items()} == {"runA/same.bam": 100, "runB/same.bam": 200}
+    assert {k: (r.sampling, r.bai.split("/")[-2]) for k, r in by_name(got.status).items()} == {
+        "runA/same.bam": ("pass", "runA"), "runB/same.bam": ("pass", "runB")
+    }
+    assert {k: r.reads for k, r in by_name(preflight.analyze_fastqs(files).summary).items()} == {
+        "runA/same_R1.fastq": 12, "runB/same_R1.fastq": 24
+    }
+    sets = {r.dataset_id.split("/")[-2]: r for r in preflight.datasets.resolve_datasets(files).collect()}
+    assert set(sets) == {"runA", "runB"} and all(r.summary == "BAM + BAI + R1" and not r.warnings for r in sets.values())
+    assert sets["runB"].bam.endswith("runB/same.bam") and sets["runB"].bai.endswith("runB/same.bam.bai")
+
+
+def test_scan_covers_files_without_index_or_places(spark, tmp_path):
+    loose = [record(pos=-1, ref_id=-1, flag=4, read_name=f"u{i}") for i in range(50)]
+    write_bam(str(tmp_path / "unplaced.bam"), loose)
+    write_bam(str(tmp_path / "noindex.bam"), [record(pos=i) for i in range(70)], index=False)
+    write_bam(str(tmp_path / "empty.bam"), [])
+    got = scan(spark, tmp_path)
+    assert {k.split("/")[1]: (r.records, r.failed_ranges) for k, r in by_name(bam.scan_status(got)).items()} == {
+        "unplaced.bam": (50, 0), "noindex.bam": (70, 0)
+    }
+    few = scan(spark, tmp_path, tags=("CB",)).filter("ref_id = 0").first()
+    assert few.cb and few.ub is None and few.tags_present == ["CB"] and few.read_name
+
+
+def test_damaged_records_end_their_range(spark, tmp_path):
+    import struct
+    import zlib
+
+    from strandcheck.plans.derived_files import encode_header, encode_record
+
+    good = [encode_record(record(pos=i, read_name=f"r{i}")) for i in range(1000)]
+    broken = struct.pack("<i", 40) + b"\xff" * 40
+    body = encode_header("", [("chr1", 1000)]) + b"".join(good[:600]) + broken + b"".join(good[600:])
+
+    def block(data):
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        packed = packer.compress(data) + packer.flush()
+        head = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff\x06\x00BC\x02\x00" + struct.pack("<H", len(packed) + 25)
+        return head + packed + struct.pack("<II", zlib.crc32(data), len(data))
+
+    whole = b"".join(block(body[i : i + 5000]) for i in range(0, len(body), 5000)) + bgzf.EOF_BLOCK
+    (tmp_path / "bad.bam").write_bytes(whole)
+    (tmp_path / "cut.bam").write_bytes(b"".join(block(x) for x in (body[:5000], body[5000:9000])))
+    got = {k.split("/")[1]: r for k, r in by_name(bam.scan_status(scan(spark, tmp_path, batch=20_000))).items()}
+    assert (got["bad.bam"].records, got["bad.bam"].failed_ranges) == (600, 1) and "damaged" in got["bad.bam"].error
+    assert got["cut.bam"].failed_ranges == 1 and 0 < got["cut.bam"].records < 600
 
 
 def test_record_budget(spark):
@@ -242,7 +330,7 @@ def test_malformed_and_cut_records(spark, tmp_path, rows):
 def test_no_valid_record_is_an_error(spark, tmp_path, rows):
     fastq_file(spark, tmp_path, "none.fastq", "hello\nthere\n")
     got = rows(preflight.analyze_fastqs(list_files(spark, str(tmp_path))).summary)[0]
-    assert got["error"] == "No valid four-line FASTQ records were found"
+    assert got["error"] == preflight.NO_READS
 
 
 def many_reads(n=3000):
@@ -277,15 +365,42 @@ def test_gzip_members_and_missing_newline(spark, tmp_path):
     assert len(few) == 25 and max(r.rec_no for r in few) == 24
 
 
+@pytest.mark.parametrize("span", [701, 20_000, 1 << 30])
+def test_damage_costs_one_record_for_every_span(spark, tmp_path, rows, span):
+    reads = many_reads(2000)
+    lines = [list(r) for r in reads]
+    lines[500] = lines[500][:2] + ["x"] + lines[500][3:]
+    lines[900] = lines[900][1:]
+    lines[1300].insert(0, "stray")
+    text = "".join("\n".join(r) + "\n" for r in lines)
+    files = fastq_file(spark, tmp_path, "d.fq", text)
+    got = rows(read_ops.integrity(fastq.decoded(fastq.read_records(fastq.splits(files, span)))))[0]
+    assert (got["reads"], got["malformed"], got["incomplete_tail"]) == (1998, 3, False)
+
+
+def test_cut_or_damaged_gzip_is_an_error_of_its_file(spark, tmp_path, rows):
+    data = gzip.compress("".join("\n".join(r) + "\n" for r in many_reads(5000)).encode())
+    (tmp_path / "good.fastq.gz").write_bytes(data + bytes(100))
+    (tmp_path / "cut.fastq.gz").write_bytes(data[: len(data) // 2])
+    (tmp_path / "bad.fastq.gz").write_bytes(data[:5000] + bytes(300) + data[5300:])
+    raw = fastq.read_records(fastq.splits(fastq.detect_gzip(list_files(spark, str(tmp_path)))))
+    counts = {r.file.split("/")[-1]: r["count"] for r in fastq.decoded(raw).groupBy("file").count().collect()}
+    assert counts["good.fastq.gz"] == 5000 and 0 < counts["cut.fastq.gz"] < 5000
+    failed = {r.file.split("/")[-1]: r.error for r in fastq.failures(raw).collect()}
+    assert set(failed) == {"cut.fastq.gz", "bad.fastq.gz"} and "ends before" in failed["cut.fastq.gz"]
+    summary = {r["name"]: r for r in rows(preflight.analyze_fastqs(list_files(spark, str(tmp_path))).summary)}
+    assert summary["good.fastq.gz"]["error"] is None and "ends before" in summary["cut.fastq.gz"]["error"]
+
+
 def test_windows_do_not_overlap(spark):
     files = spark.createDataFrame([("p", "a.fastq", 5 << 20, False), ("q", "b.fastq", 1 << 30, False)], fastq.GZIP_SCHEMA)
     got = fastq.sample_windows(files).orderBy("file", "window").collect()
-    small = [(r.start, r.end) for r in got if r.file == "a.fastq"]
+    small = [(r.start, r.end) for r in got if r.file == "p"]
     assert small == [(0, 1 << 20), (1 << 20, 5 << 20)]
-    large = [(r.start, r.end) for r in got if r.file == "b.fastq"]
+    large = [(r.start, r.end) for r in got if r.file == "q"]
     assert len(large) == 16 and large[-1][1] == 1 << 30
     assert all(b - a == 4 << 20 for a, b in large)
-    overlapping = fastq.sample_windows(files, overlap=True).filter("file = 'a.fastq'").orderBy("window").collect()
+    overlapping = fastq.sample_windows(files, overlap=True).filter("file = 'p'").orderBy("window").collect()
     assert [(r.start, r.end) for r in overlapping] == [(0, 4 << 20), (1 << 20, 5 << 20)]
 
 
@@ -324,7 +439,7 @@ def test_sinks(spark, tmp_path):
     text = "".join(p.read_text() for p in (tmp_path / "json").glob("part-*"))
     document = json.loads(text)
     mapped = [m for m in document["metrics"] if (m["section"], m["metric"]) == ("index", "mapped")]
-    assert document["file"] == "one.bam" and mapped[0]["text"] == "2" and mapped[0]["provenance"] == "EXACT"
+    assert document["file"].endswith("/one.bam") and mapped[0]["text"] == "2" and mapped[0]["provenance"] == "EXACT"
     report.write_metrics(metrics, str(tmp_path / "metrics"))
     assert spark.read.parquet(str(tmp_path / "metrics")).count() == metrics.count()
 
