@@ -96,9 +96,8 @@ def _cell_barcodes(metrics: DataFrame, knees: DataFrame, by: Sequence[str]) -> D
     if by:
         joined = keyed_join(triples, knees.select(*by, "estimated_cells", "threshold_reads"), by, "left")
     else:
-        joined = triples.withColumn(
-            "estimated_cells", knees.select("estimated_cells").scalar()
-        ).withColumn("threshold_reads", knees.select("threshold_reads").scalar())
+        at_knee = knees.select(F.struct("estimated_cells", "threshold_reads")).scalar()
+        joined = triples.withColumn("knee", at_knee).select("*", "knee.estimated_cells", "knee.threshold_reads")
     above = joined.groupBy(*by).agg(
         F.coalesce(
             F.sum(F.when(F.col("reads") > F.col("threshold_reads"), F.col("barcodes"))),
@@ -147,6 +146,6 @@ def barcode_shape(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     if by:
         return keyed_join(shape, quartiles, by, "left")
-    for name in ("mito_p25", "mito_median", "mito_p75"):
-        shape = shape.withColumn(name, quartiles.select(name).scalar())
-    return shape
+    names = ("mito_p25", "mito_median", "mito_p75")
+    mito = shape.withColumn("mito", quartiles.select(F.struct(*names)).scalar())
+    return mito.select(*shape.columns, *[F.col("mito")[name].alias(name) for name in names])

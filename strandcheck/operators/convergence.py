@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment as A
 from ..functions import constants as K
+from ..session import materialize
 from .histograms import keyed_join
 
 FIELDS = ("exonic_fraction", "barcode_rate", "mapq_median", "read_length_median")
 TOLERANCES = (K.STABLE_FRACTION, K.STABLE_FRACTION, K.STABLE_MEDIAN, K.STABLE_MEDIAN)
 
 
-def _cumulative_median(records: DataFrame, value: str, alias: str, by: Sequence[str]) -> DataFrame:
-    """Lower median of all records up to each point.
+def _cumulative_median(cells: DataFrame, value: str, alias: str, by: Sequence[str]) -> DataFrame:
+    """Lower median of all records up to each point, from cells of ``n`` equal records.
 
     Works on counts per (point, value): the values are MAPQ (256 of them) or
     read lengths, so nothing after the first step grows with the records.
     """
-    counts = records.groupBy(*by, "point_no", value).agg(F.count(F.lit(1)).alias("n"))
+    counts = cells.groupBy(*by, "point_no", value).agg(F.sum("n").alias("n"))
     points = counts.groupBy(*by).agg(F.collect_set("point_no").alias("points"))
     started = counts.withColumnRenamed("point_no", "from_point")
     listed = keyed_join(started, points, by) if by else started.withColumn("points", points.scalar())
@@ -51,11 +52,16 @@ def snapshots(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Running totals after each seek point.
 
     ``records`` has ``point_no mapq l_seq re cb``. A barcode counts from the
-    first point it is seen at.
+    first point it is seen at. All else comes from counts of equal records,
+    written once: at most points x 256 MAPQ x read lengths x 2 rows.
     """
     keys = [*by, "point_no"]
-    per_point = records.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("re") == "E").alias("exonic")
+    exonic = F.coalesce(F.col("re") == "E", F.lit(False)).alias("exonic")
+    cells = materialize(
+        records.groupBy(*keys, "mapq", "l_seq", exonic).agg(F.count(F.lit(1)).alias("n")), "cells"
+    )
+    per_point = cells.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("exonic"), F.col("n")).otherwise(0)).alias("exonic")
     )
     new_barcodes = (
         records.filter(A.present(F.col("cb")))
@@ -74,8 +80,8 @@ def snapshots(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum(F.coalesce("new_cb", F.lit(0))).over(upto).alias("barcodes"),
     )
     return (
-        totals.join(_cumulative_median(records, "mapq", "mapq_median", by), keys)
-        .join(_cumulative_median(records, "l_seq", "read_length_median", by), keys)
+        totals.join(_cumulative_median(cells, "mapq", "mapq_median", by), keys)
+        .join(_cumulative_median(cells, "l_seq", "read_length_median", by), keys)
         .select(
             *keys,
             "records",

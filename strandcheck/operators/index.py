@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment as A
 from ..functions import constants as K
+from ..session import materialize
 from .histograms import bucketed_prefix, top_k_by
 
 PICK_BUCKETS = 1024
@@ -228,6 +229,7 @@ def global_seek_points(chunks: DataFrame, linear: DataFrame, files: DataFrame, k
         .agg(F.min(F.struct("source", "ref_id")).alias("first"))
         .select("file", "voffset", F.col("first.ref_id").alias("ref_id"))
     )
+    pool = materialize(pool, "seek-candidates")
     placed = _offset_bucket(files, pool)
     ranked = bucketed_prefix(placed, ["file"], F.col("bucket"), ["voffset"], {"position": F.lit(1)})
     sizes = pool.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
@@ -270,11 +272,15 @@ def stratified_seek_points(
         .agg(F.max(F.struct("source", F.coalesce("bin", F.lit(-1)).alias("b"), "index", "bin")).alias("last"))
         .select("file", "ref_id", "voffset", F.col("last.bin").alias("bin"), F.col("last.index").alias("index"))
     )
-    placed = _offset_bucket(files, pool)
-    ranked = bucketed_prefix(
-        placed, ["file", "ref_id"], F.col("bucket"), ["voffset"], {"position": F.lit(1)}
+    # Bins per reference are bounded by the format, so a window per reference is.
+    inside = Window.partitionBy("file", "ref_id")
+    ranked = materialize(
+        pool.withColumn("position", F.row_number().over(inside.orderBy("voffset"))).withColumn(
+            "n", F.count(F.lit(1)).over(inside)
+        ),
+        "seek-candidates",
     )
-    sizes = pool.groupBy("file", "ref_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = ranked.filter("position = 1").select("file", "ref_id", "n")
     per_file = sizes.groupBy("file").agg(F.count(F.lit(1)).alias("refs"))
     quota = F.greatest(F.lit(1), F.floor(F.lit(k) / F.col("refs")))
     rounds = (
@@ -296,7 +302,7 @@ def stratified_seek_points(
             F.col("seq") == F.col("round")
         )
         firsts = firsts.join(kept.select("file", "round"), ["file", "round"])
-    picked = ranked.join(firsts, ["file", "ref_id", "position"])
+    picked = ranked.drop("n").join(firsts, ["file", "ref_id", "position"])
     order = Window.partitionBy("file").orderBy("round", "ref_id")
     return (
         picked.withColumn("point_no", F.row_number().over(order) - 1)

@@ -448,7 +448,8 @@ union all select file, 5, 'barcode-knee', case when kc = 'medium' then 'good' el
 union all select file, 6, 'reference-contigs', 'good', 'Reference contigs', 0 from j""",
 )
 def qc_flags(spark: SparkSession, folder: str) -> DataFrame:
-    aln = V.alignments(spark, folder, genes=True)
+    needed = ("file", "record_no", "ref_name", "flag", "cb", "ub", "gx", "gn", "re")
+    aln = materialize(V.alignments(spark, folder, genes=True).select(*needed), "records")
     metrics = materialize(barcodes.barcode_metrics(barcodes.molecules(aln, by=["file"]), ["file"]), "barcodes")
     knees = knee.barcode_knee(knee.count_of_counts(metrics, by=["file"]), ["file"])
     mito = histograms.unit_quantiles(metrics, "mito_fraction", {"mito_median": 0.5}, ["file"])

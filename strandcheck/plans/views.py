@@ -8,40 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-# Columns by which a large table is dealt out when it comes in too few pieces.
-_SPREAD = {
-    "lineitem": "l_orderkey",
-    "orders": "o_orderkey",
-    "customer": "c_custkey",
-    "documents": "doc_id",
-    "events": "event_id",
-}
-
-
-# Schema of each table file read so far and whether it comes in few pieces.
-_KNOWN: dict[str, tuple[T.StructType, bool]] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the folder.
-
-    A file with one row group is read by one task. If a large table has fewer
-    scan partitions than there are task slots its rows are hash-dealt by key,
-    adaptive execution choosing how many partitions that is worth. With enough
-    files or row groups, as in any large table, no shuffle is added.
-    """
-    path = f"{folder}/{name}.parquet"
-    key = _SPREAD.get(name)
-    if path not in _KNOWN:
-        found = spark.read.parquet(path)
-        few = bool(key) and found.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
-        _KNOWN[path] = (found.schema, few)
-    schema, few = _KNOWN[path]
-    rows = spark.read.schema(schema).parquet(path)
-    return rows.repartition(key) if few else rows
+    """A table of the folder, read as its files are laid out."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def _text(col: str | Column) -> Column:
@@ -141,10 +112,7 @@ def alignments(spark: SparkSession, folder: str, genes: bool = False) -> DataFra
     """
     lines = table(spark, folder, "lineitem")
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    nations = table(spark, folder, "nation").select("n_nationkey")
-    rows = lines.join(suppliers, F.col("s_suppkey") == F.col("l_suppkey")).join(
-        nations, F.col("n_nationkey") == F.col("s_nationkey")
-    )
+    rows = lines.join(suppliers, F.col("s_suppkey") == F.col("l_suppkey"))
     if genes:
         parts = table(spark, folder, "part").select("p_partkey", "p_name")
         rows = rows.join(parts, F.col("p_partkey") == F.col("l_partkey"))
@@ -163,9 +131,9 @@ def alignments(spark: SparkSession, folder: str, genes: bool = False) -> DataFra
     cell = F.floor(F.pow(F.col("l_partkey"), F.lit(3)) / F.lit(4000000.0)).cast("bigint")
     part = F.col("l_partkey")
     columns = [
-        F.col("n_nationkey").cast("int").alias("ref_id"),
-        F.when(F.col("n_nationkey") == 24, "chrM")
-        .otherwise(F.concat(F.lit("chr"), _text(F.col("n_nationkey") + 1)))
+        F.col("s_nationkey").cast("int").alias("ref_id"),
+        F.when(F.col("s_nationkey") == 24, "chrM")
+        .otherwise(F.concat(F.lit("chr"), _text(F.col("s_nationkey") + 1)))
         .alias("ref_name"),
         F.col("l_orderkey").alias("pos"),
         F.concat(F.lit("r"), _text("l_orderkey"), F.lit(":"), _text("l_linenumber")).alias("read_name"),

@@ -153,8 +153,8 @@ def _groups(batches: Iterator[tuple[int, list[str], list[int]]], start: int, end
     the next line that starts a record, so that one stray or missing line costs
     one record, wherever a file is cut: a range begins at its first such line
     (the start of the file counts as one) and ends at the first of the next.
-    A damaged record keeps at most four lines; what is cut off by the end of
-    the file has fewer than four, one damaged within it is filled with empty ones.
+    The lines in between make one damaged record for every four begun, filled
+    with empty lines; only what the end of the file cuts off has fewer than four.
     """
     lines: list[str] = []
     sizes: list[int] = []
@@ -170,13 +170,16 @@ def _groups(batches: Iterator[tuple[int, list[str], list[int]]], start: int, end
         while True:
             if damaged is not None:
                 while i + 2 < len(lines) and not _is_start(lines, i):
-                    if owned and len(damaged) < 4:
+                    if owned:
                         damaged.append(lines[i])
+                        if len(damaged) == 4:
+                            found.append(damaged)
+                            damaged = []
                     at += sizes[i]
                     i += 1
                 if i + 2 >= len(lines):
                     break
-                if owned:
+                if damaged:
                     found.append(damaged + [""] * (4 - len(damaged)))
                 damaged, owned = None, True
             if i + 4 > len(lines):
@@ -206,11 +209,12 @@ def _groups(batches: Iterator[tuple[int, list[str], list[int]]], start: int, end
         return
     room = 4 - len(damaged)
     cut = next((k for k in range(room, len(lines)) if lines[k].startswith("@")), len(lines))
-    body = (damaged + lines[:cut])[:4]
-    if cut == len(lines):
-        yield [body]
-    else:
-        yield [body, lines[cut:]]
+    body = damaged + lines[:cut]
+    left = [body[k : k + 4] for k in range(0, len(body), 4)]
+    if cut < len(lines):
+        left = [x + [""] * (4 - len(x)) for x in left] + [lines[cut:]]
+    if any(map(any, left)):
+        yield left
 
 
 def _records_of_range(source, start: int, end: int, size: int) -> Iterator[list[list[str]]]:
