@@ -98,36 +98,36 @@ def qc_flags(row: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     checks = (
         (
             "alignment", level(mapped >= K.MAPPED_GOOD), "Alignment fraction", mapped,
-            percent(mapped, "% of sampled records are mapped.", "No sampled records."),
+            percent(mapped, "% of the records read have a place on the reference.", "No record was read."),
         ),
         (
             "duplication", level(duplicate <= K.DUPLICATE_GOOD), "Duplicate reads", duplicate,
-            percent(duplicate, "% of sampled records carry the duplicate flag.", "No sampled records."),
+            percent(duplicate, "% of the records read are flagged as duplicates.", "No record was read."),
         ),
         (
             "gene-assignment", level(gene >= K.GENE_GOOD), "Gene assignment tags", gene,
-            F.when(gene >= K.GENE_GOOD, "GX/GN is present on most sampled records.").otherwise(
-                "GX/GN is sparse; gene-level interpretation is limited."
+            F.when(gene >= K.GENE_GOOD, "At least half of the records read name a gene.").otherwise(
+                "Fewer than half of the records read name a gene; treat gene counts with care."
             ),
         ),
         (
             "mitochondrial", level(mito.isNull() | (mito <= K.MITO_GOOD)), "Mitochondrial signal", mito,
             percent(
-                mito, "% median mitochondrial fraction among retained barcodes.",
-                "Per-barcode mitochondrial signal unavailable.",
+                mito, "% is the median mitochondrial share of a barcode.",
+                "No barcode to take a mitochondrial share from.",
             ),
         ),
         (
             "barcode-knee", level(F.col("knee_confidence") == "medium"), "Barcode knee", F.lit(None),
             F.coalesce(
-                F.concat(F.lit("Preliminary knee near "), F.format_number(cells, 0), F.lit(" barcodes.")),
-                F.lit("No reliable barcode knee was detected."),
+                F.concat(F.lit("The curve bends at about "), F.format_number(cells, 0), F.lit(" barcodes.")),
+                F.lit("The curve of barcodes has no clear bend."),
             ),
         ),
         (
             "reference-contigs", level(special == 0), "Reference contigs", special,
-            F.when(special == 0, "No ALT/decoy or unusual small contigs detected.").otherwise(
-                F.concat(special.cast("string"), F.lit(" ALT/decoy or other small contigs detected."))
+            F.when(special == 0, "All contigs are primary ones of usual size.").otherwise(
+                F.concat(special.cast("string"), F.lit(" contigs are alternative, decoy or very short."))
             ),
         ),
     )
