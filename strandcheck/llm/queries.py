@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curves, decontaminate, jaccard, language, licences, packing, quality, records, secrets
+from . import chat, curves, decontaminate, jaccard, language, licences, merkle, middle, packing, pages, quality, records, secrets
 from .common import held_out, table
 
 
@@ -88,6 +88,22 @@ def op10_curve_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return curves.nearest_neighbours(table(spark, folder, "embeddings"))
 
 
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extracted(table(spark, folder, "pages"))
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = middle.filled_in_middle(table(spark, folder, "documents"))
+    text = middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS_6 = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -172,6 +188,72 @@ select d.doc_id, count(*) filter (where no = 1) as n_assign, count(*) filter (wh
 from d left join k on k.row_no = d.row_no group by d.doc_id, d.row_no
 """
 
+# Knows pages with one article element that holds headline, paragraphs, line breaks and bold text, as the given ones have; the operator knows more.
+_TEXT_11 = "regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g')"
+_DECODED_11 = f"regexp_replace(regexp_replace({_TEXT_11}, '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g')"
+OP11_SQL = f"""
+with t as (select page_id, url, coalesce(trim(regexp_replace({_DECODED_11}, '[ \\t\\r\\n\\f]+', ' ', 'g')), '') as text from pages)
+select page_id, url, text, length(text) as n_chars from t
+"""
+
+OP12_SQL = """
+with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (select *, coalesce(regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+'), []) as w,
+  [cast('0x' || substr(h, 8 * k + 1, 8) as bigint) for k in range(4)] as r from d),
+c as (select *, len(w) as n, least(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) as low, greatest(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) as high from u),
+p as (select *, coalesce(array_to_string(w[1:low], ''), '') as a, coalesce(array_to_string(w[low + 1:high], ''), '') as b, coalesce(array_to_string(w[high + 1:n], ''), '') as z,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 100 then 'plain' when r[4] % 100 < 50 then 'spm' else 'psm' end as form from c)
+select doc_id, n, form, case when form <> 'plain' then length(a) end as prefix_chars, case when form <> 'plain' then length(b) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || z || '<M>' || b else '<S>' || z || '<P>' || a || '<M>' || b end) as output_sha256,
+  sha256(t) as restored_sha256
+from p
+"""
+
+
+def _sql_tree(name: str, leaves: str, height: int) -> str:
+    """Levels ``name_0`` to ``name_height`` of trees over ``leaves(g, i, h)``; a tree of one node stays as it is. Siblings stand beside each node."""
+    out = [f"{name}_0 as (select *, count(*) over (partition by g) as n from ({leaves}))"]
+    for k in range(height):
+        out.append(f"""{name}_{k + 1} as (select g, i // 16 as i, case when any_value(n) = 1 then any_value(h) else sha256(string_agg(h, '' order by i)) end as h,
+          (any_value(n) + 15) // 16 as n from {name}_{k} group by g, i // 16)""")
+        out.append(f"""{name}_w{k} as (select g, i, n > 1 as up,
+          coalesce(string_agg(h, '') over (partition by g, i // 16 order by i rows between unbounded preceding and 1 preceding), '') as l,
+          coalesce(string_agg(h, '') over (partition by g, i // 16 order by i rows between 1 following and unbounded following), '') as r from {name}_{k})""")
+    return ",\n".join(out)
+
+
+def _sql_manifest(height: int = 6) -> str:
+    def framed(column: str) -> str:
+        text = f"cast({column} as varchar)"
+        return f"case when {column} is null then '-' else strlen({text}) || ':' || {text} end"
+
+    heads = [framed(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = _LOWER.format("text")
+    whole, changed = (f"sha256({' || '.join([*heads, framed(t)])})" for t in ("text", lower))
+    joins, proof, folds = [], [], ["case when d.tampered then d.changed else d.h end as f_0"]
+    steps = [("leaf", k, "d.g", f"d.i // {16**k}") for k in range(height)] + [("top", k, "0", f"d.source_no // {16**k}") for k in range(height)]
+    for no, (name, k, group, at) in enumerate(steps):
+        alias = f"{name}{k}"
+        joins.append(f"join {name}_w{k} {alias} on {alias}.g = {group} and {alias}.i = {at}")
+        proof.append(f"case when {alias}.up then {alias}.l || {alias}.r else '' end")
+        folds.append(f"case when {alias}.up then sha256({alias}.l || f_{no} || {alias}.r) else f_{no} end as f_{no + 1}")
+    return f"""
+with crc as (select list(v order by b) as t from (select b, list_reduce(list_prepend(b, range(8)),
+    lambda c, j: xor(c >> 1, 3988292384 * (c & 1))) as v from (select unnest(range(256)) as b))),
+d as (select doc_id, source, {whole} as h, {changed} as changed,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ascii(x)::bigint)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 as tampered from documents, crc),
+o as (select *, dense_rank() over (order by source nulls first) - 1 as g, row_number() over (partition by source order by doc_id nulls first, h) - 1 as i from d),
+{_sql_tree("leaf", "select g, i, h from o", height)},
+{_sql_tree("top", f"select 0 as g, g as i, h from leaf_{height}", height)},
+e as (select d.doc_id, d.h as leaf, s.h as subroot, t.h as root, sha256({' || '.join(proof)}) as proof_sha256, {', '.join(folds)}
+  from (select *, g as source_no from o) d join leaf_{height} s on s.g = d.g cross join top_{height} t {' '.join(joins)})
+select doc_id, leaf, subroot, root, proof_sha256, f_{len(steps)} as folded_root, f_{len(steps)} = root as verified from e
+"""
+
+
+OP13_SQL = _sql_manifest()
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Builder] = {
@@ -185,6 +267,9 @@ QUERIES: dict[str, Builder] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scan": op9_secret_scan,
     "op10_curve_neighbours": op10_curve_neighbours,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -193,4 +278,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_benchmark_decontamination": OP6_SQL,
     "op8_jaccard_join": OP8_SQL,
     "op9_secret_scan": OP9_SQL,
+    "op11_html_extraction": OP11_SQL,
+    "op12_fill_in_middle": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
