@@ -10,8 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a task works on at once. A longer text is a chunk of its own.
-CHUNK_BYTES = 1_000_000
+#: Text bytes, and rows, that a task works on at once. A longer text is a chunk of its own.
+CHUNK_BYTES, CHUNK_ROWS = 1_000_000, 2_000
+#: Settings of the session that keep few rows in memory at once, set where the session has nothing of its own: bytes of an Arrow batch
+#: on its way to Python, and of a row group of a written table.
+SMALL_PARTS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "parquet.block.size": str(16 << 20)}
 #: Ids that may be sent to all tasks, 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -26,6 +29,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def in_small_parts(spark: SparkSession) -> None:
+    """Sets :data:`SMALL_PARTS`, for whole texts take much memory in default sizes."""
+    given = {key for key, _ in spark.sparkContext.getConf().getAll()}
+    for key, value in SMALL_PARTS.items():
+        if key not in given and f"spark.hadoop.{key}" not in given:
+            spark.conf.set(key, value)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for documents that no model may learn from: crc32 of the id as text leaves 0 when divided by 5."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
@@ -40,12 +51,12 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, ids.columns[0], how).select(docs.columns)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have at most ``limit`` bytes together, one row at least."""
+def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have at most ``limit`` bytes together, one row at least and at most ``rows``."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
-        if i > start and total + size > limit:
+        if i > start and (total + size > limit or i - start >= rows):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import text_chunks
+from .common import in_small_parts, text_chunks
 
 #: Marks set before prefix, suffix and middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -81,6 +81,7 @@ def filled_in_middle(docs: DataFrame, seed: int = SEED, cut_percent: int = CUT_P
     out repeatedly. Other columns are ignored; an empty table gives no rows.
     """
     ship_package(docs.sparkSession)
+    in_small_parts(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select("doc_id", "text", *(h.alias(f"h{k + 1}") for k, h in enumerate(draws(F.col("doc_id"), seed))))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import text_chunks
+from .common import in_small_parts, text_chunks
 
 #: Lines that a window sums over, and the characters (without white space) at which text begins to count as running text.
 WINDOW, SURGE = 3, 80
@@ -304,6 +304,7 @@ def extracted(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...]
     in ``keep`` stay; other columns are ignored; an empty table gives no rows. A reference or tag that is cut off at the end of a page is taken as browsers do.
     """
     ship_package(pages.sparkSession)
+    in_small_parts(pages.sparkSession)
     given = pages.select(*keep, F.col(html_column).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .common import by_ids, combined, held_out, text_bytes, text_chunks, white_space_words
+from .common import by_ids, combined, held_out, in_small_parts, text_bytes, text_chunks, white_space_words
 
 FEATURES = 128
 #: Width of the Gaussian kernel on standardised statistics.
@@ -72,6 +72,7 @@ def statistics(texts: list[bytes], words=None) -> np.ndarray:
 def document_statistics(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``x``, the statistics of each row's whole text; null counts as empty."""
     ship_package(docs.sparkSession)
+    in_small_parts(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = white_space_words()
