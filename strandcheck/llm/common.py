@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +15,12 @@ from pyspark.sql import functions as F
 #: Text bytes, and rows, that a task works on at once. A longer text is a chunk of its own.
 CHUNK_BYTES, CHUNK_ROWS = 1_000_000, 2_000
 #: Settings of the session that keep few rows in memory at once, set where the session has nothing of its own: bytes of an Arrow batch
-#: on its way to Python, and of a row group of a written table.
-SMALL_PARTS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "parquet.block.size": str(16 << 20)}
+#: on its way to Python, rows that a scan holds in columns, and bytes of a row group of a written table.
+SMALL_PARTS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "parquet.block.size": str(16 << 20),
+}
 #: Ids that may be sent to all tasks, 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -37,6 +43,23 @@ def in_small_parts(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def given_back(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hands ``parts`` on; memory freed by then goes back to the machine with every tenth and after the last, for workers live on between tasks."""
+    count = 0
+    for part in parts:
+        yield part
+        count += 1
+        if count % 10 == 0:
+            _give_back()
+    _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can do it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for documents that no model may learn from: crc32 of the id as text leaves 0 when divided by 5."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0

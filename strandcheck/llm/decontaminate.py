@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .common import by_ids, letter_digit_words, text_bytes, text_chunks
+from .common import by_ids, given_back, in_small_parts, letter_digit_words, text_bytes, text_chunks
 
 WINDOW = 13
 #: Words of test items that are sent to the tasks at once.
@@ -39,6 +39,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     list ends, and the lists of positions, counted over the shard. Null texts and texts without words have 0 words.
     """
     ship_package(docs.sparkSession)
+    in_small_parts(docs.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, number = letter_digit_words(), TaskContext.get().partitionId() << 32
@@ -55,7 +56,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 }], schema=_INDEX)
                 number += 1
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(index, _INDEX_SQL)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lambda batches: given_back(index(batches)), _INDEX_SQL)
 
 
 def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str, np.ndarray]]]:
@@ -190,6 +191,9 @@ def search_index(index: DataFrame, items: DataFrame, window: int = WINDOW, proxi
 
 def _searcher(windows: _Windows | None, proximity: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from given_back(_search(batches))
+
+    def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)

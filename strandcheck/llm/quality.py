@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .common import by_ids, combined, held_out, in_small_parts, text_bytes, text_chunks, white_space_words
+from .common import by_ids, combined, given_back, held_out, in_small_parts, text_bytes, text_chunks, white_space_words
 
 FEATURES = 128
 #: Width of the Gaussian kernel on standardised statistics.
@@ -82,7 +82,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 offsets = pa.array(np.arange(len(x) + 1) * STATISTICS, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(measure, "doc_id bigint, x array<double>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lambda batches: given_back(measure(batches)), "doc_id bigint, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
