@@ -6,13 +6,18 @@ rest; the metric functions take cleaned records with ``seq`` and ``qual``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import constants as K
 from ..functions import reads as R
+from ..session import ship_package
 from .alignments import count_where
 from .histograms import dense_histogram, top_k, top_k_by, value_counts
 
@@ -55,27 +60,102 @@ def integrity(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+#: Bases that a task works on at once, and cells of its cycle matrix after which it hands them on.
+MATRIX_BASES, MATRIX_CELLS = 1_000_000, 4_000_000
+_BASES = "ACGTN"
+#: More than any quality: code points have 21 bits.
+_QUALITIES = 1 << 21
+
+
+def _code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
+
+def _matrix_cells(seqs: list[str], quals: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Filled cells of the matrix of some reads, each as one number (cycle, base and quality), and their counts."""
+    sizes = np.array([len(s) for s in seqs], np.int64)
+    ends = np.cumsum(sizes)
+    cycle = np.arange(ends[-1], dtype=np.int64) - np.repeat(ends - sizes, sizes)
+    letters = _code_points(seqs)
+    base = np.full(len(letters), 4, np.int64)
+    for k, letter in enumerate(_BASES[:4]):
+        base[letters == ord(letter)] = k
+    quality = np.maximum(0, _code_points(quals) - K.PHRED_OFFSET)
+    return np.unique((cycle * len(_BASES) + base) * _QUALITIES + quality, return_counts=True)
+
+
+class _Matrix:
+    """Cells of one group; those of several parts are added up when they have become as many as what is there."""
+
+    def __init__(self):
+        self.cells, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, seqs: list[str], quals: list[str]) -> None:
+        self.fresh.append(_matrix_cells(seqs, quals))
+        if sum(len(c) for c, _ in self.fresh) > max(len(self.cells), MATRIX_BASES):
+            self.settle()
+
+    def settle(self) -> None:
+        parts = [(self.cells, self.counts), *self.fresh]
+        self.cells, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        self.counts = np.bincount(place, np.concatenate([n for _, n in parts]), len(self.cells)).astype(np.int64)
+        self.fresh = []
+
+
+def _some_reads(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most :data:`MATRIX_BASES` bases, one read at least."""
+    start, total = 0, 0
+    for i, size in enumerate(pc.utf8_length(batch.column("seq")).to_pylist()):
+        if i > start and total + size > MATRIX_BASES:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
 def base_histogram(reads: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts per cycle, base and quality: the source of all per-base metrics.
 
-    Bases are unfolded and counted in the same stage; what is shuffled is at
-    most cycles x 5 bases x 94 qualities per task. Characters other than
-    A, C, G, T and N count as N, qualities below 0 as 0.
+    Each task adds its reads up in a matrix of cycles by bases by qualities, from arrays of all their characters, and hands on
+    its filled cells; no base is ever a row. Characters other than A, C, G, T and N count as N, qualities below 0 as 0. Reads
+    whose quality is not as long as their sequence, and nulls, are left out; :func:`checked` tells them.
     """
-    letters = F.filter(F.split("seq", ""), lambda c: c != "")
-    marks = F.filter(F.split("qual", ""), lambda c: c != "")
-    cells = reads.select(*by, F.posexplode(F.arrays_zip(letters.alias("b"), marks.alias("q"))))
-    base = F.col("col.b")
-    return (
-        cells.select(
-            *by,
-            (F.col("pos") + 1).alias("cycle"),
-            F.when(base.isin("A", "C", "G", "T"), base).otherwise("N").alias("base"),
-            F.greatest(F.lit(0), F.ascii(F.col("col.q")) - K.PHRED_OFFSET).alias("q"),
-        )
-        .groupBy(*by, "cycle", "base", "q")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    ship_package(reads.sparkSession)
+    keys = F.struct(*by) if by else F.lit(0)
+    rows = reads.filter(F.length("seq") == F.length("qual")).select(keys.alias("keys"), "seq", "qual")
+    keys_type = to_arrow_schema(rows.select("keys").schema).field("keys").type
+
+    def handed_on(key, matrix: _Matrix) -> Iterator[pa.RecordBatch]:
+        matrix.settle()
+        for at in range(0, len(matrix.cells), 100_000):
+            cell, quality = np.divmod(matrix.cells[at : at + 100_000], _QUALITIES)
+            cycle, base = np.divmod(cell, len(_BASES))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key], keys_type).take(pa.array(np.zeros(len(cell), np.int64))), pa.array((cycle + 1).astype(np.int32)),
+                 pa.array(list(_BASES)).take(pa.array(base)), pa.array(quality.astype(np.int32)), pa.array(matrix.counts[at : at + 100_000])],
+                names=["keys", "cycle", "base", "q", "n"],
+            )
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for part in (p for b in batches for p in _some_reads(b)):
+            groups: dict = {}
+            for key, seq, qual in zip(*(part.column(c).to_pylist() for c in ("keys", "seq", "qual")), strict=True):
+                groups.setdefault(tuple(key.items()) if by else key, []).append((seq, qual))
+            for key, pairs in groups.items():
+                held.setdefault(key, _Matrix()).add([s for s, _ in pairs], [q for _, q in pairs])
+            if sum(len(m.cells) for m in held.values()) > MATRIX_CELLS:
+                for key, matrix in held.items():
+                    yield from handed_on(dict(key) if by else key, matrix)
+                held = {}
+        for key, matrix in held.items():
+            yield from handed_on(dict(key) if by else key, matrix)
+
+    schema = f"keys {rows.schema['keys'].dataType.simpleString()}, cycle int, base string, q int, n bigint"
+    counted = rows.mapInArrow(add_up, schema).select(*(F.col(f"keys.{c}").alias(c) for c in by), "cycle", "base", "q", "n")
+    return counted.groupBy(*by, "cycle", "base", "q").agg(F.sum("n").alias("n"))
 
 
 def _sum_if(condition: Column) -> Column:

@@ -10,6 +10,7 @@ from ..operators import alignments as aln_ops
 from ..operators import barcodes, contigs
 from ..operators import index as index_ops
 from ..operators import reads as read_ops
+from ..operators.histograms import numbered
 from ..session import materialize
 from ..sources import bai, bam, fai, fastq
 from ..streaming import progressive
@@ -84,6 +85,36 @@ def bam_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "bam_unplaced_scan",
+    f"""select count(*) records, count(*) records_of_names, count(distinct read_name) names, cast(sum(mapq) as bigint) mapq_sum, cast(sum(flag | 4) as bigint) flag_sum, cast(sum(l_seq) as bigint) length_sum, cast(0 as bigint) failed_ranges, true as many_ranges from ({V.ALIGNMENTS_SQL}) a""",
+)
+def bam_unplaced_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of files in which no record has a place, cut into ranges of 16 KiB that no index knows."""
+    lines = V.alignments(spark, folder)
+    records = lines.select(
+        F.lit(-1).alias("ref_id"), F.lit(-1).alias("pos"), "read_name", "mapq", F.col("flag").bitwiseOR(4).alias("flag"), "l_seq",
+        F.lit(False).alias("spliced"), "cb", "ub", "gx", F.lit(None).cast("string").alias("gn"), "re", "nh",
+    )
+    files = D.write_bams(records, HEADER_TEXT, D.nation_references())
+    headers = materialize(bam.read_headers(files), "headers")
+    ranges = materialize(bam.scan_ranges(bai.chunks(_index(files)), headers, span=16 << 10), "ranges")
+    found = materialize(bam.read_ranges(_with_path(ranges, files), tags=()), "records")
+    status = bam.scan_status(found).agg(F.coalesce(F.sum("failed_ranges"), F.lit(0)).alias("n")).scalar()
+    fewest = ranges.join(headers.select("file", "size"), "file").groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    cut = fewest.agg(F.bool_and(F.col("n") >= F.floor(F.col("size") / (32 << 10)))).scalar()
+    good = bam.decoded(found)
+    per_name = good.groupBy("read_name").agg(F.count(F.lit(1)).alias("n"))
+    names = per_name.agg(F.count(F.lit(1)).alias("names"), F.sum("n").alias("records_of_names"))
+    return good.agg(
+        F.count(F.lit(1)).alias("records"), F.sum("mapq").cast("bigint").alias("mapq_sum"), F.sum("flag").cast("bigint").alias("flag_sum"),
+        F.sum("l_seq").cast("bigint").alias("length_sum"),
+    ).select(
+        "records", names.select("records_of_names").scalar().alias("records_of_names"), names.select("names").scalar().alias("names"),
+        "mapq_sum", "flag_sum", "length_sum", status.alias("failed_ranges"), cut.alias("many_ranges"),
+    )
+
+
 @query(
     "bam_header_scan",
     f"""select cast(n_nationkey as int) ref_id, case when n_nationkey = 24 then 'chrM' else concat('chr', cast(n_nationkey + 1 as varchar)) end as name, cast(536870912 as bigint) length, true as in_all_files, true as all_have_eof from nation""",
@@ -147,13 +178,13 @@ def index_probe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sampled_records(files: DataFrame, mode: str = "quick") -> DataFrame:
+def sampled_records(files: DataFrame, mode: str = "quick", target: int | None = None) -> DataFrame:
     """The bounded, stratified sample of every file, deduplicated."""
     chunks, linear, _, index_files = _index_tables(files)
     points = materialize(
         index_ops.stratified_seek_points(chunks, linear, index_files, K.SEEK_POINTS[mode]), "points"
     )
-    return sample_points(_with_path(points, files), K.RECORD_TARGET[mode])
+    return sample_points(_with_path(points, files), target or K.RECORD_TARGET[mode])
 
 
 def sample_points(points: DataFrame, target: int) -> DataFrame:
@@ -171,9 +202,9 @@ def sample_points(points: DataFrame, target: int) -> DataFrame:
     "select true as has_records, true as within_target, true as all_known, cast(25 as bigint) as references_known",
 )
 def bam_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """The quick sample: bounded, and made of records of the tables only."""
+    """A sample of 300 records per file and at most as many more from its last point, made of records of the tables only."""
     files = bam_files(spark, folder)
-    sample = materialize(sampled_records(files), "records")
+    sample = materialize(sampled_records(files, target=300), "records")
     known = V.alignments(spark, folder).select(
         "ref_id", (F.col("pos") % 536870000).cast("int").alias("pos"), "read_name", "flag"
     )
@@ -183,10 +214,42 @@ def bam_sample(spark: SparkSession, folder: str) -> DataFrame:
     per_file = sample.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     return per_file.agg(
         (F.min("n") > 0).alias("has_records"),
-        (F.max("n") <= 2 * K.RECORD_TARGET["quick"]).alias("within_target"),
+        (F.max("n") <= 600).alias("within_target"),
     ).select("has_records", "within_target", (strangers == 0).alias("all_known"), references.alias("references_known"))
 
 
+# Windows of so many records, evenly spread over each sample, stand for what is read at seek points; records of one reference and length count as repeats.
+_POINTS, _WINDOW, _TARGET = 18, 250, 600
+_SHARE = -(-_TARGET // _POINTS)
+
+
+@query(
+    "record_budget",
+    f"""with recursive a as (select *, row_number() over (partition by file order by record_no, mapq, ref_id, l_seq) - 1 n, count(*) over (partition by file) size from ({V.ALIGNMENTS_SQL}) x),
+v as (select *, n - greatest(0, size - {_WINDOW}) * i // {_POINTS - 1} seq from a, range({_POINTS}) r(i) where n - greatest(0, size - {_WINDOW}) * i // {_POINTS - 1} between 0 and {_WINDOW - 1}),
+p as (select file, i, list(ref_id * 1000 + l_seq order by seq) k from v group by file, i),
+w as (select distinct file, cast(-1 as bigint) i, cast([] as integer[]) seen, cast(0 as bigint) budget from p
+ union all select b.file, b.i + 1, list_distinct(list_concat(seen, coalesce(k[1:room], []))), room from
+ (select file, i, seen, cast(case when len(seen) >= {_TARGET} then 0 else least({2 * _SHARE}, {_TARGET} - len(seen) + {_SHARE}) end as bigint) room from w where i < {_POINTS - 1}) b join p on p.file = b.file and p.i = b.i + 1)
+select w.file, cast(w.i as int) point_no, budget, count(*) records, cast(sum(pos) as bigint) pos_sum, cast(sum(mapq) as bigint) mapq_sum from w join v on v.file = w.file and v.i = w.i and seq < budget group by all""",
+)
+def record_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """What a reader takes from its windows that counts different records only, so that repeats don't use up its target."""
+    rows = V.alignments(spark, folder).select("file", "ref_id", "pos", "mapq", "l_seq", "record_no")
+    placed = materialize(numbered(rows, ["file"], ["record_no", "mapq", "ref_id", "l_seq"]), "numbered")
+    sizes = placed.groupBy("file").agg(F.count(F.lit(1)).alias("size"))
+    room = F.greatest(F.lit(0), F.col("size") - _WINDOW)
+    starts = sizes.select("file", F.explode(F.sequence(F.lit(0), F.lit(_POINTS - 1))).alias("point_no"), room.alias("room")).select(
+        "file", "point_no", F.floor(F.col("room") * F.col("point_no") / (_POINTS - 1)).alias("start")
+    )
+    seq = (F.col("nth") - 1 - F.col("start")).alias("seq_in_point")
+    windows = placed.join(starts, "file").select(*placed.columns, "point_no", seq).filter(F.col("seq_in_point").between(0, _WINDOW - 1))
+    kept = bam.within_budget(windows, _TARGET, F.lit(_SHARE), ("ref_id", "l_seq"), keep_budget=True)
+    return kept.groupBy("file", "point_no", "budget").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("pos").cast("bigint").alias("pos_sum"), F.sum("mapq").cast("bigint").alias("mapq_sum")
+    )
+
+
 @query(
     "bam_tag_presence",
     f"""with a as {_BAM_SQL}, t as ({' union all '.join(f"select '{t.upper()}' tag, count({t}) n, count(*) r from a" for t in ('cb', 'ub', 'gx', 'gn', 're', 'nh'))}) select tag, n, round(n/r, 8) fraction from t where n > 0""",
@@ -219,6 +282,24 @@ def fastq_gzip_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "fastq_bgzip_scan",
+    f"""select count(*) filter (where ok) reads, count(*) filter (where not ok) malformed, cast(sum(length(seq)) filter (where ok) as bigint) bases, cast(count(distinct seq) filter (where ok) as bigint) unique_sequences,
+ cast(sum(ascii(qual)) filter (where ok) as bigint) quality_sum from {_FASTQ_RAW} r""",
+)
+def fastq_bgzip_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with defects through FASTQ files of BGZF blocks, cut into ranges of 32 KiB of compressed bytes."""
+    files = fastq.detect_gzip(D.write_bgzip(V.raw_reads(spark, folder)))
+    raw = fastq.decoded(fastq.read_records(fastq.splits(files, span=32 << 10)))
+    rows = materialize(read_ops.checked(raw), "reads")
+    unique = rows.filter("valid").select("seq").distinct().agg(F.count(F.lit(1))).scalar()
+    ok = F.col("valid")
+    return rows.agg(
+        F.count_if(ok).alias("reads"), F.count_if(~ok).alias("malformed"), F.sum(F.when(ok, F.length("seq"))).cast("bigint").alias("bases"),
+        F.sum(F.when(ok, F.ascii("qual"))).cast("bigint").alias("quality_sum"),
+    ).select("*", unique.alias("unique_sequences"))
+
+
 @query(
     "fastq_scan",
     f"""select lang, count(*) reads, cast(sum(length(seq)) as bigint) bases, count(distinct seq) unique_sequences, cast(sum(ascii(qual)) as bigint) quality_sum from (select split_part(header, ':', 3) lang, seq, qual from ({V.READS_SQL}) x) r group by lang""",
@@ -323,18 +404,12 @@ _WAVES_SQL = convergence_sql(f"(select file, ref_id point_no, mapq, l_seq, re, c
 
 @query(
     "progressive_sample",
-    f"""with v as ({_WAVES_SQL}), e as (select file, min(point_no) filter (where stable) // 5 last_wave from v group by file)
-select v.* from v join e on e.file = v.file where last_wave is null or point_no // 5 <= last_wave""",
+    f"""with v as ({_WAVES_SQL}), e as (select file, min(point_no) filter (where stable) // 2 last_wave from v group by file)
+select v.* from v join e on e.file = v.file where last_wave is null or point_no // 2 <= last_wave""",
 )
 def progressive_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """Waves of references as a stream, stopped per sample once stable."""
-    records = materialize(
-        V.alignments(spark, folder).select("file", F.col("ref_id").alias("point_no"), "mapq", "l_seq", "re", "cb"),
-        "records",
-    )
-    points = records.select("file", "point_no").distinct()
-    running, out = progressive.start(
-        points, lambda wave: wave.join(records, ["file", "point_no"]), wave_size=5, batch=500, target=1 << 62
-    )
+    """Thirteen waves of two references each as a stream, stopped per sample once stable."""
+    records = V.alignments(spark, folder).select("file", F.col("ref_id").alias("point_no"), "mapq", "l_seq", "re", "cb")
+    running, out = progressive.start(records, wave_size=2, batch=500, target=1 << 62, files_per_trigger=8)
     running.awaitTermination()
-    return _round(progressive.result(spark, out, batch=500), "exonic_fraction", "barcode_rate")
+    return _round(progressive.result(spark, out), "exonic_fraction", "barcode_rate")

@@ -25,6 +25,7 @@ from ..sources.storage import filesystem, list_files
 
 BLOCK_DATA = 65280
 FILE_SCHEMA = "path string, name string, size bigint, position bigint"
+_FILE = pa.schema([("path", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("position", pa.int64())])
 
 
 def bgzf_block(data: bytes) -> bytes:
@@ -152,7 +153,8 @@ def write_bams(records: DataFrame, header_text: str, refs: list[tuple[str, int]]
     fs, inner = filesystem(folder)
     fs.create_dir(inner, recursive=True)
     wanted = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    placed = records.repartitionByRange(wanted, "ref_id", "pos").sortWithinPartitions("ref_id", "pos", "read_name")
+    order = ("ref_id", "pos", "read_name")
+    placed = records.repartitionByRange(wanted, *order).sortWithinPartitions(*order)
     header = encode_header(header_text, refs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +177,7 @@ def write_bams(records: DataFrame, header_text: str, refs: list[tuple[str, int]]
                 {"path": f"{folder}/{name}", "name": name, "size": size, "position": 0},
                 {"path": f"{folder}/{name}.bai", "name": f"{name}.bai", "size": len(index), "position": 0},
             ],
-            schema=pa.schema(
-                [("path", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("position", pa.int64())]
-            ),
+            schema=_FILE,
         )
 
     ship_package(spark)
@@ -194,6 +194,32 @@ def write_fastq(raw: DataFrame, gzip: bool = False) -> DataFrame:
     return list_files(spark, folder).withColumn("name", named)
 
 
+def write_bgzip(raw: DataFrame) -> DataFrame:
+    """Four-line text of ``header seq plus qual`` rows in BGZF blocks, a file per partition; gives the table of files."""
+    spark = raw.sparkSession
+    folder = fresh_dir(spark, "bgzip")
+    fs, inner = filesystem(folder)
+    fs.create_dir(inner, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, size, held = f"part_{uuid.uuid4().hex}.fastq.gz", 0, b""
+        store, base = filesystem(folder)
+        with store.open_output_stream(f"{base}/{name}", compression=None) as sink:  # else the name has it packed again
+            for batch in batches:
+                held += "".join(f"{line}\n" for line in batch.column(0).to_pylist()).encode()
+                whole = len(held) // BLOCK_DATA * BLOCK_DATA
+                for at in range(0, whole, BLOCK_DATA):
+                    size += sink.write(bgzf_block(held[at : at + BLOCK_DATA]))
+                held = held[whole:]
+            for rest in (bgzf_block(held) if held else b"", EOF_BLOCK):
+                size += sink.write(rest)
+        yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "name": name, "size": size, "position": 0}], schema=_FILE)
+
+    ship_package(spark)
+    text = raw.select(F.concat_ws("\n", "header", "seq", "plus", "qual").alias("value"))
+    return materialize(text.mapInArrow(run, FILE_SCHEMA), "files")
+
+
 def write_fai(contigs: DataFrame) -> str:
     """``name length offset line_bases line_bytes`` rows as text; gives the folder."""
     folder = fresh_dir(contigs.sparkSession, "fai")

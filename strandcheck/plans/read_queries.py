@@ -48,8 +48,8 @@ def text_motifs(spark: SparkSession, folder: str) -> DataFrame:
     return _round(out, "duplication", "adapter_fraction", "poly_a_fraction", "poly_g_fraction")
 
 
-_CELLS = f"""(select read_id, i as cycle, case when substr(seq, i, 1) in ('A','C','G','T') then substr(seq, i, 1) else 'N' end b, greatest(0, ascii(substr(qual, i, 1)) - 33) q
-from ({V.READS_SQL}) r, range(1, 33) t(i) where i <= length(seq))"""
+_CELLS = f"""(select cycle, case when b in ('A','C','G','T') then b else 'N' end b, greatest(0, ascii(c) - 33) q
+from (select unnest(range(1, length(seq) + 1)) as cycle, unnest(string_split(seq, '')) as b, unnest(string_split(qual, '')) as c from ({V.READS_SQL}) r) x)"""
 
 
 @query(
@@ -78,7 +78,7 @@ def fastq_per_cycle(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "fastq_cycle_entropy",
-    f"""select round(avg(h), 8) mean_cycle_entropy from (select cycle, sum(-p * log2(p)) h from (select cycle, b, n / sum(n) over (partition by cycle) p from (select cycle, b, count(*) n from {_CELLS} c group by all) x) y where b <> 'N' group by cycle) z""",
+    f"""select round(avg(h), 8) mean_cycle_entropy from (select cycle, sum(case when b <> 'N' then -p * log2(p) else 0 end) h from (select cycle, b, n / sum(n) over (partition by cycle) p from (select cycle, b, count(*) n from {_CELLS} c group by all) x) y group by cycle) z""",
 )
 def fastq_cycle_entropy(spark: SparkSession, folder: str) -> DataFrame:
     hist = ops.base_histogram(V.reads(spark, folder).select("seq", "qual"))

@@ -19,22 +19,22 @@ def _text(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("string")
 
 
-# Reads: one per document, sequence and quality from hashes of the whole text.
-READS_SQL = """
-select doc_id as read_id,
-  substr(translate(md5(text),'0123456789abcdef','ACGTACGTACGTACGN'),1,cast(20+length(text)%12 as int)) as seq,
-  substr(translate(md5(concat(text,'q')),'0123456789abcdef','!$+05:?BDFGHIIIJ'),1,cast(20+length(text)%12 as int)) as qual,
+# Reads: one per document, as long as the text. Its letters stand for bases and qualities, all else is a space in between.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_AS_BASES = ("ACGT" * 13)[:13] + "N" + ("ACGT" * 13)[14:]
+_AS_QUALITIES = "".join(chr(33 + (7 * i + 11) % 41) for i in range(52)).replace("'", "&")
+READS_SQL = f"""
+select doc_id as read_id, translate(t, '{_LETTERS} ', '{_AS_BASES}N') as seq, translate(t, '{_LETTERS} ', '{_AS_QUALITIES}!') as qual, header
+from (select doc_id, regexp_replace(text, '[^A-Za-z]', ' ', 'g') as t,
   concat('@', source, ':', cast(length(text) % 9 as varchar), ':', lang, ':', cast(doc_id % 8 + 1 as varchar), ':', cast(1101 + doc_id % 50 as varchar),
      ':', cast(doc_id as varchar), ':7 ', cast(doc_id % 2 + 1 as varchar), ':', case when doc_id % 5 = 0 then 'Y' else 'N' end, ':0:ACGT') as header
-from documents
+from documents) d
 """
 
 
 def reads(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    length = (F.length("text") % 12 + 20).cast("int")
-    seq = F.translate(F.md5(F.col("text")), "0123456789abcdef", "ACGTACGTACGTACGN")
-    qual = F.translate(F.md5(F.concat("text", F.lit("q"))), "0123456789abcdef", "!$+05:?BDFGHIIIJ")
+    letters = F.regexp_replace("text", "[^A-Za-z]", " ")
     header = F.concat(
         F.lit("@"), "source", F.lit(":"), _text(F.length("text") % 9), F.lit(":"), "lang", F.lit(":"),
         _text(F.col("doc_id") % 8 + 1), F.lit(":"), _text(F.col("doc_id") % 50 + 1101), F.lit(":"),
@@ -43,8 +43,8 @@ def reads(spark: SparkSession, folder: str) -> DataFrame:
     )
     return docs.select(
         F.col("doc_id").alias("read_id"),
-        F.substring(seq, F.lit(1), length).alias("seq"),
-        F.substring(qual, F.lit(1), length).alias("qual"),
+        F.translate(letters, f"{_LETTERS} ", f"{_AS_BASES}N").alias("seq"),
+        F.translate(letters, f"{_LETTERS} ", f"{_AS_QUALITIES}!").alias("qual"),
         header.alias("header"),
     )
 

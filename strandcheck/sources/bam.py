@@ -7,15 +7,18 @@ seek point, a range between two index offsets) and is dealt out by Spark.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alignment as A
 from ..functions import constants as K
+from ..session import materialize
 from . import bgzf
+from .guess import record_cuts
 from .storage import open_range, per_row, spread
 from .tags import slices, walk
 
@@ -254,13 +257,17 @@ def read_points(points: DataFrame, per_point: int | Column, tags: tuple[str, ...
     return per_row(spread(work_rows), work, RECORD_SCHEMA)
 
 
-def scan_ranges(chunks: DataFrame, headers: DataFrame | None = None, span: int = 32 << 20) -> DataFrame:
+def scan_ranges(
+    chunks: DataFrame, headers: DataFrame | None = None, span: int = 32 << 20, largest: int = LARGEST_RECORD
+) -> DataFrame:
     """Record-aligned ranges that cover every file once.
 
     A range starts at the lowest chunk offset in each ``span`` of compressed
     bytes; it ends where the next one starts, the last at the end of the file.
-    With ``headers`` the first range starts right after the header, so a file
-    without index, or without any placed record, is covered as well.
+    With ``headers`` the first range starts right after the header, and in each
+    span where no chunk starts the first record is looked for in the bytes, so
+    a file without index and the reads without a place at the end of one are
+    many ranges as well.
     """
     starts = chunks.filter("beg <> 0").select("file", "beg")
     if headers is not None:
@@ -268,6 +275,18 @@ def scan_ranges(chunks: DataFrame, headers: DataFrame | None = None, span: int =
         starts = starts.unionByName(after.select("file", F.col("first_record").alias("beg")))
     piece = F.floor(A.offset_block(F.col("beg")) / span)
     starts = starts.groupBy("file", piece.alias("piece")).agg(F.min("beg").alias("voffset"))
+    if headers is not None:
+        begun = F.floor(A.offset_block(F.col("first_record")) / span)
+        pieces = after.select(
+            "path", "file", "size", F.size("refs").alias("n_ref"),
+            F.explode(F.sequence(begun, F.floor((F.col("size") - 1) / span))).alias("piece"),
+        )
+        starts = materialize(starts, "indexed-starts")
+        gaps = pieces.join(starts, ["file", "piece"], "left_anti").select(
+            "path", "file", "n_ref", (F.col("piece") * span).alias("start"), F.least("size", (F.col("piece") + 1) * span).alias("stop")
+        )
+        found = record_cuts(gaps, largest).select("file", F.floor(A.offset_block(F.col("beg")) / span).alias("piece"), F.col("beg").alias("voffset"))
+        starts = starts.unionByName(materialize(found, "found-starts"))
     order = Window.partitionBy("file").orderBy("voffset")
     return starts.select(
         "file",
@@ -356,9 +375,17 @@ def scan_status(records: DataFrame) -> DataFrame:
     )
 
 
-def probe_record(data: bytes, at: int, reference_count: int) -> None:
+def next_record(data: bytes, at: int, largest: int) -> int | None:
+    """Where the record after the one at ``at`` begins, which may be beyond ``data``; None if no record begins at ``at``."""
+    if len(data) - at < 4:
+        return len(data) + 1
+    (length,) = struct.unpack_from("<i", data, at)
+    return at + 4 + length if RECORD_BYTES[0] <= length <= largest else None
+
+
+def probe_record(data: bytes, at: int, reference_count: int, largest: int = RECORD_BYTES[1]) -> None:
     """Raises unless a complete, well-formed record starts at ``at``."""
-    table, _ = record_table(data, at, len(data), 1)
+    table, _ = record_table(data, at, len(data), 1, largest, MAX_SEQUENCE if largest == RECORD_BYTES[1] else 1 << 31)
     if not len(table["begin"]):
         raise BamError(f"invalid or truncated BAM record block at byte {at}")
     begin, name = int(table["begin"][0]), int(table["name_bytes"][0])
@@ -413,34 +440,38 @@ def failed_points(records: DataFrame) -> DataFrame:
     return records.filter(F.col("error").isNotNull()).select("file", "point_no", "error")
 
 
-def within_budget(records: DataFrame, target: int, per_point: Column) -> DataFrame:
-    """Keeps what a reader with a running record budget would have read.
+def within_budget(
+    records: DataFrame,
+    target: int,
+    per_point: Column,
+    key: Sequence[str] = ("ref_id", "pos", "read_name", "flag"),
+    keep_budget: bool = False,
+) -> DataFrame:
+    """Keeps what a reader would have read that counts different records only.
 
-    A point may give twice its share while the target is far, and only what
-    is missing plus one share near it; no point is read once the target is
-    met. Points are a few dozen per file, so the running sum is a fold over
-    one small array.
+    Points are read in order, up to twice their share while the target is far, and only what is missing plus one share near it;
+    a record that an earlier point or row has given already uses up room at its point, but does not count. No point is read once
+    the target is met. A file's sample is bounded by twice the target, so its keys are walked through in one task.
     """
-    counts = records.groupBy("file", "point_no").agg(F.count(F.lit(1)).alias("n"), F.first(per_point).alias("share"))
-    per_file = counts.groupBy("file").agg(
-        F.sort_array(F.collect_list(F.struct("point_no", "n", "share"))).alias("points")
-    )
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("done"),
-        F.array().cast("array<struct<point_no:int,budget:bigint>>").alias("budgets"),
-    )
-
-    def step(state: Column, point: Column) -> Column:
-        room = F.lit(target) - state["done"]
-        budget = F.when(room <= 0, 0).otherwise(
-            F.least(point["share"] * 2, room + point["share"])
-        ).cast("bigint")
-        return F.struct(
-            (state["done"] + F.least(point["n"], budget)).alias("done"),
-            F.concat(
-                state["budgets"], F.array(F.struct(point["point_no"].alias("point_no"), budget.alias("budget")))
-            ).alias("budgets"),
-        )
-
-    budgets = per_file.select("file", F.inline(F.aggregate("points", start, step)["budgets"]))
-    return records.join(budgets, ["file", "point_no"]).filter(F.col("seq_in_point") < F.col("budget")).drop("budget")
+    columns = {c: records.schema[c].dataType.simpleString() for c in ("file", "point_no", "seq_in_point")}
+    schema = f"file {columns['file']}, point_no {columns['point_no']}, budget bigint"
+    marks = [F.xxhash64(*key).alias("mark"), F.xxhash64(F.lit(1), *key).alias("other")]
+    keys = records.select("file", "point_no", "seq_in_point", per_point.cast("bigint").alias("share"), *marks)
+
+    def budgets(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["point_no", "seq_in_point"])
+        ids = pd.factorize(pd.MultiIndex.from_frame(rows[["mark", "other"]]))[0]
+        seen = np.zeros(len(rows), bool)  # of each different record
+        done, out = 0, []
+        for point, at in rows.groupby("point_no").indices.items():
+            share = int(rows["share"].iat[at[0]])
+            budget = 0 if done >= target else min(2 * share, target - done + share)
+            read = ids[at[:budget]]
+            done += len(np.unique(read[~seen[read]]))
+            seen[read] = True
+            out.append((name[0], point, budget))
+        return pd.DataFrame(out, columns=["file", "point_no", "budget"])
+
+    allowed = keys.groupBy("file").applyInPandas(budgets, schema)
+    kept = records.join(allowed, ["file", "point_no"]).filter(F.col("seq_in_point") < F.col("budget"))
+    return kept if keep_budget else kept.drop("budget")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import codecs
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import reads as R
+from . import bgzf
+from .guess import first_block
 from .storage import open_range, per_row, spread
 
 # Byte windows of a sample.
@@ -27,30 +29,36 @@ GZIP_SCHEMA = "path string, name string, size bigint, gzip boolean"
 
 
 def detect_gzip(files: DataFrame) -> DataFrame:
-    """Adds ``gzip``: by suffix, else by the first two bytes."""
+    """Adds ``gzip``: by suffix, else by the first two bytes; and ``bgzip``: whether a gzip file is made of BGZF blocks."""
 
     def work(row: dict) -> Iterator[list[dict]]:
-        packed = row["name"].lower().endswith(".gz")
-        if not packed and row["size"] >= 2:
-            with open_range(row["path"]) as source:
-                packed = source.read(2) == b"\x1f\x8b"
-        yield [row | {"gzip": packed}]
+        with open_range(row["path"]) as source:
+            head = source.read(12 + 65535)
+        packed = row["name"].lower().endswith(".gz") or head[:2] == b"\x1f\x8b"
+        try:
+            blocked = packed and bgzf.block_size(head) > 0
+        except bgzf.BgzfError:
+            blocked = False
+        yield [row | {"gzip": packed, "bgzip": blocked}]
 
     fastq = files.filter(F.col("name").rlike(K.FASTQ_PATTERN)).select("path", "name", "size")
-    return per_row(spread(fastq), work, GZIP_SCHEMA)
+    return per_row(spread(fastq), work, f"{GZIP_SCHEMA}, bgzip boolean")
 
 
 def splits(files: DataFrame, span: int = 64 << 20) -> DataFrame:
-    """Ranges that cover every file once; a gzip file is one range."""
-    count = F.when(F.col("gzip"), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / span)))
+    """Ranges that cover every file once; a gzip file is one range, unless it is made of BGZF blocks."""
+    blocked = F.col("bgzip") if "bgzip" in files.columns else F.lit(False)
+    stream = F.col("gzip") & ~blocked
+    count = F.when(stream, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / span)))
     rows = files.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)).alias("w"))
     return rows.select(
         "path",
         F.col("path").alias("file"),
         "gzip",
+        blocked.alias("bgzip"),
         F.col("w").cast("int").alias("window"),
         (F.col("w") * span).alias("start"),
-        F.when(F.col("gzip"), F.col("size")).otherwise(F.least(F.col("size"), (F.col("w") + 1) * span)).alias("end"),
+        F.when(stream, F.col("size")).otherwise(F.least(F.col("size"), (F.col("w") + 1) * span)).alias("end"),
     )
 
 
@@ -146,8 +154,8 @@ def _is_start(lines: list, i: int) -> bool:
     return lines[i].startswith("@") and lines[i + 2].startswith("+")
 
 
-def _groups(batches: Iterator[tuple[int, list[str], list[int]]], start: int, end: int | None) -> Iterator[list[list[str]]]:
-    """Records whose first line starts in ``[start, end)``, as lists of lines.
+def _groups(batches: Iterator[tuple[int, list[str], list[int]]], start: int, end: int | None | Callable[[], int | None]) -> Iterator[list[list[str]]]:
+    """Records whose first line starts in ``[start, end)``, as lists of lines. An end that is found on the way is asked for with each batch.
 
     A valid record is followed by the next line. A damaged one is followed by
     the next line that starts a record, so that one stray or missing line costs
@@ -162,7 +170,9 @@ def _groups(batches: Iterator[tuple[int, list[str], list[int]]], start: int, end
     # Lines of a damaged record, while the start of the next is looked for.
     damaged: list[str] | None = None if start == 0 else []
     owned = start == 0
+    find_end = end if callable(end) else None
     for first, more, lengths in batches:
+        end = find_end() if find_end else end
         at = first if at is None else at
         lines += more
         sizes += lengths
@@ -220,11 +230,67 @@ def _groups(batches: Iterator[tuple[int, list[str], list[int]]], start: int, end
 def _records_of_range(source, start: int, end: int, size: int) -> Iterator[list[list[str]]]:
     def batches() -> Iterator[tuple[int, list[str], list[int]]]:
         for at, raw in _lines_of_range(source, start, size):
-            yield at, [x.replace(b"\r", b"").decode("utf-8", "replace") for x in raw], [len(x) + 1 for x in raw]
+            yield at, *_plain(raw)
 
     return _groups(batches(), start, end)
 
 
+def _records_of_blocks(source, start: int, end: int, size: int) -> Iterator[list[list[str]]]:
+    """Records of the BGZF blocks that begin in ``[start, end)``.
+
+    Lines are placed by their distance in the inflated bytes from the first of these blocks. The line that reaches into that block, or begins
+    with it, belongs to the range before; the range ends with the last record that begins no later than the first block of the next one.
+    """
+    first = 0 if start == 0 else first_block(source, start, min(end, size), size)
+    if first is None:
+        return
+    boundary: int | None = None
+
+    def batches() -> Iterator[tuple[int, list[str], list[int]]]:
+        nonlocal boundary
+        rest, at, inflated, skipped = b"", 0, 0, start == 0
+        held: list[bytes] = []
+        problem = None
+        blocks = bgzf.blocks(source, first, size)
+        while True:
+            try:
+                block = next(blocks, None)
+            except bgzf.BgzfError as damage:
+                block, problem = None, FastqError(str(damage))
+            if block is not None:
+                if block.offset >= end and boundary is None:
+                    boundary = inflated + 1
+                held.append(block.data)
+                inflated += len(block.data)
+                if sum(map(len, held)) < READ_BYTES and boundary is None:
+                    continue
+            data = rest + b"".join(held)
+            held = []
+            if not skipped:
+                cut = data.find(b"\n")
+                if cut < 0 and block is not None:
+                    at, rest = at + len(data), b""
+                    continue
+                at, data, skipped = at + cut + 1, data[cut + 1 :] if cut >= 0 else b"", True
+            lines = data.split(b"\n")
+            rest = lines.pop()
+            yield at, *_plain(lines)
+            at += len(data) - len(rest)
+            if block is None:
+                if problem:
+                    raise problem
+                if rest:
+                    yield at, *_plain([rest])
+                return
+
+    yield from _groups(batches(), start, lambda: boundary)
+
+
+def _plain(raw: list[bytes]) -> tuple[list[str], list[int]]:
+    """Lines as text, and their bytes with the line end."""
+    return [x.replace(b"\r", b"").decode("utf-8", "replace") for x in raw], [len(x) + 1 for x in raw]
+
+
 def _records_of_gzip(source) -> Iterator[list[list[str]]]:
     batches = ((0, [x.replace("\r", "") for x in more], [0] * len(more)) for more in _lines_of_gzip(source))
     return _groups(batches, 0, None)
@@ -245,6 +311,8 @@ def read_records(ranges: DataFrame, target: int | None = None) -> DataFrame:
     """
 
     def records(row: dict, source) -> Iterator[list[list[str]]]:
+        if row["bgzip"]:
+            return _records_of_blocks(source, row["start"], row["end"], source.size())
         if row["gzip"]:
             return _records_of_gzip(source)
         return _records_of_range(source, row["start"], row["end"], source.size())
@@ -277,7 +345,8 @@ def read_records(ranges: DataFrame, target: int | None = None) -> DataFrame:
             yield [base | {"rec_no": number, "error": str(problem)}]
 
     limit = F.lit(None).cast("bigint") if target is None else F.ceil(F.lit(target) / F.coalesce("windows", F.lit(1)))
-    rows = ranges.select("path", "file", "gzip", "window", "start", "end", limit.cast("bigint").alias("limit"))
+    blocked = F.col("bgzip") if "bgzip" in ranges.columns else F.lit(False)
+    rows = ranges.select("path", "file", "gzip", blocked.alias("bgzip"), "window", "start", "end", limit.cast("bigint").alias("limit"))
     return per_row(spread(rows, SPLITS_PER_TASK if target is None else None), work, RECORD_SCHEMA)
 
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 import gzip
 import random
 
+import numpy as np
 import pytest
-from factory import at, bai, one_member_bam, record, write_bam
+from factory import at, bai, bgzf_block, one_member_bam, record, write_bam
 from pyspark.sql import functions as F
 
 from strandcheck.operators import contigs
 from strandcheck.operators import index as index_ops
 from strandcheck.operators import reads as read_ops
 from strandcheck.plans import preflight, report
-from strandcheck.sources import bam, bgzf, fastq
+from strandcheck.sources import bam, bgzf, fastq, guess
 from strandcheck.sources import bai as bai_source
 from strandcheck.sources import fai as fai_source
 from strandcheck.sources.storage import list_files
@@ -247,13 +248,159 @@ def test_damaged_records_end_their_range(spark, tmp_path):
 
 
 def test_record_budget(spark):
-    rows = [("f", p, s) for p in range(4) for s in range(100)]
-    df = spark.createDataFrame(rows, "file string, point_no int, seq_in_point int").withColumn("share", F.lit(40))
+    rows = [("f", p, s, 0, 100 * p + s, "r", 0) for p in range(4) for s in range(100)]
+    schema = "file string, point_no int, seq_in_point int, ref_id int, pos int, read_name string, flag int"
+    df = spark.createDataFrame(rows, schema).withColumn("share", F.lit(40))
     got = bam.within_budget(df, 160, F.col("share")).groupBy("point_no").count().collect()
     # Twice the share from two points meets the target exactly.
     assert {r.point_no: r["count"] for r in got} == {0: 80, 1: 80}
 
 
+@pytest.mark.parametrize("target", [30, 100, 400, 2000])
+def test_record_budget_counts_different_records(spark, target):
+    random = np.random.default_rng(target)
+    rows = [(f, p, s, 0, int(random.integers(0, 300)), "r", int(random.integers(0, 2))) for f in "ab" for p in range(12) for s in range(int(random.integers(1, 90)))]
+    schema = "file string, point_no int, seq_in_point int, ref_id int, pos int, read_name string, flag int"
+    share = -(-target // 12)
+    want = set()
+    for f in "ab":
+        seen = set()
+        for p in range(12):
+            if len(seen) >= target:
+                break
+            read = [r for r in rows if r[:2] == (f, p)][: min(2 * share, target - len(seen) + share)]
+            seen |= {r[3:] for r in read}
+            want |= {r[:3] for r in read}
+    got = bam.within_budget(spark.createDataFrame(rows, schema).repartition(3), target, F.lit(share))
+    assert {tuple(r)[:3] for r in got.select("file", "point_no", "seq_in_point").collect()} == want
+
+
+# Starting without an index
+
+
+def unplaced(n, seed=0, longest=400):
+    r = random.Random(seed)
+    return [
+        record(ref_id=-1, pos=-1, flag=4, mapq=0, read_name="".join(r.choices("ACGT:0123456789", k=r.randint(1, 60))), l_seq=r.randint(1, longest + 1), gn="".join(r.choices("GENE;", k=r.randint(0, 90))))
+        for _ in range(n)
+    ]
+
+
+def test_blocks_are_found_from_any_byte(tmp_path):
+    write_bam(str(tmp_path / "x.bam"), unplaced(3000))
+    data = (tmp_path / "x.bam").read_bytes()
+    with open(tmp_path / "x.bam", "rb") as source:
+        starts = [b.offset for b in bgzf.blocks(source, 0, len(data))]
+        assert len(starts) > 5
+        for at_byte in [*range(0, 300), *range(0, len(data), 997), *starts, *(x + 1 for x in starts), len(data) - 1]:
+            want = next((x for x in starts if x >= at_byte), None)
+            assert guess.first_block(source, at_byte, len(data), len(data)) == want
+            assert want is None or guess.first_block(source, at_byte, want, len(data)) is None
+    # bytes that look like a header, in a stored block, are none
+    fake = bgzf.EOF_BLOCK[:16] + b"\xff\x00" + b"x" * 300
+    (tmp_path / "y").write_bytes(b"??" + fake + data)
+    with open(tmp_path / "y", "rb") as source:
+        assert guess.first_block(source, 0, len(data), len(data) + 2 + len(fake)) == 2 + len(fake)
+
+
+@pytest.mark.parametrize("longest", [0, 5, 400, 150_000])
+def test_records_are_found_in_every_block(tmp_path, longest):
+    rows = unplaced(2000 if longest < 1000 else 40, longest, longest)
+    write_bam(str(tmp_path / "x.bam"), rows)
+    size = (tmp_path / "x.bam").stat().st_size
+    with open(tmp_path / "x.bam", "rb") as source:
+        header = bam._read_header({"path": str(tmp_path / "x.bam")})
+        blocks = list(bgzf.blocks(source, 0, size))
+        joined, places = b"".join(b.data for b in blocks), []
+        ends = np.cumsum([len(b.data) for b in blocks])
+        at_byte = header["header_bytes"]
+        while at_byte < len(joined):
+            k = int(np.searchsorted(ends, at_byte, "right"))
+            places.append(blocks[k].offset << 16 | at_byte - int(ends[k]) + len(blocks[k].data))
+            at_byte = bam.next_record(joined, at_byte, 1 << 28)
+        assert len(places) == len(rows)
+        for b in blocks[1:]:
+            want = next((p for p in places if p >= b.offset << 16), None)
+            assert guess.first_record(source, b.offset, size, size, 1, 1 << 28) == want
+
+
+@pytest.mark.parametrize("index", [True, False])
+@pytest.mark.parametrize("span", [3000, 20_000, 1 << 30])
+def test_scan_cuts_what_no_index_covers(spark, tmp_path, span, index):
+    placed = [record(pos=i, read_name=f"p{i}") for i in range(500)]
+    write_bam(str(tmp_path / "x.bam"), placed + unplaced(4000), index=index)
+    write_bam(str(tmp_path / "none.bam"), unplaced(3000, 7), index=index)
+    write_bam(str(tmp_path / "long.bam"), unplaced(30, 8, 100_000), index=index)
+    write_bam(str(tmp_path / "empty.bam"), [], index=index)
+    files = list_files(spark, str(tmp_path))
+    headers = bam.read_headers(files)
+    chunks = bai_source.chunks(bai_source.usable(bai_source.read_indexes(files)).withColumn("file", F.regexp_replace("file", r"\.bai$", "")))
+    ranges = bam.scan_ranges(chunks, headers, span)
+    found = bam.read_ranges(ranges.withColumn("path", F.col("file")), tags=())
+    rows = found.select(F.regexp_extract("file", r"(\w+)\.bam", 1).alias("f"), "read_name", "pos", "l_seq", "error").collect()
+    assert not [r.error for r in rows if r.error]
+    want = [("x", r) for r in placed + unplaced(4000)] + [("none", r) for r in unplaced(3000, 7)] + [("long", r) for r in unplaced(30, 8, 100_000)]
+    assert sorted(tuple(r)[:4] for r in rows) == sorted((f, r["read_name"], r["pos"], r["l_seq"]) for f, r in want)
+    per_file = {r.f: r.n for r in ranges.groupBy(F.regexp_extract("file", r"(\w+)\.bam", 1).alias("f")).agg(F.count("*").alias("n")).collect()}
+    if span == 3000:
+        assert per_file["x"] > 20 and per_file["none"] > 20
+
+
+def test_damage_in_an_unindexed_stretch_costs_its_range(spark, tmp_path):
+    write_bam(str(tmp_path / "x.bam"), unplaced(4000), index=False)
+    data = bytearray((tmp_path / "x.bam").read_bytes())
+    middle = len(data) // 2
+    data[middle : middle + 100] = bytes(100)
+    (tmp_path / "x.bam").write_bytes(data)
+    files = list_files(spark, str(tmp_path))
+    ranges = bam.scan_ranges(spark.createDataFrame([], "file string, beg bigint"), bam.read_headers(files), 20_000)
+    found = bam.read_ranges(ranges.withColumn("path", F.col("file")), tags=())
+    (status,) = bam.scan_status(found).collect()
+    assert status.failed_ranges == 1 and 3000 < status.records < 4000
+    names = {r["read_name"] for r in unplaced(4000)[-200:]}
+    assert names <= {r.read_name for r in found.select("read_name").collect()}
+
+
+def bgzip(text: bytes, size: int) -> bytes:
+    return b"".join(bgzf_block(text[k : k + size]) for k in range(0, len(text), size)) + bgzf.EOF_BLOCK
+
+
+@pytest.mark.parametrize("damaged", [True, False])
+@pytest.mark.parametrize("span", [200, 5000, 1 << 30])
+def test_bgzip_in_ranges_gives_the_rows_of_the_stream(spark, tmp_path, span, damaged):
+    r = random.Random(4)
+    lines = []
+    for i in range(1500):
+        n = r.randint(1, 120)
+        lines += [f"@r{i} {r.choice('12')}", "".join(r.choices("ACGTN", k=n)), "+", "".join(r.choices("+I#5" if damaged else "@+I#5", k=n))]
+    for _ in range(40 if damaged else 0):  # stray, missing and broken lines
+        k = r.randrange(len(lines))
+        lines[k : k + r.choice([0, 1, 2])] = r.choice([[], ["stray"], ["@x"], [""], ["+"]])
+    text = ("\n".join(lines) + r.choice(["", "\n", "\n@cut\nAC"][: 3 if damaged else 2])).encode()
+    for name, data in (("a", bgzip(text, 700)), ("b", bgzip(text, 61)), ("c", bgzip(text.replace(b"\n", b"\r\n"), 5000)), ("d", bgzip(b"", 10)), ("e", bgzip(text, 65280))):
+        (tmp_path / f"{name}.fastq.gz").write_bytes(data)
+    files = fastq.detect_gzip(list_files(spark, str(tmp_path)))
+    assert [r.bgzip for r in files.collect()] == [True] * 5
+    columns = ["f", "header", "seq", "plus", "qual", "tail", "error"]
+    rows = lambda raw: sorted(map(str, raw.withColumn("f", F.regexp_extract("file", r"(\w)\.fastq", 1)).select(columns).collect()))
+    cut = fastq.splits(files, span)
+    want = rows(fastq.read_records(fastq.splits(files.withColumn("bgzip", F.lit(False)))))
+    assert len(want) > 5000 and rows(fastq.read_records(cut)) == want
+    if span == 200:
+        assert cut.filter("path like '%/a.%'").count() > 100
+
+
+def test_a_damaged_block_of_a_bgzip_file_is_an_error_of_its_range(spark, tmp_path):
+    data = bytearray(bgzip(b"".join(b"@r%d\nACGT\n+\nIIII\n" % i for i in range(20_000)), 5000))
+    data[len(data) // 2] ^= 0xFF
+    (tmp_path / "x.fastq.gz").write_bytes(data)
+    files = fastq.detect_gzip(list_files(spark, str(tmp_path)))
+    raw = fastq.read_records(fastq.splits(files, 5000))
+    assert raw.filter("error is not null").count() == 1
+    found = {r.header for r in fastq.decoded(raw).select("header").collect()}
+    assert 17_000 < len(found) < 20_000 and {"@r0", "@r19999"} <= found
+
+
 # BAI
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import random
+import re
 
+import numpy as np
 import pytest
 from factory import at
 from pyspark.sql import functions as F
@@ -250,11 +254,49 @@ def test_stop_rule(spark):
 
 def test_progressive_waves_stop(spark):
     records = points_table(spark, [100] * 20, [0.5] * 20)
-    points = records.select("file", "point_no").distinct()
-    running, out = progressive.start(
-        points, lambda wave: wave.join(records, ["file", "point_no"]), wave_size=2, batch=100, target=10**9
-    )
+    running, out = progressive.start(records, wave_size=2, batch=100, target=10**9, files_per_trigger=5)
     running.awaitTermination()
-    got = progressive.result(spark, out, 100)
+    got = progressive.result(spark, out)
     last = got.orderBy(F.desc("point_no")).first()
     assert last.stable and last.records < 2000 and last.records % 200 == 0
+
+
+def test_progressive_waves_in_any_order_of_time(spark, tmp_path):
+    """Thirteen waves, whose files are younger the earlier the wave, or in no order, give the same as all records at once."""
+    draw = np.random.default_rng(3)
+    rows = [
+        (f"f{f}", p, int(draw.integers(0, 60)), int(draw.integers(50, 99)), "E" if draw.random() < 0.1 * (p % 7) else "N", f"c{draw.integers(0, 400)}" if draw.random() < 0.9 else None)
+        for f in range(3) for p in range(39) if (f + p) % 5 for _ in range(int(draw.integers(1, 30)))
+    ]
+    records = spark.createDataFrame(rows, "file string, point_no int, mapq int, l_seq int, re string, cb string")
+    want = sorted(map(tuple, convergence.convergence(convergence.snapshots(records, ["file"]), 50, ["file"]).select(*names()).collect()))
+    for order in ("late first", "shuffled"):
+        folder = str(tmp_path / order.replace(" ", "-"))
+        progressive.write_waves(records, 3, folder)
+        files = sorted(glob.glob(f"{folder}/*/*.parquet"), key=lambda f: int(re.search(r"of_wave=(\d+)", f)[1]))
+        assert len({os.path.dirname(f) for f in files}) == 13
+        for no, f in enumerate(files[::-1] if order == "late first" else draw.permutation(files)):
+            os.utime(f, (1_000_000 + no, 1_000_000 + no))
+        running, out = progressive.start(records, batch=50, target=1 << 62, waves=folder, files_per_trigger=4)
+        running.awaitTermination()
+        got = sorted(map(tuple, progressive.result(spark, out, names()).collect()))
+        stops = {f: min((r[1] for r in want if r[0] == f and r[-3]), default=99) for f in ("f0", "f1", "f2")}
+        assert got == [r for r in want if r[1] // 3 <= stops[r[0]] // 3] and len(got) > 20
+
+
+def test_progressive_reads_points_by_need(spark):
+    """Points of a file that has enough records are not read any more."""
+    points = spark.createDataFrame([(f, p) for f in ("a", "b") for p in range(12)], "file string, point_no int")
+
+    def take(wave):
+        many = wave.loc[wave.index.repeat(10)].reset_index(drop=True)
+        return many.assign(mapq=30, l_seq=90, re="E", cb="c1")[["point_no", "mapq", "l_seq", "re", "cb"]]
+
+    running, out = progressive.start(points, take, wave_size=2, batch=1000, target=55, files_per_trigger=3)
+    running.awaitTermination()
+    got = progressive.result(spark, out)
+    assert {(r.file, r.n, r.m) for r in got.groupBy("file").agg(F.count("*").alias("n"), F.max("records").alias("m")).collect()} == {("a", 6, 60), ("b", 6, 60)}
+
+
+def names():
+    return [c.split()[0] for c in progressive.SNAPSHOT_SCHEMA.split(", ")]
