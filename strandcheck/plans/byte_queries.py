@@ -347,6 +347,30 @@ def fai_scan(spark: SparkSession, folder: str) -> DataFrame:
     return contigs.fai_summary(fai.read_fai(spark, D.write_fai(docs)))
 
 
+@query(
+    "fai_folders",
+    """with a as (select doc_id % 2 half, doc_id // 500 part, concat('doc', cast(doc_id as varchar)) as name, n_chars len, row_number() over (partition by doc_id % 2, doc_id // 500 order by doc_id) line_no from documents),
+c as (select *, sum(len) over (partition by half, part order by len desc, line_no rows unbounded preceding) cum, sum(len) over (partition by half, part) total, row_number() over (partition by half, part order by len desc, line_no) rk from a)
+select cast(half as int) half, cast(part as int) part, count(*) contigs, cast(sum(len) as bigint) total_length, arg_min(len, rk) filter (where cum >= total / 2) n50, min(rk) filter (where cum >= total / 2) l50,
+ cast(max(line_no) as bigint) lines, string_agg(name, ',' order by line_no) filter (where line_no <= 5) first_names from c group by half, part""",
+)
+def fai_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """Indexes of the same names in two folders: they stay apart, and their first rows come in file order."""
+    docs = V.table(spark, folder, "documents").select(
+        "doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("n_chars").alias("length"),
+        (F.col("doc_id") % 7 * 100000).alias("offset"), F.lit(60).alias("line_bases"), F.lit(61).alias("line_bytes"),
+        (F.col("doc_id") % 2).alias("half"), F.floor(F.col("doc_id") / 500).alias("part"),
+    )
+    rows = fai.read_fai(spark, D.write_fai(docs.repartition("part").sortWithinPartitions("half", "part", "doc_id"), ["half", "part"]))
+    rows = materialize(rows, "contigs")
+    first = fai.first_rows(rows, 5).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rank", "name"))).alias("names"))
+    lines = rows.groupBy("file").agg(F.max("line_no").alias("lines"))
+    place = lambda key: F.regexp_extract("file", f"/{key}=(\\d+)/", 1).cast("int").alias(key)
+    return contigs.fai_summary(rows, ["file"]).join(first, "file").join(lines, "file").select(
+        place("half"), place("part"), "contigs", "total_length", "n50", "l50", "lines", F.array_join(F.transform("names", lambda n: n["name"]), ",").alias("first_names")
+    )
+
+
 @query(
     "barcodes_from_bam",
     f"""select cb, reads, umis, genes, mito_fraction from (select cb, count(*) reads, count(distinct ub) umis, count(distinct split_part(coalesce(gx, gn), ';', 1)) genes, round(sum(case when ref_name = 'chrM' then 1 else 0 end) / count(*), 8) mito_fraction from {_BAM_SQL} a where cb is not null group by cb) t""",

@@ -11,7 +11,7 @@ import struct
 import uuid
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
@@ -220,11 +220,11 @@ def write_bgzip(raw: DataFrame) -> DataFrame:
     return materialize(text.mapInArrow(run, FILE_SCHEMA), "files")
 
 
-def write_fai(contigs: DataFrame) -> str:
-    """``name length offset line_bases line_bytes`` rows as text; gives the folder."""
+def write_fai(contigs: DataFrame, by: Sequence[str] = ()) -> str:
+    """``name length offset line_bases line_bytes`` rows as text, in folders for each value of ``by``; gives the folder."""
     folder = fresh_dir(contigs.sparkSession, "fai")
     columns = [F.col(c).cast("string") for c in ("name", "length", "offset", "line_bases", "line_bytes")]
-    contigs.select(F.concat_ws("\t", *columns).alias("value")).write.text(folder)
+    contigs.select(F.concat_ws("\t", *columns).alias("value"), *by).write.partitionBy(*by).text(folder)
     return folder
 
 

@@ -56,48 +56,63 @@ class BamError(ValueError):
 # Headers
 
 
+_INT = struct.Struct("<i")
+
+
+def _int(data: bytes, at: int, low: int, high: int, what: str) -> int:
+    (value,) = _INT.unpack_from(data, at)
+    if not low <= value <= high:
+        raise BamError(f"{what} is {value}, which is not within {low} and {high}")
+    return value
+
+
+def _entry_bounds(data: bytes, at: int, count: int) -> np.ndarray | None:
+    """Begin and end of the name in each dictionary entry; None if the bytes end before the last entry does."""
+    bounds = np.zeros((count, 2), np.int64)
+    for k in range(count):
+        if at + 4 > len(data):
+            return None
+        size = _int(data, at, 1, MAX_NAME, f"name size of dictionary entry {k}")
+        bounds[k] = at + 4, at + 4 + size
+        at += 8 + size
+    return None if at > len(data) else bounds
+
+
+def _listed(entries: np.ndarray) -> str:
+    return ", ".join(map(str, entries[:5].tolist())) + (" and more" if len(entries) > 5 else "")
+
+
 def parse_header(data: bytes) -> dict | None:
-    """Header text and references, or None while more bytes are needed."""
+    """Header text and references, or None while more bytes are needed.
+
+    The entries of the dictionary are found first; their names, lengths and repeats are then looked at all together.
+    """
+    if not b"BAM\x01".startswith(data[:4]):
+        raise BamError("the first bytes are not the signature of a BAM")
     if len(data) < 12:
         return None
-    if data[:4] != b"BAM\x01":
-        raise BamError("Not a BAM file")
-    (text_bytes,) = struct.unpack_from("<i", data, 4)
-    if not 0 <= text_bytes <= HEADER_BYTES:
-        raise BamError("Invalid BAM header length")
-    at = 8 + text_bytes
-    if len(data) < at + 4:
+    text_end = 8 + _int(data, 4, 0, HEADER_BYTES, "size of the header text")
+    if len(data) < text_end + 4:
         return None
-    (count,) = struct.unpack_from("<i", data, at)
-    if not 0 <= count <= MAX_REFERENCES:
-        raise BamError("Invalid BAM reference count")
-    at += 4
-    refs: dict[str, int] = {}
-    for i in range(count):
-        if at + 4 > len(data):
-            return None
-        (name_bytes,) = struct.unpack_from("<i", data, at)
-        if not 0 < name_bytes <= MAX_NAME:
-            raise BamError("Invalid BAM reference name length")
-        end = at + 4 + name_bytes
-        if end + 4 > len(data):
-            return None
-        raw = data[at + 4 : end]
-        (length,) = struct.unpack_from("<i", data, end)
-        if raw[-1] != 0:
-            raise BamError(f"BAM reference name {i} is not NUL terminated")
-        name = raw[:-1].decode("utf-8", "replace")
-        if not name or length <= 0:
-            raise BamError(f"Invalid BAM reference {i}")
-        if name in refs:
-            raise BamError(f"Duplicate BAM reference name {name}")
-        refs[name] = length
-        at = end + 4
-    text = data[8 : 8 + text_bytes].decode("utf-8", "replace")
+    bounds = _entry_bounds(data, text_end + 4, _int(data, text_end, 0, MAX_REFERENCES, "number of references"))
+    if bounds is None:
+        return None
+    raw, (begins, ends) = np.frombuffer(data, np.uint8), bounds.T
+    lengths = np.ascontiguousarray(raw[ends[:, None] + np.arange(4)]).view("<i4").ravel()
+    names = [data[a : b - 1].decode("utf-8", "replace") for a, b in bounds.tolist()]
+    first = {name: k for k, name in reversed(list(enumerate(names)))}
+    for wrong, what in (
+        (raw[ends - 1] != 0, "have a name without its closing zero byte"),
+        (ends - begins == 1, "have an empty name"),
+        (lengths <= 0, "have no positive length"),
+        (np.array([first[n] < k for k, n in enumerate(names)], bool), "repeat the name of another"),
+    ):
+        if wrong.any():
+            raise BamError(f"dictionary entries that {what}: {_listed(np.flatnonzero(wrong))}")
     return {
-        "header_text": text,
-        "refs": [{"name": n, "length": size} for n, size in refs.items()],
-        "header_bytes": at,
+        "header_text": data[8:text_end].decode("utf-8", "replace"),
+        "refs": [{"name": n, "length": size} for n, size in zip(names, lengths.tolist(), strict=True)],
+        "header_bytes": int(ends[-1]) + 4 if len(bounds) else text_end + 4,
     }
 
 
@@ -112,7 +127,7 @@ def _read_header(row: dict) -> dict:
             places.append((len(data), block.offset))
             data += block.data
             if len(data) > HEADER_BYTES + (MAX_REFERENCES << 6):
-                raise BamError("BAM header exceeds safety limit")
+                raise BamError("header and dictionary together are larger than any that is accepted")
             # Parsing again after every block would be quadratic in the header.
             if len(data) >= need or not block.data:
                 if parsed := parse_header(bytes(data)):
@@ -120,7 +135,7 @@ def _read_header(row: dict) -> dict:
                 need = len(data) + len(data) // 4
         parsed = parsed or parse_header(bytes(data))
         if not parsed:
-            raise BamError("Could not read a complete BAM header")
+            raise BamError("the file ends inside its header")
         after = block.offset + block.size
         places.append((len(data), after))
         inflated, offset = max(p for p in places if p[0] <= parsed["header_bytes"])
@@ -387,27 +402,24 @@ def probe_record(data: bytes, at: int, reference_count: int, largest: int = RECO
     """Raises unless a complete, well-formed record starts at ``at``."""
     table, _ = record_table(data, at, len(data), 1, largest, MAX_SEQUENCE if largest == RECORD_BYTES[1] else 1 << 31)
     if not len(table["begin"]):
-        raise BamError(f"invalid or truncated BAM record block at byte {at}")
-    begin, name = int(table["begin"][0]), int(table["name_bytes"][0])
-    if data[begin + 36 + name - 1] != 0:
-        raise BamError(f"BAM read name is not NUL terminated at byte {at}")
-    ops = np.frombuffer(data, "<u4", int(table["cigars"][0]), int(table["cigar_at"][0]))
+        raise BamError(f"no whole record at byte {at}")
+    one = {k: int(v[0]) for k, v in table.items()}
+    ops = np.frombuffer(data, "<u4", one["cigars"], one["cigar_at"])
     lengths, kinds = ops >> 4, ops & 0xF
-    if (lengths == 0).any() or (kinds > 8).any():
-        raise BamError(f"invalid BAM CIGAR operation at byte {at}")
-    query = int(lengths[np.isin(kinds, (0, 1, 4, 7, 8))].sum())
-    if len(ops) and query != int(table["l_seq"][0]):
-        raise BamError(
-            f"BAM CIGAR query length {query} does not match sequence length {int(table['l_seq'][0])}"
-        )
-    ref = int(table["ref_id"][0])
-    if not -1 <= ref < min(reference_count, MAX_REFERENCES) or int(table["pos"][0]) < -1:
-        raise BamError(f"invalid BAM reference/position at byte {at}")
+    bases = int(lengths[np.isin(kinds, (0, 1, 4, 7, 8))].sum())
     fields = walk(np.frombuffer(data, np.uint8), table["aux_at"], table["end"])
-    if fields.reached[0] != table["end"][0]:
-        raise BamError(f"auxiliary field at byte {int(fields.reached[0])} is cut off or of no known type")
-    if len(fields.tag) and ((fields.tag >> 8 < 33) | (fields.tag & 0xFF < 33)).any():
-        raise BamError(f"auxiliary field without a printable tag in the record at byte {at}")
+    reached = int(fields.reached[0])
+    for wrong, what in (
+        (data[one["begin"] + 35 + one["name_bytes"]] != 0, "its name has no closing zero byte"),
+        ((lengths == 0).any() or (kinds > 8).any(), "its CIGAR has an operation of no length or of no known kind"),
+        (len(ops) and bases != one["l_seq"], f"its CIGAR covers {bases} bases of {one['l_seq']}"),
+        (not -1 <= one["ref_id"] < min(reference_count, MAX_REFERENCES), "its reference is not in the dictionary"),
+        (one["pos"] < -1, "its position is negative"),
+        (reached != one["end"], f"its auxiliary field at byte {reached} is cut off or of no known type"),
+        (len(fields.tag) and ((fields.tag >> 8 < 33) | (fields.tag & 0xFF < 33)).any(), "it has an auxiliary field without a printable tag"),
+    ):
+        if wrong:
+            raise BamError(f"the record at byte {at} is no good: {what}")
 
 
 def probe_points(points: DataFrame) -> DataFrame:
@@ -423,7 +435,7 @@ def probe_points(points: DataFrame) -> DataFrame:
             with open_range(row["path"]) as source:
                 found = bgzf.window(source, row["voffset"] >> 16, source.size(), *PROBE_WINDOW)
             if not found or row["voffset"] & 0xFFFF >= len(found[0].data):
-                raise BamError(f"BAI seek offset {place} is outside its BGZF block")
+                raise BamError(f"no block at {place} is long enough for this offset")
             probe_record(b"".join(b.data for b in found), row["voffset"] & 0xFFFF, row["n_ref"])
             yield [base | {"ok": True}]
         except (BamError, bgzf.BgzfError, OSError) as problem:

@@ -9,23 +9,20 @@ from ..functions import constants as K
 from ..operators.histograms import bucketed_prefix, top_k_by
 
 
-def read_fai(spark: SparkSession, *paths: str, fail_fast: bool = True, line_numbers: bool = False) -> DataFrame:
-    """Contigs of ``.fai`` files; blank lines are left out.
+def read_fai(spark: SparkSession, *paths: str, fail_fast: bool = True) -> DataFrame:
+    """Contigs of ``.fai`` files, each known by its path, with their line from 1; blank lines count as lines but are left out.
 
     A line with fewer than five columns or with a column that is not a number
     raises, or has its ``error`` set when ``fail_fast`` is off. Further
-    columns are ignored. Line numbers count from the lines of each read split.
+    columns are ignored.
     """
     lines = spark.read.text(list(paths)).select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
+        F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("nth"),
         F.regexp_replace("value", "\r$", "").alias("line"),
     )
-    if line_numbers:
-        lines = bucketed_prefix(lines, ["file"], F.col("block"), ["nth"], {"line_no": F.lit(1)})
-    else:
-        lines = lines.withColumn("line_no", F.lit(None).cast("bigint"))
+    lines = bucketed_prefix(lines, ["file"], F.col("block"), ["nth"], {"line_no": F.lit(1)})
     number = lambda i: F.expr(f"try_cast(trim(get(parts, {i})) as bigint)")
     rows = (
         lines.filter(F.trim("line") != "")
@@ -45,10 +42,9 @@ def read_fai(spark: SparkSession, *paths: str, fail_fast: bool = True, line_numb
     missing = F.lit(False)
     for column in ("length", "offset", "line_bases", "line_bytes"):
         missing = missing | F.col(column).isNull()
-    place = F.concat_ws(" ", F.lit("line"), F.col("line_no").cast("string"))
-    problem = F.when(
-        F.col("columns") < 5, F.concat(F.lit("Invalid .fai "), place, F.lit(": expected 5 columns"))
-    ).when(missing, F.concat(F.lit("Invalid numeric value in .fai "), place))
+    place = F.concat(F.lit("index line "), F.col("line_no").cast("string"), F.lit(": "))
+    few = F.concat(place, F.col("columns").cast("string"), F.lit(" of 5 columns are there"))
+    problem = F.when(F.col("columns") < 5, few).when(missing, F.concat(place, F.lit("a column after the name is no whole number")))
     guard = lambda c, t: (
         F.when(problem.isNotNull(), F.raise_error(problem).cast(t)).otherwise(F.col(c)).alias(c)
         if fail_fast
@@ -67,6 +63,6 @@ def read_fai(spark: SparkSession, *paths: str, fail_fast: bool = True, line_numb
 
 
 def first_rows(contigs: DataFrame, k: int = K.FAI_ROWS_SHOWN) -> DataFrame:
-    """The first ``k`` contigs of each file in file order."""
-    order = contigs.withColumn("__o", -F.col("offset"))
+    """The first ``k`` contigs of each file in file order, with their ``rank``."""
+    order = contigs.withColumn("__o", -F.col("line_no"))
     return top_k_by(order, ["file"], "__o", k, "name").drop("__o")
