@@ -1,21 +1,36 @@
 """Token ids of whole texts by a public tokenizer file, with a bounded memory of pieces seen before.
 
-Both vocabularies used here never let a token reach over a single space that
+Two kinds of files never let a token reach over a single space that
 stands between two other characters: their first step cuts the text there.
 So a text is cut at these spaces, and the ids of its pieces in a row are the
 ids of the text. Pieces recur, and the library encodes a new one only once.
 Texts with other white space than single spaces and line ends between
-characters go to the library as a whole.
+characters, or with the string of an added token, go to the library as a whole,
+and so do all texts where the file is of another kind.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
 #: Set after each piece when many are encoded in one text; a piece that holds it is encoded alone.
 _MARK = " ~"
+# First steps (normaliser, pre-tokenizer, end of words) that cut a text at its single spaces.
+_CUTTING = (
+    (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+        "</w>",
+    ),
+)
 _BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 #: Pieces that a worker remembers; more are encoded each time they come up.
 REMEMBERED = 500_000
@@ -38,17 +53,24 @@ def _odd_space(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 class Encoder:
-    """Encodes texts with the tokenizer in ``path``; special tokens are neither added nor recognised in texts.
+    """Encodes texts as the library does with the tokenizer in ``path``, without adding special tokens.
 
+    The string of a special token in a text becomes that token, as is the library's way; with ``plain`` it is text like any other.
     Pieces are told apart by two 64-bit hashes, computed with array operations.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = plain
+        added = [] if plain else [re.escape(t.content.encode()) for t in self._tokenizer.get_added_tokens_decoder().values() if t.content]
+        self._added = re.compile(b"|".join(added), re.IGNORECASE) if added else None
+        form = json.loads(self._tokenizer.to_str())
+        self._cuts = (form["normalizer"], form["pre_tokenizer"], form["model"].get("end_of_word_suffix")) in _CUTTING and form["model"].get("type") == "BPE"
+        if not self._cuts:
+            return
         (self._mark,) = self._tokenizer.encode(_MARK, add_special_tokens=False).ids
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._by_word = "a</w>" in vocabulary
@@ -121,11 +143,16 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8) in a row, and how many each has."""
+        if not self._cuts:
+            whole = self._directly(texts)
+            return np.concatenate([np.zeros(0, np.uint32), *whole]), np.array([len(x) for x in whole], np.int64)
         data = b" ".join(texts) + b" "
         joined = np.frombuffer(data, np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
         text_starts = np.cumsum(sizes + 1) - sizes - 1
         odd = _odd_space(joined, text_starts, text_starts + sizes)
+        if self._added and self._added.search(data):
+            odd |= np.array([bool(self._added.search(t)) for t in texts], bool)
         edges = np.flatnonzero(np.diff(joined != 0x20, prepend=False, append=False))
         starts, ends = edges[::2], edges[1::2]
         owner = np.searchsorted(text_starts, starts, "right") - 1
