@@ -155,13 +155,13 @@ from o group by conv_id
 """
 
 
-def _sql_spans(pattern: str, kind: str, check: str) -> str:
+def _sql_spans(pattern: str, kind: str, check: str, text: str = "t") -> str:
     """DuckDB text for the spans of a pattern: starts are summed lengths of what lies between and in earlier matches."""
     quoted = pattern.replace("'", "''")
     return f"""select doc_id, row_no, a as start, a + length(f) as stop, '{kind}' as kind, f from (
       select doc_id, row_no, unnest(m) as f, unnest(list_transform(range(1, len(m) + 1),
         lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) as a
-      from (select doc_id, row_no, regexp_extract_all(t, '{quoted}') as m, string_split_regex(t, '{quoted}') as g from d)) where {check}"""
+      from (select doc_id, row_no, regexp_extract_all({text}, '{quoted}') as m, string_split_regex({text}, '{quoted}') as g from d)) where {check}"""
 
 
 def _sql_entropy() -> str:
@@ -171,12 +171,18 @@ def _sql_entropy() -> str:
     return f"""select doc_id, row_no, start + list_min(o) - 1 as start, start + list_max(o) - 1 + {width} as stop, split_part(class, ':', 1) as kind, f from (
       select doc_id, row_no, start, class, f, list_filter(range(1, length(f) - {width} + 2), lambda i: list_sum(list_transform(
         list_transform(list_distinct(string_split(substr(f, i, {width}), '')), lambda c: len(list_filter(string_split(substr(f, i, {width}), ''), lambda e: e = c))), lambda n: ({parts})[n + 1])) <= cast(split_part(class, ':', 2) as int)) as o
-      from (select *, case {cases} end as class from r where regexp_matches(f, '[0-9]') and not regexp_matches(f, '{secrets.ALLOWED}'))) where len(o) > 0"""
+      from (select *, case {cases} end as class from r where not regexp_matches(f, '{secrets.ALLOWED}'))) where len(o) > 0"""
+
+
+def _sql_blanked(text: str) -> str:
+    for word in secrets.PLACEHOLDERS:
+        text = f"regexp_replace({text}, '(?i){word}', '{' ' * len(word)}', 'g')"
+    return text
 
 
 OP9_SQL = f"""
 with d as (select doc_id, row_number() over () as row_no, coalesce(text, '') as t from documents),
-r as ({_sql_spans(secrets.CANDIDATE, "run", "true")}),
+r as ({_sql_spans(secrets.CANDIDATE, "run", "true", _sql_blanked("t"))}),
 s as ({_sql_spans(secrets.ASSIGN, "assign", f"length(regexp_extract(f, '{secrets.ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 8")}
   union all {_sql_spans(secrets.ACCESS, "access", "true")}
   union all {_sql_spans(secrets.HEX, "hex", "true")}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +20,10 @@ CLASSES = (
     ("b64run", r"^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7),
 )
 ENTROPY_WINDOW = 20
-# Candidates that are no secrets: UUIDs, numbers and dates, placeholders, runs of the alphabet.
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|^[0-9+/_=-]+$|(?i:example|placeholder|changeme|xxxx|0123456789|abcdefghij)"
-)
+# The allow-list. Candidates that are UUIDs, numbers and dates, or without any digit are no secrets; placeholders and runs of
+# the alphabet are none either, but what stands before and after them is looked at like any other text.
+ALLOWED = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|^[0-9+/_=-]+$|^[^0-9]+$"
+PLACEHOLDERS = ("example", "placeholder", "changeme", "xxxx", "0123456789", "abcdefghij")
 KINDS = ("assign", "access", "hex", *(c[0] for c in CLASSES))
 
 
@@ -37,20 +37,44 @@ def sum_limit(bits: float, window: int = ENTROPY_WINDOW) -> int:
     return math.floor(1000 * window * (math.log2(window) - bits))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of ``values`` (integers, none below 0) what those before it come to, 0 for the first.
+
+    Appending to an array copies it, so values are taken in blocks of the cube root of their number, 64 at least: first inside
+    each block, then over the blocks.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("done"))
+
+    def steps(items: Column, of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(items, start, lambda s, x: F.struct(combine(s["at"], of(x)).alias("at"), F.concat(s["done"], F.array(s["at"])).alias("done")))
+
+    def blocks(v: Column) -> Column:
+        size = F.greatest(F.lit(64), F.ceil(F.cbrt(F.size(v))).cast("int"))
+        return _let(size, lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / b).cast("int")), lambda k: F.slice(v, k * b + 1, b)))
+
+    def joined(parts: Column) -> Column:
+        before = steps(parts, lambda p: p["at"])["done"]
+        return _let(before, lambda b: F.flatten(F.transform(parts, lambda p, k: F.transform(p["done"], lambda x: combine(F.get(b, k), x)))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(F.transform(blocks(v), lambda block: steps(block, lambda x: x)), joined)).otherwise(F.array().cast("array<int>")))
+
+
 def _found(text: Column, pattern: str) -> Column:
-    """Matches as ``(start, text)``: starts are the lengths of all that stands between and in earlier matches."""
+    """Matches as ``(start, found)``: starts are the lengths of all that stands between and in earlier matches."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,found:string>>").alias("done"))
-    walked = F.aggregate(
-        F.arrays_zip(between.alias("gap"), matches.alias("found")), state,
-        lambda s, x: F.when(x["found"].isNull(), s).otherwise(F.struct(
-            (s["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("at"),
-            F.concat(s["done"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("start"), x["found"].alias("found")))).alias("done"),
-        )),
-        lambda s: s["done"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast("array<struct<start:int,found:string>>"))
+    pairs = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("found")), lambda x: x["found"].isNotNull())
+    pairs = F.transform(pairs, lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["found"].alias("found")))
+
+    def placed(p: Column) -> Column:
+        before = _running(F.transform(p, lambda x: x["gap"] + F.length(x["found"])), lambda a, b: a + b)
+        return F.zip_with(p, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), x["found"].alias("found")))
+
+    return F.when(text.rlike(pattern), _let(pairs, placed)).otherwise(F.array().cast("array<struct<start:int,found:string>>"))
 
 
 def _as_spans(found: Column, kind: str) -> Column:
@@ -80,24 +104,39 @@ def entropy_range(text: str, alphabet: str, bits: float, window: int = ENTROPY_W
     return f"element_at(transform(array({codes}), c -> aggregate(sequence(1, size(c) + 1), {start}, (s, i) -> {step}, s -> struct(s.first, s.last))), 1)"
 
 
-def found_secrets(docs: DataFrame) -> DataFrame:
-    """Spans of secrets in each text of ``docs``: all columns, and ``spans`` as ``(start, kind, end)`` by start, then kind.
+def _blanked(text: Column) -> Column:
+    """``text`` with spaces in place of placeholders, so that no candidate reaches over one."""
+    for word in PLACEHOLDERS:
+        text = F.regexp_replace(text, f"(?i){word}", " " * len(word))
+    return text
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``docs`` has not got."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
+def found_secrets(docs: DataFrame, spans: str = "spans") -> DataFrame:
+    """Spans of secrets in each text of ``docs``: all columns, and ``spans`` (in place of a column of that name) as ``(start, kind, end)`` by start, then kind.
 
     ``kind`` counts in ``KINDS``; positions are code points, the end is exclusive. Base kinds are the leftmost
-    non-overlapping matches of the fixed patterns. A candidate string that no pattern of the allow-list suppresses adds the range
+    non-overlapping matches of the fixed patterns. A candidate string that the allow-list does not suppress adds the range
     that windows of high entropy for its character class cover. Null and empty texts have no spans; each row is on its own.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     assign = F.filter(_found(text, ASSIGN), lambda x: F.length(F.regexp_extract(x.found, ASSIGN, 2)) >= 8)
-    candidates = F.filter(_found(text, CANDIDATE), lambda x: x.found.rlike("[0-9]") & ~x.found.rlike(ALLOWED))
-    found = docs.withColumn("__base", F.concat(_as_spans(assign, "assign"), _as_spans(_found(text, ACCESS), "access"), _as_spans(_found(text, HEX), "hex")))
-    found = found.withColumn("__candidates", candidates)
+    candidates = F.filter(_found(_blanked(text), CANDIDATE), lambda x: ~x.found.rlike(ALLOWED))
+    base, runs, ranges = (_free(docs, f"__{n}") for n in ("base", "candidates", "ranges"))
+    found = docs.withColumn(base, F.concat(_as_spans(assign, "assign"), _as_spans(_found(text, ACCESS), "access"), _as_spans(_found(text, HEX), "hex")))
+    found = found.withColumn(runs, candidates)
     case = " ".join(f"when x.found rlike '{p}' then named_struct('kind', {KINDS.index(k)}, 'range', {entropy_range('x.found', a, b)})" for k, p, a, b in CLASSES)
-    ranges = F.expr(f"filter(transform(__candidates, x -> named_struct('start', x.start, 'hit', case {case} end)), x -> x.hit.range.first is not null)")
-    found = found.withColumn("__ranges", F.when(F.size("__candidates") > 0, ranges))
-    added = F.transform(F.col("__ranges"), lambda x: F.struct((x.start + x.hit.range.first).alias("start"), x.hit.kind.alias("kind"), (x.start + x.hit.range.last).alias("end")))
-    spans = F.array_sort(F.concat("__base", F.coalesce(added, F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    return found.withColumn("spans", spans).drop("__base", "__candidates", "__ranges")
+    judged = F.expr(f"filter(transform(`{runs}`, x -> named_struct('start', x.start, 'hit', case {case} end)), x -> x.hit.range.first is not null)")
+    found = found.withColumn(ranges, F.when(F.size(runs) > 0, judged))
+    added = F.transform(F.col(ranges), lambda x: F.struct((x.start + x.hit.range.first).alias("start"), x.hit.kind.alias("kind"), (x.start + x.hit.range.last).alias("end")))
+    every = F.array_sort(F.concat(base, F.coalesce(added, F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    return found.withColumn(spans, every).drop(base, runs, ranges)
 
 
 def span_text(spans: Column) -> Column:
@@ -111,16 +150,17 @@ def base_spans(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each stretch of text that spans cover replaced by ``mark``; null texts stay null."""
-    found = found_secrets(docs)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept"))
-    text = F.col("text")
-    kept = F.aggregate(
-        "spans", state,
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= s["at"], F.concat(s["kept"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"])))).otherwise(s["kept"]).alias("kept"),
-        ),
-        lambda s: F.concat(F.array_join(s["kept"], mark), F.lit(mark), F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    return found.withColumn("text", F.when(F.size("spans") > 0, kept).otherwise(text)).drop("spans")
+    """``docs`` with each stretch of text that spans cover replaced by ``mark``; null and empty texts stay, other columns too, whatever their names."""
+    name = _free(docs, "__spans")
+    found = found_secrets(docs, name)
+
+    def kept(points: Column) -> Column:
+        """Pieces between spans, cut out of 4 bytes a character: there, unlike in UTF-8, a place is found without walking to it."""
+        piece = lambda a, b: F.decode(F.substring(points, a * 4 + 1, (b - a) * 4), "UTF-32")
+        ends = F.transform(name, lambda x: x["end"])
+        pieces = F.zip_with(name, _running(ends, F.greatest), lambda x, at: F.when(x["start"] >= at, piece(at, x["start"])))
+        last = piece(F.array_max(ends), F.length("text"))
+        return F.concat(F.array_join(F.filter(pieces, lambda p: p.isNotNull()), mark), F.lit(mark), last)
+
+    whole = _let(F.encode(F.col("text").cast("string"), "UTF-32"), kept)
+    return found.withColumn("text", F.when(F.size(name) > 0, whole).otherwise(F.col("text"))).drop(name)
