@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -17,6 +18,8 @@ from strandcheck.session import materialize
 from strandcheck.llm import chat, curves, decontaminate, jaccard, language, licences, packing, quality, records, secrets, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+from tokenizers import Tokenizer, models  # noqa: E402
+
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 #: Columns with names that operators use inside.
@@ -46,8 +49,35 @@ def some_docs(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
 
 
+_LIBRARY = {}
+
+
 def reference_ids(path, text):
-    return tokens.encoder(path)._tokenizer.encode(text or "", add_special_tokens=False).ids
+    if path not in _LIBRARY:
+        _LIBRARY[path] = Tokenizer.from_file(path)
+    return _LIBRARY[path].encode(text or "", add_special_tokens=False).ids
+
+
+def test_ids_of_texts_with_strings_of_special_tokens():
+    texts = ["hi <|endoftext|> there", "<|endoftext|>", "a<|startoftext|>b c", "<|ENDOFTEXT|> x", "plain text here", "x <|endof text|>"]
+    for path in (WORD, BYTE):
+        ids, counts = tokens.Encoder(path)([t.encode() for t in texts])
+        want = [reference_ids(path, t) for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == list(itertools.chain(*want))
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = True
+        ids, _ = tokens.Encoder(path, plain=True)([t.encode() for t in texts])
+        assert ids.tolist() == list(itertools.chain(*(library.encode(t, add_special_tokens=False).ids for t in texts)))
+
+
+def test_ids_by_a_tokenizer_of_another_kind(tmp_path):
+    """Tokens that reach over spaces: texts are not cut."""
+    library = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(["a", "b", " ", "a ", "a b"])}, merges=[("a", " "), ("a ", "b")]))
+    library.save(str(tmp_path / "other.json"))
+    texts = ["a b a b", "ab", "", "b a a b "]
+    ids, counts = tokens.Encoder(str(tmp_path / "other.json"))([t.encode() for t in texts])
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == list(itertools.chain(*want)) and 4 in ids
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
@@ -257,8 +287,9 @@ def test_secrets(spark, docs, nothing):
             want += [(m.start(), 0, m.end())] if len(m[2]) >= 8 else []
         for no, pattern in ((1, r"AKIA[A-Z0-9]+"), (2, "[0-9a-f]+")):
             want += [(m.start(), no, m.end()) for m in re.finditer(pattern, t) if len(m[0]) >= (16 if no == 1 else 32)]
-        for m in re.finditer(secrets.CANDIDATE, t):
-            if re.search("[0-9]", m[0]) and not re.search(secrets.ALLOWED, m[0]):
+        blanked = re.sub("|".join(secrets.PLACEHOLDERS), lambda m: " " * len(m[0]), t, flags=re.IGNORECASE)
+        for m in re.finditer(secrets.CANDIDATE, blanked):
+            if not re.search(secrets.ALLOWED, m[0]):
                 for no, (_, pattern, alphabet, bits) in enumerate(secrets.CLASSES, 3):
                     if re.search(pattern, m[0]):
                         hit = entropy_hits(m[0], alphabet, bits)
@@ -268,8 +299,27 @@ def test_secrets(spark, docs, nothing):
     assert any(s["kind"] == 4 for s in rows[2]["spans"]) and not rows[3]["spans"] and not rows[4]["spans"]
     clean = {r["doc_id"]: r["text"] for r in secrets.redacted(frame).collect()}
     assert blob not in clean[0] and clean[2] == "key [secret] x" and clean[7] is None and clean[4] == texts[4]
-    assert secrets.found_secrets(docs.drop("spans")).count() == docs.count()
+    assert secrets.found_secrets(docs).count() == docs.count()
     assert secrets.found_secrets(nothing).count() == 0
+    odd = docs.withColumns({c: F.lit("extra") for c in ("__base", "__candidates", "__ranges", "__spans")})
+    assert secrets.redacted(odd).columns == odd.columns
+    assert {r["spans"] for r in secrets.redacted(odd).collect()} == {r["__spans"] for r in secrets.redacted(odd).collect()} == {"extra"}
+
+
+def test_placeholders_do_not_hide_what_stands_beside_them(spark):
+    token = "Zx9Qw3RtLk2Pv8Ym5Nc7Hb4Jd6Gf1Ks0Wq3Xe9Ta"
+    texts = [f"docs/example/{token}", f"docs/sample/{token}", f"EXAMPLE_key={token}", f"{token}xxxx{token}", "docs/example/0123456789/abcdefghij"]
+    clean = [r["text"] for r in secrets.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    assert not any(token[3:-3] in t for t in clean[:4]) and clean[4] == texts[4]
+
+
+def test_many_secrets_in_one_text(spark):
+    """100,000 digests in a text of 3.3 million characters: work grows with their number, not its square."""
+    lines = [f"{(0x9E3779B97F4A7C15F39CC0605CEDC835 * (i + 1)) % 2**128:032x}" for i in range(100_000)]
+    text = "é\n".join(lines)
+    start = time.perf_counter()
+    (row,) = secrets.redacted(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert row["text"] == "é\n".join(["[secret]"] * len(lines)) and time.perf_counter() - start < 120
 
 
 def test_licences(spark, docs, nothing):
