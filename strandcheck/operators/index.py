@@ -87,7 +87,7 @@ def _violations(rows: DataFrame, bin_no: Column, item: Column, rules: dict[int,
 
 def _beyond(offset: str, label: Column) -> tuple[Column, Column]:
     block = A.offset_block(F.col(offset))
-    message = _text(label, " points beyond the BAM (", block, " >= ", F.col("bam_size"), ")")
+    message = _text(label, " lies past the last byte of the BAM (", block, " >= ", F.col("bam_size"), ")")
     return block >= F.col("bam_size"), message
 
 
@@ -99,7 +99,7 @@ def validation_errors(chunks: DataFrame, linear: DataFrame, meta: DataFrame, fil
     no window spans a whole file. Each table is read once for all its rules.
     """
     size = files.select("file", "bam_size")
-    ref = _text("BAI reference ", F.col("ref_id"))
+    ref = _text("index of reference ", F.col("ref_id"))
     none = F.lit(-1)
 
     counts = _violations(
@@ -109,7 +109,7 @@ def validation_errors(chunks: DataFrame, linear: DataFrame, meta: DataFrame, fil
         {
             1: (
                 F.col("n_ref") != F.col("bam_n_ref"),
-                _text("reference count mismatch (BAM has ", F.col("bam_n_ref"), ", BAI has ", F.col("n_ref"), ")"),
+                _text("numbers of references differ (BAM: ", F.col("bam_n_ref"), ", index: ", F.col("n_ref"), ")"),
             )
         },
     )
@@ -127,7 +127,7 @@ def validation_errors(chunks: DataFrame, linear: DataFrame, meta: DataFrame, fil
             2: _beyond("voffset", _text(ref, " linear interval ", F.col("interval"))),
             3: (
                 (F.col("voffset") != 0) & (F.col("voffset") < F.col("previous")),
-                _text(ref, " linear index is not monotonic"),
+                _text(ref, " has linear offsets that go back"),
             ),
         },
     )
@@ -143,9 +143,9 @@ def validation_errors(chunks: DataFrame, linear: DataFrame, meta: DataFrame, fil
         {
             4: _beyond("beg", _text(label, " chunk start")),
             5: _beyond("end", _text(label, " chunk end")),
-            6: (F.col("end") <= F.col("beg"), _text(label, " contains an empty or reversed chunk")),
-            7: ((F.col("previous") > 0) & (beg < F.col("previous")), _text(label, " chunks are not ordered")),
-            8: (end < beg, _text(label, " chunk crosses backwards in the BAM")),
+            6: (F.col("end") <= F.col("beg"), _text(label, " has a chunk that holds nothing")),
+            7: ((F.col("previous") > 0) & (beg < F.col("previous")), _text(label, " has chunks out of order")),
+            8: (end < beg, _text(label, " has a chunk that ends in an earlier block")),
         },
     )
     of_meta = _violations(
@@ -155,7 +155,7 @@ def validation_errors(chunks: DataFrame, linear: DataFrame, meta: DataFrame, fil
         {
             9: _beyond("ref_beg", _text(ref, " metadata start")),
             10: _beyond("ref_end", _text(ref, " metadata end")),
-            11: (F.col("ref_end") < F.col("ref_beg"), _text(ref, " metadata range is reversed")),
+            11: (F.col("ref_end") < F.col("ref_beg"), _text(ref, " has metadata that end before they begin")),
         },
     )
     return counts.unionByName(of_linear).unionByName(of_chunks).unionByName(of_meta)

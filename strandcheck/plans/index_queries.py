@@ -85,29 +85,29 @@ def virtual_offsets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _beyond(rule: int, source: str, offset: str, label: str, bin_no: str, item: str) -> str:
-    return f"""select x.file, ref_id, {bin_no} bin, {rule} rule, cast({item} as bigint) item, concat('BAI reference ', cast(ref_id as varchar), {label}, ' points beyond the BAM (', cast({offset} >> 16 as varchar), ' >= ', cast(bam_size as varchar), ')') message
+    return f"""select x.file, ref_id, {bin_no} bin, {rule} rule, cast({item} as bigint) item, concat('index of reference ', cast(ref_id as varchar), {label}, ' lies past the last byte of the BAM (', cast({offset} >> 16 as varchar), ' >= ', cast(bam_size as varchar), ')') message
  from {source} x join f on f.file = x.file where {offset} >> 16 >= bam_size"""
 
 
 def _chunk(rule: int, condition: str, what: str) -> str:
-    return f"select file, ref_id, bin, {rule}, chunk_index, concat('BAI reference ', cast(ref_id as varchar), ' bin ', cast(bin as varchar), '{what}') from cp where {condition}"
+    return f"select file, ref_id, bin, {rule}, chunk_index, concat('index of reference ', cast(ref_id as varchar), ' bin ', cast(bin as varchar), '{what}') from cp where {condition}"
 
 
 _BIN_LABEL = "concat(' bin ', cast(bin as varchar), ' chunk {}')"
 _ERRORS_SQL = f"""(with f as ({V.INDEX_FILES_SQL}), c as ({V.CHUNKS_SQL}), l as ({V.LINEAR_SQL}), m as ({V.META_SQL}),
 cp as (select *, lag(beg >> 16) over (partition by file, ref_id, bin order by chunk_index) prev from c),
 lp as (select *, last_value(nullif(voffset, 0) ignore nulls) over (partition by file, ref_id order by "interval" rows between unbounded preceding and 1 preceding) prev from l)
-select file, -1 ref_id, -1 bin, 1 rule, cast(0 as bigint) item, concat('reference count mismatch (BAM has ', cast(bam_n_ref as varchar), ', BAI has ', cast(n_ref as varchar), ')') message from f where n_ref <> bam_n_ref
+select file, -1 ref_id, -1 bin, 1 rule, cast(0 as bigint) item, concat('numbers of references differ (BAM: ', cast(bam_n_ref as varchar), ', index: ', cast(n_ref as varchar), ')') message from f where n_ref <> bam_n_ref
 union all {_beyond(2, 'l', 'voffset', "concat(' linear interval ', cast(" + '"interval"' + " as varchar))", '-1', '"interval"')}
-union all select file, ref_id, -1, 3, "interval", concat('BAI reference ', cast(ref_id as varchar), ' linear index is not monotonic') from lp where voffset <> 0 and voffset < prev
+union all select file, ref_id, -1, 3, "interval", concat('index of reference ', cast(ref_id as varchar), ' has linear offsets that go back') from lp where voffset <> 0 and voffset < prev
 union all {_beyond(4, 'c', 'beg', _BIN_LABEL.format('start'), 'bin', 'chunk_index')}
 union all {_beyond(5, 'c', '"end"', _BIN_LABEL.format('end'), 'bin', 'chunk_index')}
-union all {_chunk(6, '"end" <= beg', ' contains an empty or reversed chunk')}
-union all {_chunk(7, 'prev > 0 and beg >> 16 < prev', ' chunks are not ordered')}
-union all {_chunk(8, '"end" >> 16 < beg >> 16', ' chunk crosses backwards in the BAM')}
+union all {_chunk(6, '"end" <= beg', ' has a chunk that holds nothing')}
+union all {_chunk(7, 'prev > 0 and beg >> 16 < prev', ' has chunks out of order')}
+union all {_chunk(8, '"end" >> 16 < beg >> 16', ' has a chunk that ends in an earlier block')}
 union all {_beyond(9, 'm', 'ref_beg', "' metadata start'", '37450', '0')}
 union all {_beyond(10, 'm', 'ref_end', "' metadata end'", '37450', '0')}
-union all select file, ref_id, 37450, 11, 0, concat('BAI reference ', cast(ref_id as varchar), ' metadata range is reversed') from m where ref_end < ref_beg)"""
+union all select file, ref_id, 37450, 11, 0, concat('index of reference ', cast(ref_id as varchar), ' has metadata that end before they begin') from m where ref_end < ref_beg)"""
 
 
 def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

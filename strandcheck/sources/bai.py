@@ -36,18 +36,18 @@ class _Bytes:
 
     def need(self, n: int, what: str) -> None:
         if self.at + n > len(self.data):
-            raise BaiError(f"Truncated BAI while reading {what}")
+            raise BaiError(f"the index ends where {what} should be")
 
     def count(self, most: int, what: str) -> int:
-        self.need(4, "uint32")
+        self.need(4, "a number of 4 bytes")
         (value,) = struct.unpack_from("<I", self.data, self.at)
         self.at += 4
         if value > most:
-            raise BaiError(f"Invalid BAI {what}: {value}")
+            raise BaiError(f"{what} is {value}, more than {most}")
         return value
 
     def longs(self, n: int) -> np.ndarray:
-        self.need(8 * n, "uint64")
+        self.need(8 * n, f"{n} offsets")
         out = np.frombuffer(self.data, "<u8", n, self.at).astype(np.int64)
         self.at += 8 * n
         return out
@@ -56,42 +56,42 @@ class _Bytes:
 def parse(data: bytes) -> Iterator[dict]:
     """Rows of one index: chunks, linear offsets, counts, then the file row."""
     if len(data) < 8:
-        raise BaiError("BAI is too small")
+        raise BaiError(f"{len(data)} bytes are no index")
     if data[:4] != b"BAI\x01":
-        raise BaiError("Not a BAI file (missing BAI\\1 magic)")
+        raise BaiError("the first bytes are not the signature of an index")
     source = _Bytes(data)
     source.at = 4
-    references = source.count(MAX_REFERENCES, "reference count")
+    references = source.count(MAX_REFERENCES, "number of references")
     with_counts = 0
     for ref in range(references):
-        for _ in range(source.count(MAX_BINS, "bin count")):
+        for _ in range(source.count(MAX_BINS, "number of bins")):
             number = source.count(2**32 - 1, "bin number")
-            chunks = source.count(2**32 - 1, "chunk count")
+            chunks = source.count(2**32 - 1, "number of chunks")
             if number > K.META_BIN:
-                raise BaiError(f"Invalid BAI bin number {number}")
+                raise BaiError(f"bin {number} of reference {ref} is none of the format")
             if chunks > MAX_CHUNKS:
-                raise BaiError(f"Invalid BAI chunk count: {chunks}")
+                raise BaiError(f"bin {number} of reference {ref} claims {chunks} chunks")
             pairs = source.longs(2 * chunks).reshape(-1, 2)
             if number == K.META_BIN:
                 if chunks != 2:
                     raise BaiError(
-                        f"BAI metadata pseudo-bin must contain exactly two chunks (reference {ref})"
+                        f"the bin with counts of reference {ref} has {chunks} parts, not 2"
                     )
                 with_counts += 1
                 (a, b), (c, d) = pairs.tolist()
                 yield {"kind": "meta", "ref_id": ref, "a": a, "b": b, "c": c, "d": d}
                 continue
             if (pairs[:, 1] < pairs[:, 0]).any():
-                raise BaiError(f"BAI chunk end precedes start in reference {ref}, bin {number}")
+                raise BaiError(f"a chunk of bin {number} of reference {ref} ends before it begins")
             for i, (beg, end) in enumerate(pairs.tolist()):
                 yield {"kind": "chunk", "ref_id": ref, "bin": number, "item": i, "a": beg, "b": end}
-        offsets = source.longs(source.count(MAX_INTERVALS, "linear-index interval count"))
+        offsets = source.longs(source.count(MAX_INTERVALS, "number of linear offsets"))
         for i, offset in enumerate(offsets.tolist()):
             yield {"kind": "linear", "ref_id": ref, "item": i, "a": offset}
     left = len(data) - source.at
     if left not in (0, 8):
         raise BaiError(
-            f"Malformed BAI trailing data: expected optional 8-byte no-coordinate count, found {left} bytes"
+            f"{left} bytes are left over, where nothing or the count of unplaced records (8) may stand"
         )
     trailer = int(source.longs(1)[0]) if left else None
     yield {"kind": "file", "item": references, "a": trailer, "b": with_counts}

@@ -91,8 +91,8 @@ def test_bams_with_problems_keep_a_status(spark, tmp_path, rows):
     got = {r["file"].split("/")[-1]: r for r in rows(preflight.analyze_bams(list_files(spark, str(tmp_path))).status)}
     assert got["noindex.bam"]["sampling"] == "unavailable" and got["noindex.bam"]["structural"] == "pass"
     assert got["noeof.bam"]["structural"] == "review" and got["noeof.bam"]["sampling"] == "pass"
-    assert "beyond the BAM" in got["beyond.bam"]["error"] and got["beyond.bam"]["sampling"] == "failed"
-    assert "missing BAI" in got["junk.bam"]["error"]
+    assert "past the last byte of the BAM" in got["beyond.bam"]["error"] and got["beyond.bam"]["sampling"] == "failed"
+    assert "signature of an index" in got["junk.bam"]["error"]
     assert "Not a BGZF" in got["broken.bam"]["error"]
 
 
@@ -430,12 +430,12 @@ def test_metadata_bins_and_trailer(spark, tmp_path):
 @pytest.mark.parametrize(
     "data, text",
     [
-        (bai([{}], junk=b"\x01"), "trailing data"),
-        (b"BAI", "too small"),
-        (bai([{"bins": [(40000, [])]}]), "bin number"),
-        (bai([{"bins": [(0, [(at(5), at(4))])]}]), "precedes start"),
-        (bai([{"bins": [(37450, [(1, 2)])]}]), "exactly two chunks"),
-        (bai([{"linear": [1, 2]}])[:-4], "Truncated"),
+        (bai([{}], junk=b"\x01"), "1 bytes are left over"),
+        (b"BAI", "3 bytes are no index"),
+        (bai([{"bins": [(40000, [])]}]), "bin 40000 of reference 0"),
+        (bai([{"bins": [(0, [(at(5), at(4))])]}]), "ends before it begins"),
+        (bai([{"bins": [(37450, [(1, 2)])]}]), "has 1 parts, not 2"),
+        (bai([{"linear": [1, 2]}])[:-4], "the index ends where 2 offsets should be"),
     ],
 )
 def test_index_problems(spark, tmp_path, data, text):

@@ -153,7 +153,7 @@ def test_each_rule_is_reported(spark):
     assert {r.rule for r in errors.collect()} == {1, 2, 3, 4, 6, 7, 8, 11}
     status = index_ops.index_status(files, errors).first()
     assert status.status == "failed" and status.error.count(";") == 4
-    assert status.error.startswith("BAI validation failed: reference count mismatch (BAM has 3, BAI has 1)")
+    assert status.error.startswith("BAI validation failed: numbers of references differ (BAM: 3, index: 1)")
 
 
 # Interpretation
