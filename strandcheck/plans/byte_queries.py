@@ -12,7 +12,7 @@ from ..operators import index as index_ops
 from ..operators import reads as read_ops
 from ..operators.histograms import numbered
 from ..session import materialize
-from ..sources import bai, bam, fai, fastq
+from ..sources import bai, bam, fai, fastq, formats
 from ..streaming import progressive
 from . import derived_files as D
 from . import preflight, report
@@ -115,6 +115,34 @@ def bam_unplaced_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "bam_format",
+    f"""select ref_id, count(*) records, cast(sum(p) as bigint) pos_sum, cast(sum(flag) as bigint) flag_sum, count(cb) with_barcode from {_BAM_SQL} a where ref_id in (3, 7, 24) group by ref_id""",
+)
+def bam_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of three references through ``spark.read.format("bam")``, cut into spans of 64 KiB; one tag is decoded."""
+    files = bam_files(spark, folder)
+    formats.register(spark)
+    (place,) = files.select(F.min(F.regexp_extract("path", "^(.*)/", 1))).first()
+    rows = spark.read.format("bam").schema("ref_id int, pos int, flag int, cb string").option("span", 64 << 10).load(place)
+    return rows.filter(F.col("ref_id").isin(3, 7, 24)).groupBy("ref_id").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("pos").cast("bigint").alias("pos_sum"), F.sum("flag").cast("bigint").alias("flag_sum"), F.count("cb").alias("with_barcode")
+    )
+
+
+@query(
+    "fastq_format",
+    f"""select split_part(header, ':', 3) lang, count(*) reads, cast(sum(length(seq)) as bigint) bases from ({V.READS_SQL}) x group by 1""",
+)
+def fastq_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Reads through ``spark.read.format("fastq")``, from files of BGZF blocks in spans of 64 KiB."""
+    files = D.write_bgzip(V.reads(spark, folder).withColumn("plus", F.lit("+")))
+    formats.register(spark)
+    (place,) = files.select(F.min(F.regexp_extract("path", "^(.*)/", 1))).first()
+    rows = spark.read.format("fastq").schema("header string, seq string").option("span", 64 << 10).load(place)
+    return rows.groupBy(F.element_at(F.split("header", ":"), 3).alias("lang")).agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).cast("bigint").alias("bases"))
+
+
 @query(
     "bam_header_scan",
     f"""select cast(n_nationkey as int) ref_id, case when n_nationkey = 24 then 'chrM' else concat('chr', cast(n_nationkey + 1 as varchar)) end as name, cast(536870912 as bigint) length, true as in_all_files, true as all_have_eof from nation""",

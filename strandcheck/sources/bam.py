@@ -322,6 +322,54 @@ def _missing(data: bytes, at: int, largest: int) -> int:
     return max(0, 4 + length - have)
 
 
+def records_of_range(
+    row: dict, batch: int, tags: tuple[str, ...], largest: int, references: Sequence[int] | None = None
+) -> Iterator[list[dict] | dict]:
+    """Records of one range (path, file, point_no, voffset, end), see :func:`read_ranges`; of ``references`` only, if given."""
+    base = {"file": row["file"], "point_no": row["point_no"], "region": None}
+    data, at, stop, done, wanted = b"", row["voffset"] & 0xFFFF, None, 0, batch
+    parts: list[bytes] = []
+    held = 0
+
+    def parse() -> dict:
+        """Records of the joined bytes; keeps what lies after them."""
+        nonlocal data, at, stop, done, parts, held
+        data, parts, held = data + b"".join(parts), [], 0
+        table, after = record_table(data, at, len(data) if stop is None else stop, 1 << 62, largest, 1 << 31)
+        wanted_rows = slice(None) if references is None else np.isin(table["ref_id"], references)
+        found = _columns(data, {k: v[wanted_rows] for k, v in table.items()}, base, done, tags)
+        done += len(table["begin"])
+        stop = None if stop is None else stop - after
+        data, at = data[after:], max(0, at - len(data)) if after > len(data) else 0
+        return found
+
+    try:
+        with open_range(row["path"]) as source:
+            for block in bgzf.blocks(source, row["voffset"] >> 16, source.size()):
+                if row["end"] is not None and stop is None and block.offset >= row["end"] >> 16:
+                    inside = row["end"] & 0xFFFF if block.offset == row["end"] >> 16 else 0
+                    stop, wanted = len(data) + held + inside, 1
+                parts.append(block.data)
+                held += len(block.data)
+                if held < wanted:
+                    continue
+                yield parse()
+                if stop is not None and stop <= 0:
+                    return
+                missing = _missing(data, 0, largest)
+                if not missing:
+                    break
+                wanted = max(missing, batch if stop is None else 1)
+            else:
+                yield parse()
+        if data and (stop is None or stop > 0):
+            yield [base | {"error": f"range ends at a damaged or cut record, after {done} whole ones"}]
+    except (bgzf.BgzfError, OSError) as problem:
+        if parts:
+            yield parse()
+        yield [base | {"error": str(problem)}]
+
+
 def read_ranges(
     ranges: DataFrame, batch: int = 4 << 20, tags: tuple[str, ...] = K.WANTED_TAGS, largest: int = LARGEST_RECORD
 ) -> DataFrame:
@@ -334,47 +382,7 @@ def read_ranges(
     """
 
     def work(row: dict) -> Iterator[list[dict] | dict]:
-        base = {"file": row["file"], "point_no": row["point_no"], "region": None}
-        data, at, stop, done, wanted = b"", row["voffset"] & 0xFFFF, None, 0, batch
-        parts: list[bytes] = []
-        held = 0
-
-        def parse() -> dict:
-            """Records of the joined bytes; keeps what lies after them."""
-            nonlocal data, at, stop, done, parts, held
-            data, parts, held = data + b"".join(parts), [], 0
-            table, after = record_table(data, at, len(data) if stop is None else stop, 1 << 62, largest, 1 << 31)
-            found = _columns(data, table, base, done, tags)
-            done += len(table["begin"])
-            stop = None if stop is None else stop - after
-            data, at = data[after:], max(0, at - len(data)) if after > len(data) else 0
-            return found
-
-        try:
-            with open_range(row["path"]) as source:
-                for block in bgzf.blocks(source, row["voffset"] >> 16, source.size()):
-                    if row["end"] is not None and stop is None and block.offset >= row["end"] >> 16:
-                        inside = row["end"] & 0xFFFF if block.offset == row["end"] >> 16 else 0
-                        stop, wanted = len(data) + held + inside, 1
-                    parts.append(block.data)
-                    held += len(block.data)
-                    if held < wanted:
-                        continue
-                    yield parse()
-                    if stop is not None and stop <= 0:
-                        return
-                    missing = _missing(data, 0, largest)
-                    if not missing:
-                        break
-                    wanted = max(missing, batch if stop is None else 1)
-                else:
-                    yield parse()
-            if data and (stop is None or stop > 0):
-                yield [base | {"error": f"range ends at a damaged or cut record, after {done} whole ones"}]
-        except (bgzf.BgzfError, OSError) as problem:
-            if parts:
-                yield parse()
-            yield [base | {"error": str(problem)}]
+        return records_of_range(row, batch, tags, largest)
 
     pieces = ranges.select("path", "file", "point_no", "voffset", "end")
     return per_row(spread(pieces, RANGES_PER_TASK), work, RECORD_SCHEMA)

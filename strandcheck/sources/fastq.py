@@ -302,6 +302,22 @@ def _is_valid(four: list[str]) -> bool:
     return header.startswith("@") and plus.startswith("+") and 0 < len(seq) == len(qual)
 
 
+def records_of(row: dict, source) -> Iterator[list[list[str]]]:
+    """Records of one range, see :func:`splits`, as lists of lines."""
+    if row["bgzip"]:
+        return _records_of_blocks(source, row["start"], row["end"], source.size())
+    if row["gzip"]:
+        return _records_of_gzip(source)
+    return _records_of_range(source, row["start"], row["end"], source.size())
+
+
+def columns_of(group: list[list[str]]) -> dict[str, list]:
+    """Records as columns; what a cut record lacks is NULL, and ``tail`` tells of it."""
+    full = [lines + [None] * (4 - len(lines)) for lines in group]
+    header, seq, plus, qual = (list(column) for column in zip(*full, strict=True))
+    return {"header": header, "seq": seq, "plus": plus, "qual": qual, "tail": [len(lines) < 4 for lines in group]}
+
+
 def read_records(ranges: DataFrame, target: int | None = None) -> DataFrame:
     """Raw records of ranges, numbered per range.
 
@@ -310,19 +326,12 @@ def read_records(ranges: DataFrame, target: int | None = None) -> DataFrame:
     read on a row with ``error`` and no record, see :func:`decoded`, :func:`failures`.
     """
 
-    def records(row: dict, source) -> Iterator[list[list[str]]]:
-        if row["bgzip"]:
-            return _records_of_blocks(source, row["start"], row["end"], source.size())
-        if row["gzip"]:
-            return _records_of_gzip(source)
-        return _records_of_range(source, row["start"], row["end"], source.size())
-
     def work(row: dict) -> Iterator[list[dict] | dict]:
         number = valid = 0
         base = {"file": row["file"], "window": row["window"]}
         try:
             with open_range(row["path"]) as source:
-                for group in records(row, source):
+                for group in records_of(row, source):
                     if row["limit"] is not None:
                         taken = 0
                         for lines in group:
@@ -332,12 +341,7 @@ def read_records(ranges: DataFrame, target: int | None = None) -> DataFrame:
                             taken += 1
                         group = group[:taken]
                     if group:
-                        full = [lines + [None] * (4 - len(lines)) for lines in group]
-                        header, seq, plus, qual = (list(column) for column in zip(*full, strict=True))
-                        yield base | {
-                            "rec_no": list(range(number, number + len(group))), "header": header, "seq": seq,
-                            "plus": plus, "qual": qual, "tail": [len(lines) < 4 for lines in group],
-                        }
+                        yield base | {"rec_no": list(range(number, number + len(group)))} | columns_of(group)
                         number += len(group)
                     if row["limit"] is not None and valid >= row["limit"]:
                         return

@@ -69,6 +69,14 @@ def _column(value: Any, kind: pa.DataType, n: int) -> pa.Array:
     return pa.nulls(n, kind) if value is None else pa.repeat(pa.scalar(value, kind), n)
 
 
+def as_batch(rows: Rows, arrow: pa.Schema) -> pa.RecordBatch | None:
+    """Rows or columns as a batch of the columns of ``arrow``; None if there are none."""
+    if isinstance(rows, dict):
+        n = max(len(v) for v in rows.values() if isinstance(v, list | np.ndarray | pa.Array))
+        return pa.RecordBatch.from_arrays([_column(rows.get(f.name), f.type, n) for f in arrow], schema=arrow) if n else None
+    return pa.RecordBatch.from_pylist(rows, schema=arrow) if rows else None
+
+
 def per_row(df: DataFrame, work: Callable[[dict[str, Any]], Iterator[Rows]], schema: str) -> DataFrame:
     """Runs ``work`` for each input row inside the tasks.
 
@@ -83,13 +91,8 @@ def per_row(df: DataFrame, work: Callable[[dict[str, Any]], Iterator[Rows]], sch
         for batch in batches:
             for row in batch.to_pylist():
                 for rows in work(row):
-                    if isinstance(rows, dict):
-                        n = max(len(v) for v in rows.values() if isinstance(v, list | np.ndarray | pa.Array))
-                        if n:
-                            columns = [_column(rows.get(f.name), f.type, n) for f in arrow]
-                            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-                    elif rows:
-                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    if (found := as_batch(rows, arrow)) is not None:
+                        yield found
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
