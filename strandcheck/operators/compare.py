@@ -28,6 +28,48 @@ def outside_tolerance(
     )
 
 
+# What a run is held against, by kind: absolute and relative tolerance, which side counts, and whether a missing value fails.
+GOLDEN_RULES = (
+    ("r1_length", 0.0, 0.0, "both", True),
+    ("r2_length", 0.0, 0.0, "both", True),
+    ("file_length", 0.0, 0.0, "both", False),
+    ("mapped", 1.0, 0.01, "both", False),
+    ("cells", 0.0, 0.25, "both", False),
+    ("region_coverage", 0.05, 0.0, "least", False),
+)
+RULE_SCHEMA = "kind string, absolute double, relative double, direction string, required boolean"
+
+
+def judged(observed: DataFrame, expected: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every expectation (``kind, key, value``) that a rule is for, with what was observed of it and a verdict.
+
+    The tolerance is the larger of the rule's absolute one and its relative one times the expectation. ``direction`` tells whether the
+    observed value may leave it on neither side (``both``), or must not fall below (``least``) or rise above it (``most``).
+    ``verdict`` is ``within`` or ``outside``; where nothing was observed ``missing``, or ``skipped`` unless the rule requires it. Values without
+    expectation are not looked at; expectations of an unknown kind are ``no rule``.
+    """
+    found = observed.select("kind", "key", F.col("value").cast("double").alias("observed"))
+    asked = expected.select("kind", "key", F.col("value").cast("double").alias("expected"))
+    rows = asked.join(found, ["kind", "key"], "left").join(rules, "kind", "left")
+    tolerance = F.greatest(F.col("absolute"), F.abs("expected") * F.col("relative"))
+    below = (F.col("direction") != "most") & (F.col("observed") < F.col("expected") - tolerance)
+    above = (F.col("direction") != "least") & (F.col("observed") > F.col("expected") + tolerance)
+    verdict = (
+        F.when(F.col("direction").isNull(), "no rule")
+        .when(F.col("observed").isNull(), F.when(F.col("required"), "missing").otherwise("skipped"))
+        .when(below | above, "outside")
+        .otherwise("within")
+    )
+    return rows.select("kind", "key", "observed", "expected", tolerance.alias("tolerance"), verdict.alias("verdict"))
+
+
+def represented_share(records: DataFrame, strata: DataFrame, by: str = "file", stratum: str = "region") -> DataFrame:
+    """Share of the chosen ``strata`` (``by``, ``stratum``) that have given records, as ``key`` and ``value`` of kind ``region_coverage``."""
+    seen = records.select(by, stratum).distinct().withColumn("__seen", F.lit(1))
+    shares = strata.select(by, stratum).distinct().join(seen, [by, stratum], "left").groupBy(by)
+    return shares.agg((F.count("__seen") / F.count(F.lit(1))).alias("value")).select(F.lit("region_coverage").alias("kind"), F.col(by).alias("key"), "value")
+
+
 def region_coverage(represented: Column, strata: Column, missing: float = 0.05) -> Column:
     """Whether enough of the chosen seek points produced records."""
     return F.try_divide(represented.cast("double"), strata.cast("double")) >= 1 - missing

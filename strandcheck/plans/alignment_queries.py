@@ -521,6 +521,56 @@ def golden_compare(spark: SparkSession, folder: str) -> DataFrame:
     return compare.outside_tolerance(observed, expected, "contig", absolute=1.0, relative=0.03)
 
 
+_RULES_SQL = ", ".join(f"('{k}', {a}, {r}, '{d}', {str(q).lower()})" for k, a, r, d, q in compare.GOLDEN_RULES)
+
+
+@query(
+    "golden_rules",
+    f"""with a as (select * from ({ALN}) x), rules(kind, absolute, relative, direction, required) as (values {_RULES_SQL}),
+o as (select 'mapped' kind, ref_name as "key", cast(count(*) filter (where (flag & 4) = 0) as double) v from a group by 2
+ union all select 'cells', file, count(distinct cb) from a group by 2 union all select 'r2_length', 'run', max(l_seq) from a
+ union all select 'file_length', file, quantile_disc(l_seq, 0.5) from a where file <> 'sample_3' group by 2
+ union all select 'region_coverage', s.file, count(g.ref_id) / count(*) from (select file, ref_id from (select distinct file from a) f, (select distinct ref_id from a) r) s
+  left join (select file, ref_id from a where mapq > 49 and spliced group by all having count(*) >= 3) g on g.file = s.file and g.ref_id = s.ref_id group by 2),
+e as (select 'mapped' kind, ref_name as "key", cast(count(*) as double) v from a group by 2
+ union all select 'cells', file, count(*) / 2 from a group by 2 union all select 'r1_length', 'run', 28 union all select 'r2_length', 'run', 100
+ union all select 'file_length', file, round(avg(l_seq)) from a group by 2 union all select 'region_coverage', file, 1 from a group by 2 union all select 'reads', 'run', count(*) from a),
+j as (select e.kind, e."key", o.v observed, e.v expected, greatest(absolute, abs(e.v) * relative) tolerance, direction, required from e left join o on o.kind = e.kind and o."key" = e."key" left join rules r on r.kind = e.kind)
+select kind, "key", round(observed, 8) observed, round(expected, 8) expected, round(tolerance, 8) tolerance, case when direction is null then 'no rule' when observed is null then case when required then 'missing' else 'skipped' end
+ when direction <> 'most' and observed < expected - tolerance or direction <> 'least' and observed > expected + tolerance then 'outside' else 'within' end verdict from j""",
+)
+def golden_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """What the alignments give by six kinds of rules against what is expected of them, missing values included."""
+    aln = V.alignments(spark, folder)
+
+    def values(rows: DataFrame, kind: str, key: str | None, value) -> DataFrame:
+        keyed = rows.groupBy(key) if key else rows.groupBy()
+        name = F.col(key) if key else F.lit("run")
+        return keyed.agg(value.cast("double").alias("value")).select(F.lit(kind).alias("kind"), name.alias("key"), "value")
+
+    every, one = F.count(F.lit(1)), spark.range(1)
+    refs = aln.agg(F.collect_set("ref_id").alias("refs")).scalar()
+    strata = aln.select("file").distinct().select("file", F.explode(refs).alias("ref_id"))
+    rich = aln.filter("mapq > 49 and spliced").groupBy("file", "ref_id").count().filter("count >= 3")
+    observed = (
+        values(aln, "mapped", "ref_name", F.count_if(F.col("flag").bitwiseAND(4) == 0))
+        .unionByName(values(aln, "cells", "file", F.count_distinct("cb")))
+        .unionByName(values(aln, "r2_length", None, F.max("l_seq")))
+        .unionByName(values(aln.filter("file <> 'sample_3'"), "file_length", "file", histograms.lower_median("l_seq")))
+        .unionByName(compare.represented_share(rich, strata, stratum="ref_id"))
+    )
+    expected = (
+        values(aln, "mapped", "ref_name", every)
+        .unionByName(values(aln, "cells", "file", every / 2))
+        .unionByName(values(one, "r1_length", None, F.lit(28)))
+        .unionByName(values(one, "r2_length", None, F.lit(100)))
+        .unionByName(values(aln, "file_length", "file", F.round(F.avg("l_seq"))))
+        .unionByName(values(aln, "region_coverage", "file", F.lit(1)))
+        .unionByName(values(aln, "reads", None, every))
+    )
+    return _round(compare.judged(observed, expected, spark.createDataFrame(compare.GOLDEN_RULES, compare.RULE_SCHEMA)), "observed", "expected", "tolerance")
+
+
 @query(
     "multi_sample_comparison",
     f"""with a as ({ALN}), t as (select file, count(*) filter (where (flag & 4) = 0) m, count(*) n, count(*) filter (where (flag & 1024) <> 0) d from a group by file), kn as ({_KNEES_BY_FILE})

@@ -300,3 +300,15 @@ def test_progressive_reads_points_by_need(spark):
 
 def names():
     return [c.split()[0] for c in progressive.SNAPSHOT_SCHEMA.split(", ")]
+
+
+def test_rules_of_every_direction(spark):
+    rules = spark.createDataFrame([("a", 2.0, 0.0, "both", True), ("b", 0.0, 0.1, "least", False), ("c", 0.0, 0.1, "most", False)], compare.RULE_SCHEMA)
+    expected = [("a", "x", 10), ("a", "y", 10), ("a", "gone", 10), ("b", "x", 100), ("b", "y", 100), ("b", "z", 100), ("b", "gone", 1), ("c", "x", 100), ("c", "y", 100), ("d", "x", 1)]
+    observed = [("a", "x", 12), ("a", "y", 13), ("b", "x", 90), ("b", "y", 89), ("b", "z", 500), ("c", "x", 110), ("c", "y", 111), ("d", "x", 1), ("a", "extra", 5)]
+    schema = "kind string, key string, value bigint"
+    got = compare.judged(spark.createDataFrame(observed, schema), spark.createDataFrame(expected, schema), rules)
+    assert {(r.kind, r.key): r.verdict for r in got.collect()} == {
+        ("a", "x"): "within", ("a", "y"): "outside", ("a", "gone"): "missing", ("b", "x"): "within", ("b", "y"): "outside", ("b", "z"): "within",
+        ("b", "gone"): "skipped", ("c", "x"): "within", ("c", "y"): "outside", ("d", "x"): "no rule",
+    }
