@@ -13,6 +13,7 @@ from ..operators import reads as read_ops
 from ..operators.histograms import numbered
 from ..session import materialize
 from ..sources import bai, bam, fai, fastq, formats
+from ..sources.storage import list_files
 from ..streaming import progressive
 from . import derived_files as D
 from . import preflight, report
@@ -415,6 +416,36 @@ def barcodes_from_bam(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+@query(
+    "analyze_files",
+    f"""select 'BAM' kind, 'pass' status, cast(2 as bigint) files, count(*) filter (where (flag & 4) = 0) amount from {_BAM_SQL} a
+union all select 'BAI', 'used', 2, null union all select 'FASTQ', 'pass', 2, count(*) filter (where ok) from {_FASTQ_RAW} r
+union all select 'FAI', 'pass', count(distinct doc_id % 2), count(*) from documents""",
+)
+def analyze_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One analysis of a mixed selection: two BAMs with indexes, two FASTQ files and two FASTA indexes."""
+    records = V.alignments(spark, folder, genes=True).select(
+        "ref_id", (F.col("pos") % 536870000).cast("int").alias("pos"), "read_name", "mapq", "flag", "l_seq", "spliced", "cb", "ub", "gx", "gn", "re", "nh"
+    )
+    bams = D.write_bams(records, HEADER_TEXT, D.nation_references(), parts=2)
+    reads = D.write_bgzip(V.raw_reads(spark, folder).repartition(2, "read_id"))
+    docs = V.table(spark, folder, "documents")
+    lines = docs.select(
+        F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("length"), F.lit(0).alias("offset"), F.lit(60).alias("line_bases"), F.lit(61).alias("line_bytes"), (F.col("doc_id") % 2).alias("half")
+    )
+    written = list_files(spark, D.write_fai(lines.repartition("half"), ["half"])).filter(F.col("name").endswith(".txt"))
+    indexes = written.withColumn("name", F.concat("name", F.lit(".fai")))
+    columns = ["path", "name", "size", "position"]
+    result = preflight.analyze_files(bams.select(columns).unionByName(reads.select(columns)).unionByName(indexes.select(columns)))
+    amounts = (
+        result.bams.totals.select("file", F.col("mapped").alias("amount"))
+        .unionByName(result.fastqs.summary.select("file", F.col("reads").alias("amount")))
+        .unionByName(result.contig_summary.select("file", F.col("contigs").alias("amount")))
+    )
+    rows = result.status.join(amounts, "file", "left")
+    return rows.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("files"), F.sum("amount").cast("bigint").alias("amount"))
+
+
 @query("bam_preflight")
 def bam_preflight(spark: SparkSession, folder: str) -> DataFrame:
     """Every metric of the complete BAM analysis, summed over its files."""

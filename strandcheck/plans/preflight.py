@@ -18,7 +18,7 @@ from ..operators import barcodes, contigs, convergence, datasets, headers, infer
 from ..operators import index as index_ops
 from ..operators import reads as read_ops
 from ..session import materialize
-from ..sources import bai, bam, fastq
+from ..sources import bai, bam, fai, fastq
 
 NO_INDEX = "No index goes with this BAM, so it was neither counted exactly nor sampled across its references."
 NO_COUNTS = "The index has no count bins; mapped and unmapped records per reference are unknown."
@@ -268,6 +268,56 @@ def consistency(files: DataFrame, bams: BamResult, fastqs: FastqResult) -> DataF
     return inference.consistency(bam_side, fastq_side)
 
 
+@dataclass
+class SelectionResult:
+    """Everything about a mixed selection. ``status`` has one row per file: ``file, kind, dataset, status, error, warnings``."""
+
+    bams: BamResult
+    fastqs: FastqResult
+    contigs: DataFrame
+    contig_summary: DataFrame
+    datasets: DataFrame
+    consistency: DataFrame
+    status: DataFrame
+
+
+def analyze_files(files: DataFrame, mode: str = "quick") -> SelectionResult:
+    """All files of a selection (path, name, size, position), each by its kind; a file that cannot be read costs only itself.
+
+    ``status`` is ``pass`` or ``failed`` for what was read, ``used`` or ``unassigned`` for an index of a BAM, and ``not analysed`` for any other file.
+    """
+    files = materialize(files.select("path", "name", "size", "position"), "selection")
+    spark = files.sparkSession
+    bams, fastqs = analyze_bams(files, mode), analyze_fastqs(files, mode)
+    labelled = datasets.labelled_files(files).select(F.col("path").alias("file"), F.col("type").alias("kind"), F.col("dataset_key").alias("dataset"))
+    listed = [r["path"] for r in files.filter(F.col("name").rlike(r"(?i)\.fai$")).select("path").collect()]  # paths alone, as the user gave them
+    rows = fai.read_fai(spark, *listed, fail_fast=False) if listed else fai.no_contigs(spark)
+    rows = materialize(rows, "contigs")
+    lines = rows.groupBy("file").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("line_no"))).alias("error"))
+    none = F.array().cast("array<string>")
+    unassigned = datasets.unassigned_bai(files).select(F.col("path").alias("file"), "reason")
+    parts = (
+        bams.status.select("file", "error", "warnings"),
+        fastqs.summary.select("file", "error", none.alias("warnings")),
+        lines.select("file", "error", none.alias("warnings")),
+    )
+    known = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("read", F.lit(True))
+    status = (
+        F.when((F.col("kind") == "BAI") & F.col("reason").isNotNull(), "unassigned")
+        .when(F.col("kind") == "BAI", "used")
+        .when(F.col("error").isNotNull(), "failed")
+        .when(F.coalesce("read", F.lit(False)) | (F.col("kind") == "FAI"), "pass")
+        .otherwise("not analysed")
+    )
+    joined = labelled.join(known, "file", "left").join(unassigned, "file", "left")
+    table = joined.select("file", "kind", "dataset", status.alias("status"), F.coalesce("error", "reason").alias("error"), F.coalesce("warnings", none).alias("warnings"))
+    good = rows.filter(F.col("error").isNull())
+    return SelectionResult(
+        bams, fastqs, rows, materialize(contigs.fai_summary(good, FILE), "contig-summary"), datasets.resolve_datasets(files),
+        consistency(files, bams, fastqs), materialize(table, "status"),
+    )
+
+
 # The long table of metrics
 
 EXACT, SAMPLED, INFERRED = "EXACT", "SAMPLED", "INFERRED"

@@ -16,7 +16,8 @@ def read_fai(spark: SparkSession, *paths: str, fail_fast: bool = True) -> DataFr
     raises, or has its ``error`` set when ``fail_fast`` is off. Further
     columns are ignored.
     """
-    lines = spark.read.text(list(paths)).select(
+    # a file that is gone since it was listed has no rows
+    lines = spark.read.option("ignoreMissingFiles", "true").text(list(paths)).select(
         F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("nth"),
@@ -62,6 +63,11 @@ def read_fai(spark: SparkSession, *paths: str, fail_fast: bool = True) -> DataFr
     )
 
 
+def no_contigs(spark: SparkSession) -> DataFrame:
+    """The table of :func:`read_fai` without rows."""
+    return spark.createDataFrame([], "file string, line_no bigint, name string, length bigint, offset bigint, line_bases bigint, line_bytes bigint, error string")
+
+
 def first_rows(contigs: DataFrame, k: int = K.FAI_ROWS_SHOWN) -> DataFrame:
     """The first ``k`` contigs of each file in file order, with their ``rank``."""
     order = contigs.withColumn("__o", -F.col("line_no"))

@@ -32,8 +32,11 @@ def detect_gzip(files: DataFrame) -> DataFrame:
     """Adds ``gzip``: by suffix, else by the first two bytes; and ``bgzip``: whether a gzip file is made of BGZF blocks."""
 
     def work(row: dict) -> Iterator[list[dict]]:
-        with open_range(row["path"]) as source:
-            head = source.read(12 + 65535)
+        try:
+            with open_range(row["path"]) as source:
+                head = source.read(12 + 65535)
+        except OSError:
+            head = b""  # reading the records tells what is wrong
         packed = row["name"].lower().endswith(".gz") or head[:2] == b"\x1f\x8b"
         try:
             blocked = packed and bgzf.block_size(head) > 0

@@ -591,6 +591,29 @@ def test_fai_files_of_one_name_stay_apart(spark, tmp_path):
     assert {r.file for r in df.collect()} == listed
 
 
+def test_a_mixed_selection_keeps_a_status_for_each_file(spark, tmp_path):
+    write_bam(str(tmp_path / "s1.bam"), [record(pos=i, read_name=f"r{i}") for i in range(50)])
+    (tmp_path / "bad.bam").write_bytes(b"not a bam at all, but long enough")
+    (tmp_path / "other.bai").write_bytes(bai([{}]))
+    (tmp_path / "s1_R1.fastq").write_text("@r 1\nACGT\n+\nIIII\n" * 5)
+    (tmp_path / "cut.fastq.gz").write_bytes(gzip.compress(b"@r 1\nACGT\n+\nIIII\n" * 500)[:-20])
+    (tmp_path / "none.fastq").write_text("x\n")
+    (tmp_path / "g.fa.fai").write_text("a\t100\t0\t50\t51\n")
+    (tmp_path / "bad.fai").write_text("a\t100\t0\t50\t51\nb\t1\n")
+    (tmp_path / "notes.txt").write_text("x")
+    gone = spark.createDataFrame([(f"file:{tmp_path}/gone.{k}", f"gone.{k}", 10, 0) for k in ("bam", "fastq", "fai")], "path string, name string, size bigint, position bigint")
+    listed = list_files(spark, str(tmp_path)).select(gone.columns).unionByName(gone.filter("name <> 'gone.fai'"))
+    result = preflight.analyze_files(listed)
+    got = {r.file.split("/")[-1]: r for r in result.status.collect()}
+    assert {k: r.status for k, r in got.items()} == {
+        "s1.bam": "pass", "s1.bam.bai": "used", "bad.bam": "failed", "other.bai": "unassigned", "s1_R1.fastq": "pass", "cut.fastq.gz": "failed", "none.fastq": "failed",
+        "g.fa.fai": "pass", "bad.fai": "failed", "notes.txt": "not analysed", "gone.bam": "failed", "gone.fastq": "failed",
+    }
+    assert "index line 2" in got["bad.fai"].error and got["s1.bam"].dataset == "s1"
+    assert [r.contigs for r in result.contig_summary.filter("file like '%g.fa.fai'").collect()] == [1]
+    assert result.bams.record_totals.first().records == 50 and result.consistency.count() == 1
+
+
 def test_sinks(spark, tmp_path):
     import json
 
