@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_dir, materialize, ship_package
 from ..sources.storage import filesystem, spread
-from .common import text_bytes, text_chunks
+from .common import given_back, in_small_parts, text_bytes, text_chunks
 from .tokens import encoder
 
 # Fixed value: what is added to a turned checksum.
@@ -111,6 +111,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
     the order of a hash of their text; null texts are empty; no rows give no files.
     """
     spark = docs.sparkSession
+    in_small_parts(spark)
     ship_package(spark)
     folder = folder or fresh_dir(spark, "records")
     ordered = (
@@ -130,7 +131,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
         fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
         offsets, tokens, at = [0], 0, 0
         with fs.open_output_stream(inner) as out:
-            for batch in _chain(first, batches):
+            for batch in given_back(_chain(first, batches)):
                 for some in text_chunks(batch):
                     ids, counts = encode(text_bytes(some.column("text")))
                     begin, lot = 0, []
@@ -175,4 +176,4 @@ def read_records(files: DataFrame, at_once: int = 500_000) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     ship_package(files.sparkSession)
-    return spread(files.select("path", "start")).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return spread(files.select("path", "start")).mapInArrow(lambda batches: given_back(read(batches)), "doc_id bigint, start bigint, n_tokens bigint, ids binary")

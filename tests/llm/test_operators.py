@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandcheck.session import materialize
+from strandcheck.llm.common import SMALL_PARTS
 from strandcheck.llm import chat, curves, decontaminate, jaccard, language, licences, packing, quality, records, secrets, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -145,6 +146,15 @@ def test_records(docs, nothing, some_docs, tmp_path):
     assert records.read_records(records.write_records(nothing, BYTE, 0)).count() == 0
 
 
+def test_records_hold_little_text_at_once(docs):
+    spark = docs.sparkSession
+    for key in SMALL_PARTS:
+        spark.conf.unset(key)
+    files = records.write_records(docs, BYTE, 0)
+    assert {k: spark.conf.get(k) for k in SMALL_PARTS} == SMALL_PARTS
+    assert records.read_records(files).count() == docs.count()
+
+
 def test_damaged_records():
     good = records.framed(records.packed_ids(-3, np.array([1, 70_000], np.uint32)))
     assert records.unpacked_ids(records.unframed(good))[0] == -3
