@@ -178,3 +178,20 @@ def test_numbering_of_a_hot_group(spark):
         for n, r in enumerate(sorted(r for r in rows if r[0] == g), start=1):
             want[r] = n
     assert got == want
+
+
+def test_cells_of_large_part_keys(spark, tmp_path):
+    """The cube of a part key is rounded once, as SQL's power() gives it."""
+    import duckdb
+
+    from strandcheck.plans import views as V
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("supplier", "nation", "lineitem"):
+        con.execute(f"create view {t}_0 as select * from read_parquet('{folder}/{t}.parquet')")
+        keys = "* replace (case when l_orderkey % 2 = 0 then 1119995 else 1166404 end as l_partkey)" if t == "lineitem" else "*"
+        con.execute(f"copy (select {keys} from {t}_0) to '{tmp_path}/{t}.parquet'")
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet')")
+    want = sorted(con.execute(f"select distinct cb from ({V.ALIGNMENTS_SQL}) a where cb is not null").fetchall())
+    assert sorted(tuple(r) for r in V.alignments(spark, str(tmp_path)).select("cb").filter("cb is not null").distinct().collect()) == want
