@@ -19,7 +19,7 @@ from ..functions import constants as K
 from ..session import materialize
 from . import bgzf
 from .guess import record_cuts
-from .storage import open_range, per_row, spread
+from .storage import open_range, per_row, spread, spread_bytes
 from .tags import slices, walk
 
 # Limits of headers and records.
@@ -33,7 +33,6 @@ SAMPLE_WINDOW = (1536 << 10, 48, 3 << 20)
 PROBE_WINDOW = (512 << 10, 16, 1 << 20)
 # Most bytes of a record in a whole-file scan; a longer one is reported as an error.
 LARGEST_RECORD = 256 << 20
-RANGES_PER_TASK = 4
 
 HEADER_SCHEMA = (
     "file string, path string, size bigint, eof boolean, header_text string, "
@@ -345,7 +344,9 @@ def records_of_range(
 
     try:
         with open_range(row["path"]) as source:
-            for block in bgzf.blocks(source, row["voffset"] >> 16, source.size()):
+            begin = row["voffset"] >> 16
+            ahead = bgzf.READ_AHEAD if row["end"] is None else min(bgzf.READ_AHEAD, (row["end"] >> 16) - begin)
+            for block in bgzf.blocks(source, begin, source.size(), ahead):
                 if row["end"] is not None and stop is None and block.offset >= row["end"] >> 16:
                     inside = row["end"] & 0xFFFF if block.offset == row["end"] >> 16 else 0
                     stop, wanted = len(data) + held + inside, 1
@@ -385,7 +386,8 @@ def read_ranges(
         return records_of_range(row, batch, tags, largest)
 
     pieces = ranges.select("path", "file", "point_no", "voffset", "end")
-    return per_row(spread(pieces, RANGES_PER_TASK), work, RECORD_SCHEMA)
+    size = F.coalesce(A.offset_block(F.col("end")) - A.offset_block(F.col("voffset")), F.lit(bgzf.READ_AHEAD))  # the last range of a file has no end
+    return per_row(spread_bytes(pieces, size), work, RECORD_SCHEMA)
 
 
 def scan_status(records: DataFrame) -> DataFrame:

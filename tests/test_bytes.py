@@ -654,3 +654,39 @@ def test_deep_mode_ends_at_the_stop(spark, tmp_path, monkeypatch):
     marks = deep.convergence.orderBy("point_no").collect()
     assert kept == {r.point_no for r in marks if not r.past_stop}
     assert any(r.past_stop for r in marks)
+
+
+def test_small_ranges_read_little(tmp_path):
+    """What a range costs depends on its own bytes, not on a fixed piece of the file."""
+    import io
+
+    dice = random.Random(5)
+    text = b"".join(b"@r%d\n%s\n+\n%s\n" % (i, bytes(dice.choices(b"ACGT", k=200)), b"I" * 200) for i in range(10_000))
+    packed = bgzip(text, 65280)
+
+    class Counted(io.BytesIO):
+        asked = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            self.asked += len(got)
+            return got
+
+    for data, most, read in (
+        (text, 8, lambda s, a, b: fastq._records_of_range(s, a, b, len(text))),
+        (packed, 24, lambda s, a, b: fastq._records_of_blocks(s, a, b, len(packed))),
+    ):
+        span, asked, found = 8 << 10, 0, 0
+        for start in range(0, len(data), span):
+            source = Counted(data)
+            found += sum(len(group) for group in read(source, start, min(len(data), start + span)))
+            asked += source.asked
+        assert found == 10_000
+        assert asked < most * len(data)
+
+
+def test_small_ranges_share_tasks(spark):
+    from strandcheck.sources.storage import spread_bytes
+
+    ranges = spark.range(100_000).select((F.col("id") * 8192).alias("start"), ((F.col("id") + 1) * 8192).alias("end"))
+    assert spread_bytes(ranges, F.col("end") - F.col("start")).rdd.getNumPartitions() == 25
