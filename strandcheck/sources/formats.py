@@ -1,6 +1,6 @@
 """BAM and FASTQ files as formats of ``spark.read``.
 
-Files are cut into spans by their sizes alone, so planning reads no content. The task of a span finds the first record of its span and of the next one in the
+Files are cut into spans by their sizes alone, so planning reads no content; where small spans were more than :data:`MOST_TASKS`, they grow. The task of a span finds the first record of its span and of the next one in the
 bytes (:mod:`guess`) and reads what lies between. Fields that the schema does not name are not decoded, other files than
 those asked for are not opened, and records of other references are left out before their fields are decoded.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 SPAN = 32 << 20
+#: Tasks of a load whose spans are smaller than :data:`SPAN`.
+MOST_TASKS = 500
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 BAM_SCHEMA = (
@@ -81,10 +83,9 @@ class _Reader(DataSourceReader):
             info = store.get_file_info(inner)
             listed = [info] if info.is_file else store.get_file_info(pafs.FileSelector(inner, recursive=True))
             found += [(prefix + i.path, i.size) for i in listed if i.is_file and re.search(self.pattern, i.path)]
-        return [
-            Span(path, at, min(size, at + self.span))
-            for path, size in sorted(found) if self.files is None or path in self.files for at in range(0, max(size, 1), self.span)
-        ]
+        found = [(path, size) for path, size in sorted(found) if self.files is None or path in self.files]
+        span = max(self.span, min(SPAN, -(-sum(size for _, size in found) // MOST_TASKS)))
+        return [Span(path, at, min(size, at + span)) for path, size in found for at in range(0, max(size, 1), span)]
 
     def read(self, partition: Span) -> Iterator:
         _import_package()
@@ -156,7 +157,7 @@ class FastqReader(_Reader):
 
 
 class BamFormat(DataSource):
-    """``spark.read.format("bam").load(path)``; of a given schema only the fields named are decoded, option ``span`` sets the bytes of a task."""
+    """``spark.read.format("bam").load(path)``; of a given schema only the fields named are decoded, option ``span`` sets the least bytes of a task."""
 
     @classmethod
     def name(cls) -> str:

@@ -76,3 +76,12 @@ def test_fastq_format(spark, bams, tmp_path):
     got = {r["f"]: (r["n"], r["d"], r["e"]) for r in df.groupBy(name.alias("f")).agg(F.count("header").alias("n"), F.count_distinct("header").alias("d"), F.count("error").alias("e")).collect()}
     assert got["plain.fastq"] == got["stream.fq.gz"] == got["blocks.fastq.gz"] == (2000, 2000, 0)
     assert got["cut.fastq.gz"][2] == 1 and got["cut.fastq.gz"][0] < 2000
+
+
+def test_small_spans_grow_with_the_files(tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "MOST_TASKS", 10)
+    (tmp_path / "a.fastq").write_bytes(b"@r\nA\n+\nI\n" * 1000)
+    reader = formats.FastqReader({"path": str(tmp_path), "span": "100"}, formats.T._parse_datatype_string("header string"))
+    parts = reader.partitions()
+    assert len(parts) == 10 and parts[-1].stop == 9000
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 1000
