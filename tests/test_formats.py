@@ -81,7 +81,7 @@ def test_fastq_format(spark, bams, tmp_path):
 def test_small_spans_grow_with_the_files(tmp_path, monkeypatch):
     monkeypatch.setattr(formats, "MOST_TASKS", 10)
     (tmp_path / "a.fastq").write_bytes(b"@r\nA\n+\nI\n" * 1000)
-    reader = formats.FastqReader({"path": str(tmp_path), "span": "100"}, formats.T._parse_datatype_string("header string"))
+    reader = formats.FastqReader({"path": str(tmp_path), "span": "100"}, formats.T.StructType([formats.T.StructField("header", formats.T.StringType())]))
     parts = reader.partitions()
     assert len(parts) == 10 and parts[-1].stop == 9000
     assert sum(b.num_rows for p in parts for b in reader.read(p)) == 1000
