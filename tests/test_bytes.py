@@ -690,3 +690,30 @@ def test_small_ranges_share_tasks(spark):
 
     ranges = spark.range(100_000).select((F.col("id") * 8192).alias("start"), ((F.col("id") + 1) * 8192).alias("end"))
     assert spread_bytes(ranges, F.col("end") - F.col("start")).rdd.getNumPartitions() == 25
+
+
+@pytest.mark.parametrize("rows_at_once", [13, 700, 2000])
+def test_batches_are_written_as_records_one_by_one(rows_at_once):
+    import io
+
+    import pyarrow as pa
+    from strandcheck.plans.derived_files import BamFile, encode_header
+
+    dice = random.Random(rows_at_once)
+    some = lambda *values: dice.choice([None, *values])
+    rows = [
+        record(ref_id=dice.randrange(-1, 3), pos=dice.randrange(200_000), read_name=f"r{i}" * dice.randrange(1, 4), mapq=dice.randrange(256), flag=dice.randrange(4096),
+               l_seq=dice.randrange(1, 300), spliced=dice.random() < 0.3, cb=some("AC-1", ""), ub=some("ACGT"), gx=some("G\u00e9"), gn=some("a;b"), re=some("E", "N"), nh=some(1, 70_000))
+        for i in range(2000)
+    ]
+    rows.sort(key=lambda r: (r["ref_id"] < 0, r["ref_id"], r["pos"]))
+    refs = [("chr1", 1 << 20), ("chr2", 1 << 20), ("chr3", 1 << 20)]
+    sinks = io.BytesIO(), io.BytesIO()
+    one, many = (BamFile(s, encode_header("", refs), 3) for s in sinks)
+    for r in rows:
+        one.add(r)
+    schema = pa.RecordBatch.from_pylist(rows).schema
+    for k in range(0, len(rows), rows_at_once):
+        many.add_all(pa.RecordBatch.from_pylist(rows[k : k + rows_at_once], schema=schema))
+    assert one.close() == many.close() and sinks[0].getvalue() == sinks[1].getvalue()
+    assert one.index() == many.index()
