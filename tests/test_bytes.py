@@ -717,3 +717,13 @@ def test_batches_are_written_as_records_one_by_one(rows_at_once):
         many.add_all(pa.RecordBatch.from_pylist(rows[k : k + rows_at_once], schema=schema))
     assert one.close() == many.close() and sinks[0].getvalue() == sinks[1].getvalue()
     assert one.index() == many.index()
+
+
+def test_sampled_files_stay_within_their_windows(spark, monkeypatch):
+    """More reads make more files, so a sample above their number has every read."""
+    from strandcheck.plans.registry import all_queries
+
+    monkeypatch.setattr(fastq, "WINDOW_BYTES", 100_000)
+    folder = "/root/testdata/sf0.01"
+    (row,) = all_queries()["fastq_sample"].build(spark, folder).collect()
+    assert row["reads"] == spark.read.parquet(f"{folder}/documents.parquet").count()
