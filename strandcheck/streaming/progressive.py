@@ -134,7 +134,9 @@ class _State(StatefulProcessor):
         self.mapq = handle.getValueState("mapq", _HISTOGRAM)
         self.lengths = handle.getValueState("lengths", _HISTOGRAM)
         self.barcodes = handle.getMapState("barcodes", "part int", "known string")
-        self.held = handle.getMapState("held", "after int", "wave int, rows bigint, due bigint, parts array<binary>")
+        # a part of a wave each, so that taking one in costs no more than its own rows
+        self.waiting = handle.getMapState("waiting", "after int", "wave int, rows bigint, due bigint, parts int")
+        self.held = handle.getMapState("held", "after int, part int", "rows binary")
 
     def _hold(self, frames: Iterator[pd.DataFrame], passed: int) -> None:
         for frame in frames:
@@ -142,8 +144,18 @@ class _State(StatefulProcessor):
                 if wave <= passed:
                     continue
                 key = (int(after),)
-                _, n, _, parts = self.held.getValue(key) if self.held.containsKey(key) else (0, 0, 0, [])
-                self.held.updateValue(key, (int(wave), n + len(rows), int(due), [*parts, _packed(rows)]))
+                _, n, _, parts = self.waiting.getValue(key) if self.waiting.containsKey(key) else (0, 0, 0, 0)
+                self.held.updateValue((int(after), parts), (_packed(rows),))
+                self.waiting.updateValue(key, (int(wave), n + len(rows), int(due), parts + 1))
+
+    def _released(self, after: int, parts: int) -> pd.DataFrame:
+        """The rows of a wave that is whole, which are held no longer."""
+        frames = []
+        for part in range(parts):
+            frames.append(pa.ipc.open_stream(self.held.getValue((after, part))[0]).read_pandas())
+            self.held.removeKey((after, part))
+        self.waiting.removeKey((after,))
+        return pd.concat(frames)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         sample = _Sample(self, self.batch)
@@ -153,12 +165,11 @@ class _State(StatefulProcessor):
             return
         self._hold(rows, sample.wave)
         out: list[dict[str, Any]] = []
-        while not sample.done and self.held.containsKey((sample.wave,)):
-            wave, n, due, parts = self.held.getValue((sample.wave,))
+        while not sample.done and self.waiting.containsKey((sample.wave,)):
+            wave, n, due, parts = self.waiting.getValue((sample.wave,))
             if n < due:
                 break  # the rest of the wave is still to come
-            self.held.removeKey((sample.wave,))
-            points = pd.concat([pa.ipc.open_stream(p).read_pandas() for p in parts])
+            points = self._released(sample.wave, parts)
             found = self.take(points) if self.take else points
             for point, records in found.groupby("point_no", sort=True):
                 out.append({"file": key[0], "point_no": int(point)} | sample.point(records))
@@ -166,6 +177,7 @@ class _State(StatefulProcessor):
             sample.done = sample.stopped or sample.records >= self.target
         if sample.done:
             self.held.clear()
+            self.waiting.clear()
         sample.store()
         if out:
             names = [c.split()[0] for c in SNAPSHOT_SCHEMA.split(", ")]

@@ -312,3 +312,28 @@ def test_rules_of_every_direction(spark):
         ("a", "x"): "within", ("a", "y"): "outside", ("a", "gone"): "missing", ("b", "x"): "within", ("b", "y"): "outside", ("b", "z"): "within",
         ("b", "gone"): "skipped", ("c", "x"): "within", ("c", "y"): "outside", ("d", "x"): "no rule",
     }
+
+
+def test_a_held_wave_is_taken_in_part_by_part():
+    """Each frame of a wave that can't go on yet is written once, however many come."""
+    import pandas as pd
+
+    class Map(dict):
+        written = 0
+
+        def containsKey(self, key):
+            return key in self
+
+        getValue, removeKey = dict.__getitem__, dict.__delitem__
+
+        def updateValue(self, key, value):
+            Map.written += sum(len(v) if isinstance(v, bytes) else sum(map(len, v)) if isinstance(v, list) else 8 for v in value)
+            self[key] = value
+
+    def written(frames: int) -> int:
+        Map.written, state = 0, progressive._State(None, 10, 10)
+        state.held, state.waiting = Map(), Map()
+        state._hold(iter([pd.DataFrame({"after": 3, "wave": 4, "due": 10**6, "mapq": range(100)})] * frames), 0)
+        return Map.written
+
+    assert written(40) < 5 * written(10)
