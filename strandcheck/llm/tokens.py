@@ -184,8 +184,10 @@ class Encoder:
             if len(kept):
                 place = np.searchsorted(self._known[0], first[kept])
                 fresh = (place == self._known.shape[1]) | (self._known[0, np.minimum(place, self._known.shape[1] - 1)] != first[kept]) if self._known.shape[1] else np.ones(len(kept), bool)
-                self._known = np.stack([np.insert(k, place[fresh], v[kept[fresh]]) for k, v in zip(self._known, (first, second), strict=True)])
-                self._slots = np.insert(self._slots, place[fresh], n + np.flatnonzero(fresh))
+                new = np.flatnonzero(fresh)
+                new = new[np.argsort(kept[new])]  # by hash: pieces of two kinds may go to one place
+                self._known = np.stack([np.insert(k, place[new], v[kept[new]]) for k, v in zip(self._known, (first, second), strict=True)])
+                self._slots = np.insert(self._slots, place[new], n + new)
             self._encode(pieces[:joined_up], False)
             self._encode(pieces[joined_up:marked], True)
             slots[plain] = np.arange(n, self._n)

@@ -93,6 +93,18 @@ def test_ids_of_pieces_are_ids_of_texts(path, texts):
             assert ids.tolist() == list(itertools.chain(*want))
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_pieces_that_came_up_are_remembered(path):
+    """Pieces of letters only and others are encoded apart, and yet both are found again."""
+    texts = [" ".join(f"x{i:x} y{i * 7919:x}, ab{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(k, k + 60)).encode() for k in range(0, 600, 60)]
+    encode = tokens.Encoder(path)
+    first = [encode([t])[0].tolist() for t in texts]
+    assert (np.diff(encode._known[0].astype(object)) > 0).all()
+    known = encode._known.shape[1]
+    assert [encode([t])[0].tolist() for t in texts] == first == [reference_ids(path, t.decode()) for t in texts]
+    assert encode._known.shape[1] == known
+
+
 def check_packing(rows, given_rows, window):
     by_sequence, by_start = {}, {}
     for r in rows:
