@@ -48,6 +48,10 @@ RECORD_SCHEMA = (
 PROBE_SCHEMA = "file string, voffset bigint, ok boolean, error string"
 
 
+# Which operations of a CIGAR take up bases.
+_COVERS = np.isin(np.arange(16), (0, 1, 4, 7, 8))
+
+
 class BamError(ValueError):
     """Bytes that do not follow the BAM layout."""
 
@@ -408,28 +412,32 @@ def next_record(data: bytes, at: int, largest: int) -> int | None:
     return at + 4 + length if RECORD_BYTES[0] <= length <= largest else None
 
 
-def probe_record(data: bytes, at: int, reference_count: int, largest: int = RECORD_BYTES[1]) -> None:
-    """Raises unless a complete, well-formed record starts at ``at``."""
-    table, _ = record_table(data, at, len(data), 1, largest, MAX_SEQUENCE if largest == RECORD_BYTES[1] else 1 << 31)
-    if not len(table["begin"]):
+def probe_record(data: bytes, at: int, reference_count: int, largest: int = RECORD_BYTES[1], limit: int = 1) -> int:
+    """How many records, ``limit`` at most, stand whole in a row from ``at`` on; raises unless there is one and all are well-formed."""
+    table, _ = record_table(data, at, len(data), limit, largest, MAX_SEQUENCE if largest == RECORD_BYTES[1] else 1 << 31)
+    number = len(table["begin"])
+    if not number:
         raise BamError(f"no whole record at byte {at}")
-    one = {k: int(v[0]) for k, v in table.items()}
-    ops = np.frombuffer(data, "<u4", one["cigars"], one["cigar_at"])
-    lengths, kinds = ops >> 4, ops & 0xF
-    bases = int(lengths[np.isin(kinds, (0, 1, 4, 7, 8))].sum())
-    fields = walk(np.frombuffer(data, np.uint8), table["aux_at"], table["end"])
-    reached = int(fields.reached[0])
-    for wrong, what in (
-        (data[one["begin"] + 35 + one["name_bytes"]] != 0, "its name has no closing zero byte"),
-        ((lengths == 0).any() or (kinds > 8).any(), "its CIGAR has an operation of no length or of no known kind"),
-        (len(ops) and bases != one["l_seq"], f"its CIGAR covers {bases} bases of {one['l_seq']}"),
-        (not -1 <= one["ref_id"] < min(reference_count, MAX_REFERENCES), "its reference is not in the dictionary"),
-        (one["pos"] < -1, "its position is negative"),
-        (reached != one["end"], f"its auxiliary field at byte {reached} is cut off or of no known type"),
-        (len(fields.tag) and ((fields.tag >> 8 < 33) | (fields.tag & 0xFF < 33)).any(), "it has an auxiliary field without a printable tag"),
-    ):
-        if wrong:
-            raise BamError(f"the record at byte {at} is no good: {what}")
+    start, stop = int(table["begin"][0]), int(table["end"][-1])
+    fields = walk(np.frombuffer(data, np.uint8, stop - start, start), table["aux_at"] - start, table["end"] - start)
+    for k in range(number):
+        one = {c: int(v[k]) for c, v in table.items()}
+        ops = np.frombuffer(data, "<u4", one["cigars"], one["cigar_at"])
+        lengths, kinds = ops >> 4, ops & 0xF
+        bases = int(lengths[_COVERS[kinds]].sum())
+        tags, reached = fields.tag[fields.row == k], start + int(fields.reached[k])
+        for wrong, what in (
+            (data[one["begin"] + 35 + one["name_bytes"]] != 0, "its name has no closing zero byte"),
+            ((lengths == 0).any() or (kinds > 8).any(), "its CIGAR has an operation of no length or of no known kind"),
+            (len(ops) and bases != one["l_seq"], f"its CIGAR covers {bases} bases of {one['l_seq']}"),
+            (not -1 <= one["ref_id"] < min(reference_count, MAX_REFERENCES), "its reference is not in the dictionary"),
+            (one["pos"] < -1, "its position is negative"),
+            (reached != one["end"], f"its auxiliary field at byte {reached} is cut off or of no known type"),
+            (len(tags) and ((tags >> 8 < 33) | (tags & 0xFF < 33)).any(), "it has an auxiliary field without a printable tag"),
+        ):
+            if wrong:
+                raise BamError(f"the record at byte {one['begin']} is no good: {what}")
+    return number
 
 
 def probe_points(points: DataFrame) -> DataFrame:

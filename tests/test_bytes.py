@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from strandcheck.operators import contigs
 from strandcheck.operators import index as index_ops
 from strandcheck.operators import reads as read_ops
+from strandcheck.plans import derived_files as D
 from strandcheck.plans import preflight, report
+from strandcheck.plans.byte_queries import scanned_records
 from strandcheck.sources import bam, bgzf, fastq, guess
 from strandcheck.sources import bai as bai_source
 from strandcheck.sources import fai as fai_source
@@ -727,3 +729,52 @@ def test_sampled_files_stay_within_their_windows(spark, monkeypatch):
     folder = "/root/testdata/sf0.01"
     (row,) = all_queries()["fastq_sample"].build(spark, folder).collect()
     assert row["reads"] == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+def test_places_of_records_come_in_order_and_whole():
+    """Stretch by stretch the same places are found as in all bytes at once, also where the last fields reach over the edge of a stretch."""
+    data = b"".join(D.encode_record(record(pos=i, read_name="n" * (i % 200 + 1))) for i in range(400))
+    for cut in (0, 7, 100):
+        part = data[cut:]
+        assert list(guess.places_in_order(part, 3, 1 << 28)) == guess.likely_records(part, 3, 1 << 28).tolist()
+    places, lots = guess.places_in_order(data, 3, 1 << 28), []
+    search = guess.likely_records
+    try:
+        guess.likely_records = lambda some, *rest: lots.append(len(some)) or search(some, *rest)
+        assert next(places) == 0 and max(lots) < len(data) // 10  # the first place costs a stretch, not all bytes
+    finally:
+        guess.likely_records = search
+
+
+def test_a_run_of_records_is_probed_at_once():
+    rows = [D.encode_record(record(pos=i, read_name=f"r{i}")) for i in range(8)]
+    data = b"".join(rows)
+    assert bam.probe_record(data, 0, 3, 1 << 28, 6) == 6 and bam.probe_record(data[:-1], 0, 3, 1 << 28, 8) == 7
+    broken = b"".join([*rows[:3], rows[3][:-3] + b"?" * 3, *rows[4:]])
+    assert bam.probe_record(broken, 0, 3, 1 << 28, 3) == 3
+    with pytest.raises(bam.BamError, match=str(len(rows[0]) * 3)):
+        bam.probe_record(broken, 0, 3, 1 << 28, 6)
+
+
+def test_costly_columns_are_made_once_the_rows_lie_in_their_files(spark, tmp_path):
+    """The rows are gone over twice, for the ranges and to be written; records are made of them once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def named(names):
+        made.add(1)
+        return names
+
+    rows = spark.range(500).select((F.col("id") * 10).cast("int").alias("at"), (F.col("id") % 3).cast("int").alias("r"))
+
+    def as_records(lines):
+        name = F.udf(lambda at: named(f"n{at}"), "string").asNondeterministic()
+        return lines.select(
+            F.col("r").alias("ref_id"), F.col("at").alias("pos"), name("at").alias("read_name"), F.lit(9).alias("mapq"), F.lit(0).alias("flag"),
+            F.lit(50).alias("l_seq"), F.lit(False).alias("spliced"), F.lit("C").alias("cb"), F.lit(None).cast("string").alias("ub"),
+        )
+
+    files = D.write_bams(rows, "@HD\tVN:1.6\n", [("a", 1 << 29), ("b", 1 << 29), ("c", 1 << 29)], parts=4, by=("r", "at"), as_records=as_records)
+    assert made.value == 500
+    headers = bam.read_headers(files)
+    found = bam.decoded(scanned_records(files, headers, ("CB", "UB")))
+    assert sorted((x.ref_id, x.pos, x.read_name, x.cb, x.ub) for x in found.collect()) == sorted((i % 3, i * 10, f"n{i * 10}", "C", None) for i in range(500))
