@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandcheck.functions import alignment as A
-from strandcheck.operators import contigs, histograms, knee
+from strandcheck.operators import contigs, histograms, knee, reads
 
 
 def brute_knee(counts):
@@ -195,3 +195,10 @@ def test_cells_of_large_part_keys(spark, tmp_path):
         con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet')")
     want = sorted(con.execute(f"select distinct cb from ({V.ALIGNMENTS_SQL}) a where cb is not null").fetchall())
     assert sorted(tuple(r) for r in V.alignments(spark, str(tmp_path)).select("cb").filter("cb is not null").distinct().collect()) == want
+
+
+def test_gc_histogram_computes_each_sequence_once(spark):
+    rows = spark.createDataFrame([(t,) for t in ("GGCC", "AT", "GATC", "", None, "C")], "text string")
+    found = reads.gc_histogram(rows.select(F.regexp_replace("text", "x", "y").alias("seq")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert {r.gc_bin: r.n for r in found.collect() if r.n} == {0: 2, 10: 1, 20: 3}  # a missing sequence counts as in the SQL
