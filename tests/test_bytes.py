@@ -15,7 +15,7 @@ from strandcheck.operators import index as index_ops
 from strandcheck.operators import reads as read_ops
 from strandcheck.plans import derived_files as D
 from strandcheck.plans import preflight, report
-from strandcheck.plans.byte_queries import scanned_records
+from strandcheck.plans.byte_queries import not_among, scanned_records
 from strandcheck.sources import bam, bgzf, fastq, guess
 from strandcheck.sources import bai as bai_source
 from strandcheck.sources import fai as fai_source
@@ -778,3 +778,12 @@ def test_costly_columns_are_made_once_the_rows_lie_in_their_files(spark, tmp_pat
     headers = bam.read_headers(files)
     found = bam.decoded(scanned_records(files, headers, ("CB", "UB")))
     assert sorted((x.ref_id, x.pos, x.read_name, x.cb, x.ub) for x in found.collect()) == sorted((i % 3, i * 10, f"n{i * 10}", "C", None) for i in range(500))
+
+
+def test_few_rows_are_looked_up_without_sorting_all_known_ones(spark):
+    known = spark.range(3_000_000).select((F.col("id") * 2).alias("pos"), F.lit(1).alias("flag"))
+    few = spark.sql("select * from values (4L, 1), (5L, 1), (4L, 2), (5L, 1), (6L, 1) as t(pos, flag)")
+    found = not_among(few, known, ["pos", "flag"])
+    assert sorted(map(tuple, found.collect())) == [(4, 2), (5, 1), (5, 1)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftSemi, BuildRight" in plan  # only what is found among the known rows goes to the join by a shuffle
