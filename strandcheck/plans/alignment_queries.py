@@ -17,6 +17,11 @@ ALN = V.ALIGNMENTS_SQL
 GENES = V.GENE_ALIGNMENTS_SQL
 
 
+def _records(spark: SparkSession, folder: str) -> int:
+    """Alignment records, as the footers of the table tell."""
+    return V.table(spark, folder, "lineitem").count()
+
+
 def _round(df: DataFrame, *names: str, digits: int = 8) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -449,8 +454,9 @@ union all select file, 6, 'reference-contigs', 'good', 'Reference contigs', 0 fr
 )
 def qc_flags(spark: SparkSession, folder: str) -> DataFrame:
     needed = ("file", "record_no", "ref_name", "flag", "cb", "ub", "gx", "gn", "re")
-    aln = materialize(V.alignments(spark, folder, genes=True).select(*needed), "records")
-    metrics = materialize(barcodes.barcode_metrics(barcodes.molecules(aln, by=["file"]), ["file"]), "barcodes")
+    count = _records(spark, folder)
+    aln = materialize(V.alignments(spark, folder, genes=True).select(*needed), "records", count)
+    metrics = materialize(barcodes.barcode_metrics(barcodes.molecules(aln, by=["file"]), ["file"]), "barcodes", count)
     knees = knee.barcode_knee(knee.count_of_counts(metrics, by=["file"]), ["file"])
     mito = histograms.unit_quantiles(metrics, "mito_fraction", {"mito_median": 0.5}, ["file"])
     refs = (
