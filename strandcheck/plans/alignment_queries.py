@@ -212,7 +212,7 @@ _METRICS = f"""(select cb, cast(sum(reads) as bigint) reads, count(distinct ub)
 
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
     aln = V.alignments(spark, folder, genes=True)
-    return barcodes.barcode_metrics(barcodes.molecules(aln))
+    return materialize(barcodes.barcode_metrics(barcodes.molecules(aln)), "barcodes", _records(spark, folder))
 
 
 @query(
@@ -266,8 +266,7 @@ select count(*) barcodes, median(reads) reads_median, median(umis) umis_median,
 from r""",
 )
 def barcode_shape(spark: SparkSession, folder: str) -> DataFrame:
-    metrics = materialize(_metrics(spark, folder), "barcodes")
-    shape = barcodes.barcode_shape(metrics)
+    shape = barcodes.barcode_shape(_metrics(spark, folder))
     return _round(shape, "ambient_tail_fraction", "mito_p25", "mito_median", "mito_p75")
 
 
@@ -278,7 +277,8 @@ where coalesce(cb, '') <> '' and coalesce(ub, '') <> '') t group by file""",
 )
 def unique_molecules(spark: SparkSession, folder: str) -> DataFrame:
     aln = V.alignments(spark, folder, genes=True)
-    return barcodes.unique_molecules(barcodes.molecules(aln, by=["file"]), ["file"])
+    found = barcodes.unique_molecules(barcodes.molecules(aln, by=["file"]), ["file"])
+    return materialize(found, "molecules", _records(spark, folder))
 
 
 _TOKENS = f"""(select file, unnest(list_filter(string_split(coalesce(nullif(gn, ''), nullif(gx, '')),';'), lambda x: x<>'')) gene

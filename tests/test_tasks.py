@@ -42,7 +42,7 @@ def test_shuffle_partitions_follow_the_rows(spark, monkeypatch):
     assert len(tasks) == 20 and sum(r["count"] for r in tasks) == 9_973
 
 
-@pytest.mark.parametrize("name", ["qc_flags"])
+@pytest.mark.parametrize("name", ["qc_flags", "barcode_shape", "unique_molecules"])
 def test_barcode_steps_know_their_rows(spark, monkeypatch, name):
     given = []
     written = session.materialize
