@@ -57,8 +57,8 @@ from (select unnest(range(1, length(seq) + 1)) as cycle, unnest(string_split(seq
     f"""select count(*) bases, round(avg(case when q >= 20 then 1.0 else 0.0 end), 8) q20, round(avg(case when q >= 30 then 1.0 else 0.0 end), 8) q30, round(avg(case when b = 'N' then 1.0 else 0.0 end), 8) n_fraction from {_CELLS} c""",
 )
 def fastq_base_totals(spark: SparkSession, folder: str) -> DataFrame:
-    hist = ops.base_histogram(V.reads(spark, folder).select("seq", "qual"))
-    return _round(ops.base_totals(hist), "q20", "q30", "n_fraction")
+    sums = ops.cycle_sums(V.reads(spark, folder).select("seq", "qual"))
+    return _round(ops.base_totals(sums), "q20", "q30", "n_fraction")
 
 
 _FRACTIONS = ", ".join(
@@ -71,8 +71,8 @@ _FRACTIONS = ", ".join(
     f"select cast(cycle as int) as cycle, count(*) reads, round(avg(q), 8) mean_q, {_FRACTIONS} from {_CELLS} c group by cycle",
 )
 def fastq_per_cycle(spark: SparkSession, folder: str) -> DataFrame:
-    hist = ops.base_histogram(V.reads(spark, folder).select("seq", "qual"))
-    out = ops.per_cycle(hist)
+    sums = ops.cycle_sums(V.reads(spark, folder).select("seq", "qual"))
+    out = ops.per_cycle(sums)
     return _round(out, "mean_q", *[f"frac_{b}" for b in "acgtn"])
 
 
@@ -81,8 +81,8 @@ def fastq_per_cycle(spark: SparkSession, folder: str) -> DataFrame:
     f"""select round(avg(h), 8) mean_cycle_entropy from (select cycle, sum(case when b <> 'N' then -p * log2(p) else 0 end) h from (select cycle, b, n / sum(n) over (partition by cycle) p from (select cycle, b, count(*) n from {_CELLS} c group by all) x) y group by cycle) z""",
 )
 def fastq_cycle_entropy(spark: SparkSession, folder: str) -> DataFrame:
-    hist = ops.base_histogram(V.reads(spark, folder).select("seq", "qual"))
-    return _round(ops.cycle_entropy(ops.per_cycle(hist)), "mean_cycle_entropy")
+    sums = ops.cycle_sums(V.reads(spark, folder).select("seq", "qual"))
+    return _round(ops.cycle_entropy(ops.per_cycle(sums)), "mean_cycle_entropy")
 
 
 @query("fastq_length_histogram", f"select cast(length(seq) as int) length, count(*) n from ({V.READS_SQL}) r group by 1")
